@@ -6,14 +6,17 @@ still a row.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quiltomics.operators.ordering import linear_quantiles, numbered, values_at_ranks
+from quiltomics.operators.ordering import (
+    cumulative_histogram,
+    histogram_quantiles,
+    numbered,
+    values_at_ranks,
+)
 
 # The depth quantiles the summary reports.
 DEPTH_QUANTILES = {
@@ -155,12 +158,17 @@ def pairing_type(memberships: DataFrame) -> DataFrame:
 
 
 def depth_summary(totals: DataFrame, sample_size: int) -> DataFrame:
-    """Counts, mean, quantiles and an even sample of the sorted positive depths, long form."""
-    sizes = totals.agg(
-        F.count(F.lit(1)).alias("observation_count"),
-        F.count_if(F.col("total") > 0).alias("nonzero_observation_count"),
-        F.count_if(F.col("total") == 0).alias("zero_observation_count"),
-        F.avg("total").alias("mean"),
+    """Counts, mean, quantiles and an even sample of the sorted positive depths, long form.
+
+    All of it comes from the histogram of the depths, so the matrix is read once.
+    """
+    histogram = cumulative_histogram(totals, "total")
+    empty = F.coalesce(F.sum(F.when(F.col("total") == 0, F.col("_n"))), F.lit(0))
+    sizes = histogram.agg(
+        F.sum("_n").alias("observation_count"),
+        F.coalesce(F.sum(F.when(F.col("total") > 0, F.col("_n"))), F.lit(0)).alias("nonzero_observation_count"),
+        empty.alias("zero_observation_count"),
+        (F.sum(F.col("total") * F.col("_n")) / F.sum("_n")).alias("mean"),
     )
     names = ("observation_count", "nonzero_observation_count", "zero_observation_count", "mean")
     summary = sizes.select(
@@ -170,24 +178,36 @@ def depth_summary(totals: DataFrame, sample_size: int) -> DataFrame:
             )
         ).alias("p")
     ).select("p.name", "p.value")
-    quantiles = linear_quantiles(totals, "total", DEPTH_QUANTILES)
-    sample = even_sample(totals.where("total > 0"), "total", sample_size).select(
-        F.format_string("sample_%03d", F.col("pos")).alias("name"), F.col("depth").cast("double").alias("value")
+    quantiles = histogram_quantiles(histogram, "total", DEPTH_QUANTILES)
+    sample = sample_of_histogram(histogram, "total", sample_size).select(
+        F.format_string("sample_%03d", F.col("pos")).alias("name"),
+        F.col("depth").cast("double").alias("value"),
     )
-    return summary.unionByName(quantiles.select("name", F.col("value").cast("double").alias("value"))).unionByName(sample)
+    return summary.unionByName(
+        quantiles.select("name", F.col("value").cast("double").alias("value"))
+    ).unionByName(sample)
 
 
-def even_sample(df: DataFrame, value: str, size: int) -> DataFrame:
-    """``size`` evenly spaced members of the sorted values (half-even places)."""
-    count = df.agg(F.count(F.lit(1)).alias("n"))
+def sample_of_histogram(histogram: DataFrame, value: str, size: int) -> DataFrame:
+    """``size`` evenly spaced members of the sorted positive values (half-even places)."""
+    positive = F.col(value) > 0
+    sizes = histogram.agg(
+        F.coalesce(F.sum(F.when(positive, F.col("_n"))), F.lit(0)).alias("n"),
+        F.coalesce(F.sum(F.when(~positive, F.col("_n"))), F.lit(0)).alias("lower"),
+    )
     taken = F.least(F.col("n"), F.lit(size))
     step = F.when(taken > 1, (F.col("n") - 1) / (taken - 1)).otherwise(F.lit(0.0))
     ranks = (
-        count.where("n > 0")
-        .select(step.alias("step"), F.explode(F.sequence(F.lit(0), (taken - 1).cast("int"))).alias("pos"))
-        .select("pos", F.rint(F.col("pos") * F.col("step")).cast("long").alias("rank"))
+        sizes.where("n > 0")
+        .select("lower", step.alias("step"), F.explode(F.sequence(F.lit(0), (taken - 1).cast("int"))).alias("pos"))
+        .select("pos", (F.col("lower") + F.rint(F.col("pos") * F.col("step")).cast("long")).alias("rank"))
     )
-    return values_at_ranks(df, value, ranks).select("pos", F.col("value").alias("depth"))
+    return values_at_ranks(histogram, value, ranks).select("pos", F.col("value").alias("depth"))
+
+
+def even_sample(totals: DataFrame, value: str, size: int) -> DataFrame:
+    """Even sample of the positive values of a column."""
+    return sample_of_histogram(cumulative_histogram(totals, value), value, size)
 
 
 def cyclic_depths(totals: DataFrame, depths: DataFrame, order: str) -> DataFrame:
@@ -212,38 +232,32 @@ def cyclic_depths(totals: DataFrame, depths: DataFrame, order: str) -> DataFrame
 def downsample(entries: DataFrame, applied: DataFrame, seed: int) -> DataFrame:
     """Multinomial draw of ``applied`` counts per observation with its own proportions.
 
-    Each observation is one array row, so the drawing runs on Arrow batches; the
-    generator is seeded per observation and a retried task draws the same counts.
+    One row per observation; only its counts cross to Python, in Arrow batches.  The
+    generator is seeded per observation, so a retried task draws the same counts.
     """
     rows = (
         entries.groupBy("obs_id")
-        .agg(F.array_sort(F.collect_list(F.struct("feature_id", "value"))).alias("row"))
-        .join(applied.select("obs_id", "applied"), "obs_id")
-        .where("applied > 0")
-        .select(
-            "obs_id",
-            "applied",
-            F.xxhash64(F.lit(seed), "obs_id").alias("seed"),
-            F.transform("row", lambda r: r["feature_id"]).alias("features"),
-            F.transform("row", lambda r: r["value"].cast("double")).alias("values"),
-        )
+        .agg(F.array_sort(F.collect_list(F.struct("feature_id", "value"))).alias("cells"))
+        .join(applied.where("applied > 0").select("obs_id", "applied", "total"), "obs_id")
+        .withColumn("counts", F.transform("cells", lambda c: c["value"].cast("double")))
+        .withColumn("seed", F.xxhash64(F.lit(seed), "obs_id"))
     )
 
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            ids, features, values = [], [], []
-            for row in batch.itertuples(index=False):
-                counts = np.asarray(row.values, dtype=float)
-                total = counts.sum()
-                if row.applied >= total:
-                    drawn = counts.astype(np.int64)
-                else:
-                    generator = np.random.default_rng(row.seed & 0xFFFFFFFFFFFFFFFF)
-                    drawn = generator.multinomial(int(row.applied), counts / total)
-                kept = np.flatnonzero(drawn)
-                ids.extend([row.obs_id] * len(kept))
-                features.extend(np.asarray(row.features, dtype=object)[kept])
-                values.extend(drawn[kept].tolist())
-            yield pd.DataFrame({"obs_id": ids, "feature_id": features, "value": values})
-
-    return rows.mapInPandas(draw, "obs_id string, feature_id string, value long")
+    @F.pandas_udf("array<bigint>")
+    def draw(counts: pd.Series, size: pd.Series, seeds: pd.Series) -> pd.Series:
+        drawn = []
+        for row, n, key in zip(counts, size, seeds, strict=True):
+            bits = np.random.Generator(np.random.SFC64(int(key) & 0xFFFFFFFFFFFFFFFF))
+            drawn.append(bits.multinomial(int(n), row / row.sum()))
+        return pd.Series(drawn)
+
+    # Rows that keep all their counts need no draw.
+    whole = F.transform("cells", lambda c: c["value"].cast("long"))
+    partial = rows.where("applied < total").withColumn("drawn", draw("counts", "applied", "seed"))
+    complete = rows.where("applied >= total").withColumn("drawn", whole)
+    both = partial.select("obs_id", "cells", "drawn").unionByName(complete.select("obs_id", "cells", "drawn"))
+    return (
+        both.select("obs_id", F.explode(F.arrays_zip("cells", "drawn")).alias("z"))
+        .select("obs_id", F.col("z.cells.feature_id").alias("feature_id"), F.col("z.drawn").alias("value"))
+        .where("value > 0")
+    )

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quiltomics.session import shared_folder
+from quiltomics.session import settled
 
 _ROW_BITS = 33
 
@@ -21,20 +21,19 @@ _ROW_BITS = 33
 def _place(df: DataFrame, keys: Sequence[Column]) -> DataFrame:
     """Range-partition and sort; add the task number and the row number inside it.
 
-    The bounds of a range shuffle come from a sample.  The result is checkpointed
-    so that the totals and the rows read the same placement.
+    The bounds of a range shuffle come from a sample.  The result is settled so that
+    the totals and the rows read the same placement.
     """
-    shared_folder(df.sparkSession)
     placed = (
         df.repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
         .withColumn("_id", F.monotonically_increasing_id())
     )
-    return (
+    return settled(
         placed.withColumn("_part", F.shiftright("_id", _ROW_BITS))
         .withColumn("_row", F.col("_id").bitwiseAND((1 << _ROW_BITS) - 1))
-        .drop("_id")
-        .checkpoint()
+        .drop("_id"),
+        "placed",
     )
 
 
@@ -123,68 +122,75 @@ def value_ranks(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFr
     )
 
 
-def values_at_ranks(df: DataFrame, value: str, ranks: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
-    """Values at given zero-based ranks.
+def cumulative_histogram(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
+    """Per distinct non-null value its count ``_n`` and the count ``before__n`` of smaller ones.
+
+    One pass over the data; everything about ranks and quantiles follows from this table.
+    """
+    histogram = (
+        df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_n"))
+    )
+    return running_totals(histogram, [F.col(value)], ["_n"], groups)
+
+
+def values_at_ranks(
+    histogram: DataFrame, value: str, ranks: DataFrame, groups: Sequence[str] = ()
+) -> DataFrame:
+    """Values at given zero-based ranks of a cumulative histogram.
 
     ``ranks`` holds ``groups``, any label columns and ``rank``; a few rows per group.
-    Equal values are counted before they are ordered, so ties cost nothing.
     """
-    histogram = df.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_n"))
-    placed = running_totals(histogram, [F.col(value)], ["_n"], groups)
     inside = (F.col("r.rank") >= F.col("v.before__n")) & (
         F.col("r.rank") < F.col("v.before__n") + F.col("v._n")
     )
     return (
-        placed.alias("v")
+        histogram.alias("v")
         .join(ranks.alias("r"), _same("v", groups, "r") & inside)
         .select("r.*", F.col(f"v.{value}").alias("value"))
     )
 
 
-def linear_quantiles(
-    df: DataFrame, value: str, fractions: dict[str, float], groups: Sequence[str] = ()
-) -> DataFrame:
-    """Type 7 quantiles: linear between the two neighbouring ranks."""
+def _targets(histogram: DataFrame, fractions: dict[str, float], groups: Sequence[str]) -> DataFrame:
     wanted = F.explode(
         F.array(*[F.struct(F.lit(k).alias("name"), F.lit(f).alias("f")) for k, f in fractions.items()])
     )
-    place = F.col("w.f") * (F.col("n") - 1)
-    targets = (
-        df.groupBy(*groups)
-        .agg(F.count(value).alias("n"))
+    return (
+        histogram.groupBy(*groups)
+        .agg(F.sum("_n").alias("n"))
         .where("n > 0")
         .select(*groups, "n", wanted.alias("w"))
-        .select(*groups, F.col("w.name").alias("name"), place.alias("_place"))
-        .select(*groups, "name", "_place", F.explode(F.array(F.floor("_place"), F.ceil("_place"))).alias("rank"))
-        .distinct()
+        .select(*groups, F.col("w.name").alias("name"), (F.col("w.f") * (F.col("n") - 1)).alias("_place"))
     )
-    found = values_at_ranks(df.where(F.col(value).isNotNull()), value, targets, groups)
+
+
+def histogram_quantiles(
+    histogram: DataFrame, value: str, fractions: dict[str, float], groups: Sequence[str] = ()
+) -> DataFrame:
+    """Type 7 quantiles of a cumulative histogram: linear between neighbouring ranks."""
+    ends = F.explode(F.array_distinct(F.array(F.floor("_place"), F.ceil("_place")))).alias("rank")
+    targets = _targets(histogram, fractions, groups).select(*groups, "name", "_place", ends)
+    found = values_at_ranks(histogram, value, targets, groups)
     low, high = F.min("value"), F.max("value")
     weight = F.first("_place") - F.floor(F.first("_place"))
     return found.groupBy(*groups, "name").agg((low + (high - low) * weight).alias("value"))
 
 
+def linear_quantiles(
+    df: DataFrame, value: str, fractions: dict[str, float], groups: Sequence[str] = ()
+) -> DataFrame:
+    """Type 7 quantiles of a column."""
+    return histogram_quantiles(cumulative_histogram(df, value, groups), value, fractions, groups)
+
+
 def nearest_quantiles(
     df: DataFrame, value: str, fractions: dict[str, float], groups: Sequence[str] = ()
 ) -> DataFrame:
     """Sorted value at the half-even rounded place ``f * (n - 1)``."""
-    wanted = F.explode(
-        F.array(*[F.struct(F.lit(k).alias("name"), F.lit(f).alias("f")) for k, f in fractions.items()])
-    )
-    targets = (
-        df.groupBy(*groups)
-        .agg(F.count(value).alias("n"))
-        .where("n > 0")
-        .select(*groups, "n", wanted.alias("w"))
-        .select(
-            *groups,
-            F.col("w.name").alias("name"),
-            F.rint(F.col("w.f") * (F.col("n") - 1)).cast("long").alias("rank"),
-        )
-    )
-    return values_at_ranks(df.where(F.col(value).isNotNull()), value, targets, groups).select(
-        *groups, "name", "value"
+    histogram = cumulative_histogram(df, value, groups)
+    targets = _targets(histogram, fractions, groups).select(
+        *groups, "name", F.rint("_place").cast("long").alias("rank")
     )
+    return values_at_ranks(histogram, value, targets, groups).select(*groups, "name", "value")
 
 
 def rank_by_hash(df: DataFrame, hash_column: str, groups: Sequence[str], name: str = "rank") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quiltomics.operators.ordering import nearest_quantiles, running_totals, value_ranks
+from quiltomics.session import settled
 
 # The quantiles of a diagnostics summary.
 SUMMARY_QUANTILES = {
@@ -21,18 +22,14 @@ SUMMARY_QUANTILES = {
 }
 
 
-def _on(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    return df.join(other, list(keys), how)
-
-
 def percentile_ranks(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
     """Rank (ties share the lowest) and ``100 * (average rank - 1) / (n - 1)`` per distinct value."""
     ranks = value_ranks(df, value, groups)
+    sizes = ranks.groupBy(*groups).agg(F.sum("n_equal").alias("n"))
     if groups:
-        sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"))
-        ranks = _on(ranks, sizes, groups)
+        ranks = ranks.join(sizes, list(groups))
     else:
-        ranks = ranks.withColumn("n", df.agg(F.count(F.lit(1)).alias("n")).scalar())
+        ranks = ranks.withColumn("n", sizes.scalar())
     percentile = F.when(F.col("n") < 2, 0.0).otherwise(
         100 * (F.col("avg_rank") - 1) / F.nullif(F.col("n") - 1, F.lit(0))
     )
@@ -55,6 +52,8 @@ def shift_score(auroc: Column) -> Column:
 
 def challenge_rankings(means: DataFrame) -> DataFrame:
     """Rank and percentile over all challenges and inside each challenge type."""
+    # Read five times below; one row per challenge.
+    means = settled(means, "means")
     overall = percentile_ranks(means, "mean_auroc").select(
         "mean_auroc",
         F.col("rank").alias("difficulty_rank"),
@@ -71,6 +70,7 @@ def challenge_rankings(means: DataFrame) -> DataFrame:
 
 def repeat_percentile_std(repeat_means: DataFrame) -> DataFrame:
     """Population deviation of a challenge's percentile over the repeats."""
+    repeat_means = settled(repeat_means, "repeats")
     ranks = percentile_ranks(repeat_means, "auroc", ["repeat"]).select("repeat", "auroc", "percentile")
     return (
         repeat_means.join(ranks, ["repeat", "auroc"])
@@ -84,6 +84,7 @@ def pairwise_spearman(repeat_means: DataFrame) -> DataFrame:
 
     The pairs of one challenge are formed inside its row: as many as pairs of repeats.
     """
+    repeat_means = settled(repeat_means, "repeats")
     ranks = value_ranks(repeat_means, "auroc", ["repeat"]).select("repeat", "auroc", "avg_rank")
     packed = (
         repeat_means.join(ranks, ["repeat", "auroc"])

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quiltomics.operators import scoring
 from quiltomics.operators.calibration import hash_of
 from quiltomics.operators.ordering import rank_by_hash
-from quiltomics.session import shared_folder
+from quiltomics.session import settled
 
 
 @dataclass(frozen=True)
@@ -196,8 +196,7 @@ def evaluate(challenges: DataFrame, rows: DataFrame, config: DifficultyConfig) -
     """The whole report for all challenges in one plan."""
     folds = fold_scores(sample_and_folds(rows, config), config)
     # The scores feed several rankings: a few rows per challenge, computed once.
-    shared_folder(folds.sparkSession)
-    return challenge_report(challenges, folds.checkpoint())
+    return challenge_report(challenges, settled(folds, "folds"))
 
 
 def challenge_problems(challenges: DataFrame, common: DataFrame, config: DifficultyConfig) -> DataFrame:

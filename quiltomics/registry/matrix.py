@@ -177,7 +177,7 @@ def _(spark, d):
 
 def _cyclic(spark, d):
     totals = _totals(spark, d).withColumn("obs_ord", F.col("obs_id").cast("long"))
-    depths = M.even_sample(totals.where("total > 0"), "total", 20)
+    depths = M.even_sample(totals, "total", 20)
     return M.cyclic_depths(totals, depths, "obs_ord")
 
 
