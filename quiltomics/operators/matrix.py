@@ -233,12 +233,13 @@ def downsample(entries: DataFrame, applied: DataFrame, seed: int) -> DataFrame:
     """Multinomial draw of ``applied`` counts per observation with its own proportions.
 
     One row per observation; only its counts cross to Python, in Arrow batches.  The
-    generator is seeded per observation, so a retried task draws the same counts.
+    generator is seeded per observation, so a retried task draws the same counts.  The
+    rows stay where their entries are placed, so the drawing is spread like the matrix.
     """
     rows = (
         entries.groupBy("obs_id")
         .agg(F.array_sort(F.collect_list(F.struct("feature_id", "value"))).alias("cells"))
-        .join(applied.where("applied > 0").select("obs_id", "applied", "total"), "obs_id")
+        .join(applied.where("applied > 0").select("obs_id", "applied").hint("merge"), "obs_id")
         .withColumn("counts", F.transform("cells", lambda c: c["value"].cast("double")))
         .withColumn("seed", F.xxhash64(F.lit(seed), "obs_id"))
     )
@@ -247,17 +248,17 @@ def downsample(entries: DataFrame, applied: DataFrame, seed: int) -> DataFrame:
     def draw(counts: pd.Series, size: pd.Series, seeds: pd.Series) -> pd.Series:
         drawn = []
         for row, n, key in zip(counts, size, seeds, strict=True):
-            bits = np.random.Generator(np.random.SFC64(int(key) & 0xFFFFFFFFFFFFFFFF))
-            drawn.append(bits.multinomial(int(n), row / row.sum()))
+            total = row.sum()
+            if n >= total:
+                drawn.append(row.astype(np.int64))
+            else:
+                bits = np.random.Generator(np.random.SFC64(int(key) & 0xFFFFFFFFFFFFFFFF))
+                drawn.append(bits.multinomial(int(n), row / total))
         return pd.Series(drawn)
 
-    # Rows that keep all their counts need no draw.
-    whole = F.transform("cells", lambda c: c["value"].cast("long"))
-    partial = rows.where("applied < total").withColumn("drawn", draw("counts", "applied", "seed"))
-    complete = rows.where("applied >= total").withColumn("drawn", whole)
-    both = partial.select("obs_id", "cells", "drawn").unionByName(complete.select("obs_id", "cells", "drawn"))
     return (
-        both.select("obs_id", F.explode(F.arrays_zip("cells", "drawn")).alias("z"))
+        rows.withColumn("drawn", draw("counts", "applied", "seed"))
+        .select("obs_id", F.explode(F.arrays_zip("cells", "drawn")).alias("z"))
         .select("obs_id", F.col("z.cells.feature_id").alias("feature_id"), F.col("z.drawn").alias("value"))
         .where("value > 0")
     )

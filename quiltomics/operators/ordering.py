@@ -138,15 +138,19 @@ def values_at_ranks(
 ) -> DataFrame:
     """Values at given zero-based ranks of a cumulative histogram.
 
-    ``ranks`` holds ``groups``, any label columns and ``rank``; a few rows per group.
+    ``ranks`` holds ``groups``, any label columns and ``rank``: a few rows per group,
+    which travel as one array, so a value looks only at its own group's ranks.
     """
-    inside = (F.col("r.rank") >= F.col("v.before__n")) & (
-        F.col("r.rank") < F.col("v.before__n") + F.col("v._n")
-    )
-    return (
-        histogram.alias("v")
-        .join(ranks.alias("r"), _same("v", groups, "r") & inside)
-        .select("r.*", F.col(f"v.{value}").alias("value"))
+    labels = [c for c in ranks.columns if c not in groups]
+    packed = ranks.groupBy(*groups).agg(F.collect_list(F.struct(*labels)).alias("_ranks"))
+    if groups:
+        joined = histogram.alias("v").join(packed.alias("r"), _same("v", groups, "r")).select("v.*", "_ranks")
+    else:
+        joined = histogram.withColumn("_ranks", packed.scalar())
+    first, last = F.col("before__n"), F.col("before__n") + F.col("_n")
+    hits = F.filter("_ranks", lambda r: (r["rank"] >= first) & (r["rank"] < last))
+    return joined.select(*groups, F.col(value).alias("value"), F.explode(hits).alias("_hit")).select(
+        *groups, *[F.col(f"_hit.{c}").alias(c) for c in labels], "value"
     )
 
 

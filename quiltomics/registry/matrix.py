@@ -6,6 +6,7 @@ from quiltomics.operators import matrix as M
 from quiltomics.operators.ordering import linear_quantiles
 from quiltomics.registry import query
 from quiltomics.registry.views import using
+from quiltomics.session import settled
 from quiltomics.sources import bindings as B
 
 TOTALS = using(
@@ -176,7 +177,8 @@ def _(spark, d):
 
 
 def _cyclic(spark, d):
-    totals = _totals(spark, d).withColumn("obs_ord", F.col("obs_id").cast("long"))
+    # Read by the histogram and by the numbering.
+    totals = settled(_totals(spark, d).withColumn("obs_ord", F.col("obs_id").cast("long")), "totals")
     depths = M.even_sample(totals, "total", 20)
     return M.cyclic_depths(totals, depths, "obs_ord")
 

@@ -148,15 +148,26 @@ def regions(spark: SparkSession) -> DataFrame:
 
 
 def _modality(items: DataFrame, modality: str, feature: str, prefix: str) -> DataFrame:
+    """Entries of one modality, placed by observation.
+
+    Lines hardly repeat a cell, so they are shuffled once by observation; the sum per
+    cell and every later aggregate or join on the observation reuse that placement.
+    """
     return (
-        items.groupBy("l_orderkey", feature)
-        .agg(F.sum(F.col("l_quantity").cast("long")).alias("value"))
+        items.select(
+            F.col("l_orderkey").cast("string").alias("obs_id"),
+            F.col(feature).alias("feature_ord"),
+            F.col("l_quantity").cast("long").alias("value"),
+        )
+        .repartition("obs_id")
+        .groupBy("obs_id", "feature_ord")
+        .agg(F.sum("value").alias("value"))
         .select(
             F.lit("atlas").alias("dataset_id"),
             F.lit(modality).alias("modality"),
-            F.col("l_orderkey").cast("string").alias("obs_id"),
-            F.concat(F.lit(prefix), F.col(feature).cast("string")).alias("feature_id"),
-            F.col(feature).alias("feature_ord"),
+            "obs_id",
+            F.concat(F.lit(prefix), F.col("feature_ord").cast("string")).alias("feature_id"),
+            "feature_ord",
             "value",
         )
     )
