@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quiltomics.operators import scoring
 from quiltomics.operators.calibration import hash_of
+from quiltomics.operators.matrix import is_finite
 from quiltomics.operators.ordering import rank_by_hash
 from quiltomics.session import settled
 
@@ -214,6 +215,40 @@ def challenge_problems(challenges: DataFrame, common: DataFrame, config: Difficu
     ).drop("n_common", "status")
 
 
+def challenge_rows(
+    entries: DataFrame, observations: DataFrame, common: DataFrame, value_type: str, target_sum: float = 10000.0
+) -> DataFrame:
+    """Valid, normalised sparse rows of both sides on the common feature axis.
+
+    ``entries`` is ``split_id, domain, obs_id, feature_id, value``, ``observations`` the
+    matrix rows ``split_id, domain, obs_id`` and ``common`` the fully measured features
+    ``split_id, feature_id, feature_ord``.  Counts are scaled per row and logged; other
+    values stay as declared.  Everything after the feature join is grouped by row, so
+    one shuffle carries the entries.
+    """
+    keys = ["split_id", "domain", "obs_id"]
+    value = F.col("value").cast("double")
+    finite = is_finite("value")
+    kept = entries.join(common, ["split_id", "feature_id"])
+    rows = kept.groupBy(*keys).agg(
+        F.bool_and(finite).alias("_finite"),
+        F.min(F.when(finite, value)).alias("_low"),
+        F.sum(F.when(finite, value)).alias("_total"),
+        F.array_sort(F.collect_list(F.struct("feature_ord", value.alias("value")))).alias("_cells"),
+    )
+    every = observations.select(*keys).join(rows, keys, "left")
+    valid = F.coalesce("_finite", F.lit(True))
+    cell = F.transform("_cells", lambda c: c["value"])
+    if value_type == "counts":
+        valid = valid & F.coalesce(F.col("_low") >= 0, F.lit(True)) & (F.coalesce("_total", F.lit(0.0)) > 0)
+        cell = F.transform("_cells", lambda c: F.log1p(c["value"] * (F.lit(target_sum) / F.col("_total"))))
+    return every.where(valid).select(
+        *keys,
+        F.coalesce(F.transform("_cells", lambda c: c["feature_ord"].cast("int")), F.array().cast("array<int>")).alias("indices"),
+        F.coalesce(cell, F.array().cast("array<double>")).alias("values"),
+    )
+
+
 def as_sparse(vector: str | Column) -> tuple[Column, Column]:
     """Indices and values of a dense array column."""
     vector = F.col(vector) if isinstance(vector, str) else vector

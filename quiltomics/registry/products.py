@@ -471,3 +471,48 @@ def _(spark, d):
     challenges = rows.select("split_id").distinct().withColumn("challenge_type", F.lit("cross_subject"))
     report = D.evaluate(challenges, rows, CONFIG)
     return report.select("split_id", "status", F.round("mean_auroc", 6).alias("mean_auroc"), "difficulty_rank", "domain_shift_score", "error")
+
+
+# Sized for 60 gene groups of the region split, scored on the full operator chain.
+MATRIX_CONFIG = D.DifficultyConfig(
+    repeats=2, folds=3, max_observations=400, min_observations=20, max_features=60, components=20
+)
+
+
+def _matrix_rows(spark, d):
+    sides = splits.spatial_split(B.observations(spark, d), B.regions(spark), "regions").select(
+        "split_id", F.col("side").alias("domain"), "obs_id"
+    )
+    grouped = (
+        B.entries(spark, d, "rna")
+        .groupBy("obs_id", (F.col("feature_ord") % 60).alias("feature_ord"))
+        .agg(F.sum("value").alias("value"))
+        .withColumn("feature_id", F.concat(F.lit("c"), F.col("feature_ord").cast("string")))
+    )
+    common = grouped.select(F.lit("regions").alias("split_id"), "feature_id", "feature_ord").distinct()
+    entries = grouped.drop("feature_ord").join(sides, "obs_id")
+    return D.challenge_rows(entries, sides, common, "counts")
+
+
+@query(
+    "challenge_rows",
+    using("sides", "rna", more="""g AS (SELECT obs_id, feature_ord % 60 AS o, sum(value) AS v FROM rna GROUP BY ALL),
+      n AS (SELECT obs_id, o, ln(1 + v * (10000.0::DOUBLE / sum(v) OVER (PARTITION BY obs_id))) AS v FROM g)""")
+    + """SELECT side AS domain, obs_id, string_agg(CAST(o AS VARCHAR), ',' ORDER BY o) AS indices, round(sum(v), 4) AS total
+      FROM n JOIN sides USING (obs_id) GROUP BY ALL""",
+)
+def _(spark, d):
+    rows = _matrix_rows(spark, d)
+    return rows.select(
+        "domain",
+        "obs_id",
+        F.array_join(F.transform("indices", lambda i: i.cast("string")), ",").alias("indices"),
+        F.round(F.aggregate("values", F.lit(0.0), lambda a, v: a + v), 4).alias("total"),
+    )
+
+
+@query("challenge_difficulty_matrix")
+def _(spark, d):
+    challenges = spark.createDataFrame([("regions", "same_slice")], "split_id string, challenge_type string")
+    report = D.evaluate(challenges, _matrix_rows(spark, d), MATRIX_CONFIG)
+    return report.select("split_id", "status", F.round("mean_auroc", 6).alias("mean_auroc"), "error")
