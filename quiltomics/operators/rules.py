@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from quiltomics import schema
 from quiltomics.operators import features as X
 from quiltomics.operators import matrix as M
+from quiltomics.operators.ordering import numbered
 
 Tables = Mapping[str, DataFrame]
 
@@ -824,7 +825,7 @@ def _(t: Tables) -> DataFrame:
 
 @rule("feature_merge_policy_mismatch", "/mod/var/index")
 def _(t: Tables) -> DataFrame:
-    """Stored axis against the axis its policy prescribes, membership for the set policies."""
+    """Stored axis against the axis its policy prescribes: members, and order where it is taken over."""
     declared = t["derived"].select("dataset_id", "feature_merge_policy", "reference_dataset_id", F.explode("source_dataset_ids").alias("source_id"))
     supplied = declared.join(t["source_features"].select("source_id", "feature_id", "feature_ord"), "source_id")
     k = supplied.groupBy("dataset_id").agg(F.countDistinct("source_id").alias("k"))
@@ -843,11 +844,28 @@ def _(t: Tables) -> DataFrame:
         .select("dataset_id", "feature_id", F.lit(1).alias("_e"))
     )
     stored = t["merged_features"].select("dataset_id", "feature_id", F.lit(1).alias("_s"))
-    return (
+    members = (
         stored.join(per_feature, ["dataset_id", "feature_id"], "full_outer")
         .where("_s IS NULL OR _e IS NULL")
         .select("dataset_id", F.col("feature_id").alias("sample"))
     )
+    if "feature_ord" not in t["merged_features"].columns:
+        return members
+    # Order counts where the axis is taken over: neighbours must not swap in any source.
+    taken_over = supplied.where(
+        (F.col("feature_merge_policy") == "preserve") | (F.col("source_id") == F.col("reference_dataset_id"))
+    ).select("dataset_id", "source_id", "feature_id", F.col("feature_ord").alias("_source_ord"))
+    both = taken_over.join(
+        t["merged_features"].select("dataset_id", "feature_id", F.col("feature_ord").alias("_stored_ord")),
+        ["dataset_id", "feature_id"],
+    )
+    keys = ["dataset_id", "source_id"]
+    by_source = numbered(both, [F.col("_source_ord"), F.col("feature_id")], keys, "_p")
+    by_store = numbered(both, [F.col("_stored_ord"), F.col("feature_id")], keys, "_q").select(
+        *keys, "feature_id", "_q"
+    )
+    swapped = by_source.join(by_store, [*keys, "feature_id"]).where("_p <> _q")
+    return members.unionByName(swapped.select("dataset_id", F.col("feature_id").alias("sample")))
 
 
 # --- train/test pairs ----------------------------------------------------------------------------------------

@@ -284,3 +284,23 @@ def test_validity_precedence(spark):
     loose = {r.obs_id: r.reason for r in M.row_validity(entries, observations, "normalized").collect()}
     assert loose == {"a": "non_finite", "b": None, "c": None, "d": None}
     assert math.isclose(M.library_size_log1p(entries.where("obs_id = 'c'")).first().value, math.log1p(10000))
+
+
+def test_policy_order_rule(spark):
+    from quiltomics.operators import rules as V
+
+    features = axis(spark, [("A", ["g1", "g2", "g3"]), ("B", ["g1", "g2", "g3"])])
+    declared = spark.createDataFrame(
+        [("d", "preserve", None, ["A", "B"])],
+        "dataset_id string, feature_merge_policy string, reference_dataset_id string, source_dataset_ids array<string>",
+    )
+
+    def stored(order):
+        rows = [("d", f, i) for i, f in enumerate(order)]
+        table = spark.createDataFrame(rows, "dataset_id string, feature_id string, feature_ord long")
+        tables = {"source_features": features, "derived": declared, "merged_features": table}
+        return V.findings(tables, ["feature_merge_policy_mismatch"]).collect()
+
+    assert stored(["g1", "g2", "g3"]) == []
+    assert stored(["g1", "g3", "g2"])[0].n_bad == 4
+    assert stored(["g1", "g2"])[0].sample == "g3"
