@@ -4,17 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quiltomics.llm.common import table
+from quiltomics.llm.packing import packing_digest
 from quiltomics.llm.sharding import shard_digest
 
 
+def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing_digest(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shard_digest(table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_packing": op3_packing,
     "op4_sharding": op4_sharding,
 }
 
