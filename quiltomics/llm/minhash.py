@@ -11,8 +11,8 @@ k - need + 1 rarest: only those are posted in inverted lists, which keeps common
    full sets confirm it, and the links form components.
 3. A list that still spans several components is worked through in blocks: retained values count the
    overlaps inside the block, pairs of different components are confirmed on full sets, and a spanning
-   forest of the links found is returned.  No pair that could join two components is left out, and the
-   pairs of one component are never listed.
+   forest of the links found is returned.  No pair that could join two components is left out, each is
+   compared in the list of its least common posted value only, and pairs are never listed.
 
 Defined cases: null and blank texts have no shingles and link with nothing; a text with fewer words than
 a shingle is one shingle; repeated rows are members of their class; rows of one id are one document;
@@ -173,39 +173,73 @@ class _Forest:
         return True
 
 
+def _shared(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Intersection size of one full set with each of the others (none of them empty)."""
+    flat = np.concatenate(others)
+    at = np.minimum(np.searchsorted(one, flat), len(one) - 1)
+    starts = np.cumsum([0] + [len(o) for o in others[:-1]])
+    return np.add.reduceat((one[at] == flat).astype(np.int64), starts)
+
+
+def _meetings(values: list[np.ndarray]) -> np.ndarray:
+    """How many values each two members share, counted through the values' member lists."""
+    count = len(values)
+    owners, flat = np.repeat(np.arange(count), [len(v) for v in values]), np.concatenate(values)
+    order = np.argsort(flat, kind="stable")
+    owners, flat = owners[order], flat[order]
+    met, wide = np.zeros((count, count), np.float32), []
+    for members in np.split(owners, np.flatnonzero(np.diff(flat)) + 1):
+        if len(members) > 32:
+            wide.append(members)
+        elif len(members) > 1:
+            met[np.ix_(members, members)] += 1
+    for first in range(0, len(wide), 512):
+        # Values that many members hold: one matrix product for all of them.
+        holds = np.zeros((count, len(wide[first : first + 512])), np.float32)
+        for column, members in enumerate(wide[first : first + 512]):
+            holds[members, column] = 1
+        met += holds @ holds.T
+    return met
+
+
 def block_links(
-    labels: list[int], sets: list[np.ndarray], sides: np.ndarray | None, k: int, percent: int
+    labels: list[int],
+    sets: list[np.ndarray],
+    earlier: list[np.ndarray],
+    sides: np.ndarray | None,
+    k: int,
+    percent: int,
 ) -> list[tuple[int, int]]:
-    """A spanning forest, over component labels, of the links inside a block.
+    """A spanning forest, over component labels, of the links inside a block of one list.
 
-    With ``sides`` only pairs of different sides count (the others belong to another block).
+    ``earlier`` has each member's posted values below this list's: two members that share one of them
+    meet in that value's list.  With ``sides`` only pairs of different sides count (the others belong
+    to another block).
     """
-    need, count = least_overlap(k, percent), len(sets)
+    need = least_overlap(k, percent)
     forest, links = _Forest(labels), []
-    owners = np.repeat(np.arange(count), [min(k, len(s)) for s in sets])
-    values = np.concatenate([s[:k] for s in sets])
-    order = np.argsort(values, kind="stable")
-    owners, values = owners[order], values[order]
-    cuts = np.flatnonzero(np.diff(values)) + 1
-    overlaps = np.zeros((count, count), np.int16)
-    for members in np.split(owners, cuts):
-        if len(members) > 1:
-            overlaps[np.ix_(members, members)] += 1
+    overlaps, before = _meetings([s[:k] for s in sets]), _meetings(earlier)
     lengths = np.array([len(s) for s in sets])
     least = np.minimum(need, -(-percent * lengths // 100))
     roots = np.array(labels)
-    # Rows first by the size of their component's share of the block, so that components grow at once.
-    for one in range(count):
-        rivals = np.flatnonzero(overlaps[one] >= np.maximum(least[one], least))
-        rivals = rivals[rivals > one]
+    for one in range(len(sets)):
+        fit = (overlaps[one] >= np.maximum(least[one], least)) & (before[one] == 0) & (roots != roots[one])
+        fit &= 100 * np.minimum(lengths, lengths[one]) >= percent * np.maximum(lengths, lengths[one])
+        fit[: one + 1] = False
         if sides is not None:
-            rivals = rivals[sides[rivals] != sides[one]]
-        rivals = rivals[roots[rivals] != roots[one]]
-        for two in rivals[np.argsort(-overlaps[one][rivals], kind="stable")]:
+            fit &= sides != sides[one]
+        rivals = np.flatnonzero(fit)
+        if not len(rivals):
+            continue
+        shared = _shared(sets[one], [sets[r] for r in rivals])
+        linked = rivals[100 * shared >= percent * (lengths[one] + lengths[rivals] - shared)]
+        for two in linked:
             a, b = forest.root(labels[one]), forest.root(labels[two])
-            if a != b and similar(sets[one], sets[two], percent):
-                forest.tie(a, b)
+            if forest.tie(a, b):
                 links.append((a, b))
+        if len(linked):
+            merged = np.isin(roots, roots[linked]) | (roots == roots[one])
+            roots[merged] = roots[merged].min()
     return links
 
 
@@ -217,26 +251,43 @@ def _spanning(lists: DataFrame, labels: DataFrame, texts: DataFrame, k: int, per
     spans = labelled.groupBy("value").agg(
         F.min("label").alias("_low"), F.max("label").alias("_high"), F.count(F.lit(1)).alias("_n")
     )
-    spans = spans.where(F.col("_low") < F.col("_high")).select("value", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks"))
-    members = labelled.join(spans, "value")
+    # A list of two is one pair, and its least member has been compared with the other.
+    spans = spans.where((F.col("_low") < F.col("_high")) & (F.col("_n") > 2))
+    members = labelled.join(spans.select("value", "_n", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks")), "value")
     # Block pairs (i, j) with i <= j; a list within one block is the pair (0, 0).
     own = F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int")
     members = members.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     members = members.select(
-        "value", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own", "id", "label"
+        "value", "_n", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own", "id", "label"
     )
     members = settled(members, "block-members")
-    if members.isEmpty():
+    count = members.count()
+    if not count:
         return None
-    rows = members.join(texts, "id")
-
-    def run(key: tuple, block: pa.Table) -> pa.Table:
-        sets = list(shingle_sets(block.column("text"), size))
-        sides = block.column("_own").to_numpy() if key[1].as_py() != key[2].as_py() else None
-        links = block_links(block.column("label").to_pylist(), sets, sides, k, percent)
+    posted = lists.groupBy("id").agg(F.collect_list("value").alias("_posted"))  # at most k
+    # Short lists share tasks; a long one is a group of its own.
+    together = F.pmod(F.xxhash64("value"), F.lit(1 + count // 4096))
+    group = F.when(F.col("_n") > 64, F.xxhash64("value", "i", "j")).otherwise(together)
+    rows = members.withColumn("_group", group).join(posted, "id").join(texts, "id")
+
+    def run(block: pa.Table) -> pa.Table:
+        links: list[tuple[int, int]] = []
+        block = block.combine_chunks()
+        lists_of = [block.column(n).to_numpy() for n in ("value", "i", "j")]
+        order = np.lexsort(lists_of)
+        turns = np.zeros(len(order), bool)
+        for column in lists_of:
+            turns[1:] |= np.diff(column[order]) != 0
+        for part in np.split(order, np.flatnonzero(turns)):
+            rows = block.take(pa.array(part))
+            value, one_side = rows.column("value")[0].as_py(), rows.column("i")[0] == rows.column("j")[0]
+            sets = list(shingle_sets(rows.column("text"), size))
+            earlier = [np.array([v for v in posts if v < value], np.int64) for posts in rows.column("_posted").to_pylist()]
+            sides = None if one_side else rows.column("_own").to_numpy()
+            links += block_links(rows.column("label").to_pylist(), sets, earlier, sides, k, percent)
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
-    return rows.groupBy("value", "i", "j").applyInArrow(run, "a long, b long")
+    return rows.groupBy("_group").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 64, percent: int = 75, size: int = 5) -> DataFrame:
