@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quiltomics.llm.common import table
+from quiltomics.llm.language import language_digest
 from quiltomics.llm.minhash import near_duplicates
 from quiltomics.llm.packing import packing_digest
 from quiltomics.llm.sharding import shard_digest
@@ -25,10 +26,15 @@ def op7_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
 
+def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_digest(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_sharding": op4_sharding,
     "op7_minhash_dedup": op7_minhash_dedup,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLES: dict[str, str] = {}
