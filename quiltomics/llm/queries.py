@@ -11,6 +11,7 @@ from quiltomics.llm.common import table
 from quiltomics.llm.language import language_digest
 from quiltomics.llm.minhash import near_duplicates
 from quiltomics.llm.packing import packing_digest
+from quiltomics.llm.quality import quality_digest
 from quiltomics.llm.sharding import shard_digest
 
 
@@ -26,6 +27,10 @@ def op7_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
 
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_digest(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_digest(table(spark, folder, "documents"))
 
@@ -34,6 +39,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_sharding": op4_sharding,
     "op7_minhash_dedup": op7_minhash_dedup,
+    "op8_quality": op8_quality,
     "op10_language_id": op10_language_id,
 }
 
