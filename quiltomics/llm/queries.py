@@ -13,6 +13,11 @@ from quiltomics.llm.minhash import near_duplicates
 from quiltomics.llm.packing import packing_digest
 from quiltomics.llm.quality import quality_digest
 from quiltomics.llm.sharding import shard_digest
+from quiltomics.llm.toxicity import toxicity_digest
+
+
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity_digest(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
 def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
@@ -36,6 +41,7 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
     "op3_packing": op3_packing,
     "op4_sharding": op4_sharding,
     "op7_minhash_dedup": op7_minhash_dedup,
