@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quiltomics.llm.common import table
+from quiltomics.llm.decontam import contaminated
 from quiltomics.llm.language import language_digest
 from quiltomics.llm.minhash import near_duplicates
 from quiltomics.llm.packing import packing_digest
@@ -28,6 +29,10 @@ def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shard_digest(table(spark, folder, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op7_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
@@ -44,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_packing": op3_packing,
     "op4_sharding": op4_sharding,
+    "op6_decontamination": op6_decontamination,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op8_quality": op8_quality,
     "op10_language_id": op10_language_id,
