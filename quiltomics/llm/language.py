@@ -145,8 +145,9 @@ def fit_languages(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Language
     return model
 
 
-def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """All rows and columns of ``docs`` with ``lang_pred`` and ``score``."""
+def identify(docs: DataFrame, model: LanguageModel, added: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All rows and columns of ``docs`` with the language and its score; ``added`` names them, and replaces columns of those names."""
+    docs = docs.drop(*added)
     names = docs.columns
     place = names.index("text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
@@ -164,9 +165,9 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 found = ["und" if b else found[i] for i, b in enumerate(blank)]
                 arrays = [part.column(i) for i in range(len(names))]
                 arrays += [pa.array(found, pa.string()), pa.array(np.where(blank, 0.0, sure).astype(float), pa.float64())]
-                yield pa.RecordBatch.from_arrays(arrays, [*names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays(arrays, [*names, *added])
 
-    return docs.mapInArrow(run, schema + ", lang_pred string, score double")
+    return docs.mapInArrow(run, schema + f", `{added[0]}` string, `{added[1]}` double")
 
 
 def language_digest(docs: DataFrame) -> DataFrame:

@@ -15,8 +15,8 @@ k - need + 1 rarest: only those are posted in inverted lists, which keeps common
    compared in the list of its least common posted value only, and pairs are never listed.
 
 Defined cases: null and blank texts have no shingles and link with nothing; a text with fewer words than
-a shingle is one shingle; repeated rows are members of their class; rows of one id are one document;
-an empty table gives no rows; columns other than the id and the text are ignored.
+a shingle is one shingle; repeated rows are members of their class; rows of one id are one document; a
+row without an id is never a representative, and is kept where its text has no other; an empty table gives no rows; columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations
@@ -294,7 +294,7 @@ def near_duplicates(docs: DataFrame, k: int = 64, percent: int = 75, size: int =
     """Per row: doc_id, n_shingles, component_id (least linked doc_id), kept."""
     rows = settled(sketches(docs, k, size), "sketches")
     sets = settled(
-        rows.where("n_shingles > 0").groupBy("digest").agg(
+        rows.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(
             F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")
         ),
         "sets",
@@ -316,4 +316,16 @@ def near_duplicates(docs: DataFrame, k: int = 64, percent: int = 75, size: int =
     classes = sets.join(labels, sets.id == labels.node, "left").select("digest", F.coalesce("component", "id").alias("_component"))
     joined = rows.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
     component = F.coalesce("_component", "doc_id")
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    kept = F.coalesce(component == F.col("doc_id"), component.isNull())
+    return joined.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+
+
+def deduplicated(docs: DataFrame, k: int = 64, percent: int = 75, size: int = 5) -> DataFrame:
+    """One document of every near-duplicate group, all columns; of repeated rows of one id, one."""
+    kept = near_duplicates(docs, k, percent, size).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    # An id whose rows repeat within the kept ones keeps its first row.
+    once = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    repeated = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("_again"))
+    single = once.join(repeated, F.col("doc_id") == F.col("_again"), "left_anti")
+    again = once.join(repeated, F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id"])
+    return single.unionByName(again)

@@ -178,8 +178,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL)
     return fit_chain([r.text for r in rows], np.array([r.quality for r in rows]))
 
 
-def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """All rows and columns of ``docs`` with ``quality_score``."""
+def score_quality(docs: DataFrame, model: QualityModel, added: str = "quality_score") -> DataFrame:
+    """All rows and columns of ``docs`` with the score; ``added`` names it, and replaces a column of that name."""
+    docs = docs.drop(added)
     names = docs.columns
     place = names.index("text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
@@ -190,9 +191,9 @@ def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
                 part = batch.slice(first, 256)
                 found = model.scores(part.column(place).to_pylist())
                 arrays = [part.column(i) for i in range(len(names))] + [pa.array(found, pa.float64())]
-                yield pa.RecordBatch.from_arrays(arrays, [*names, "quality_score"])
+                yield pa.RecordBatch.from_arrays(arrays, [*names, added])
 
-    return docs.mapInArrow(run, schema + ", quality_score double")
+    return docs.mapInArrow(run, schema + f", `{added}` double")
 
 
 def quality_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -249,8 +249,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL)
     return model
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """All rows and columns of ``docs`` with ``toxicity_score`` and the number of matched clauses."""
+def score_toxicity(
+    docs: DataFrame, model: ToxicityModel, added: tuple[str, str] = ("toxicity_score", "strongest_clause")
+) -> DataFrame:
+    """All rows and columns of ``docs`` with the score and the strongest clause's weight; ``added`` names them,
+    and replaces columns of those names."""
+    docs = docs.drop(*added)
     names = docs.columns
     place = names.index("text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
@@ -263,10 +267,10 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             arrays = [batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(
                 [*arrays, pa.array(1 / (1 + np.exp(-np.clip(logits, -30, 30)))), pa.array([f[0] for f in found], pa.float64())],
-                [*names, "toxicity_score", "strongest_clause"],
+                [*names, *added],
             )
 
-    return docs.mapInArrow(run, schema + ", toxicity_score double, strongest_clause double")
+    return docs.mapInArrow(run, schema + f", `{added[0]}` double, `{added[1]}` double")
 
 
 def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
