@@ -56,7 +56,7 @@ def attribute(ends: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[
     best, most = np.full(len(ends), -1), np.zeros(len(ends), np.int64)
     place = np.searchsorted(stops, begins, side="right")
     parts = np.zeros(len(ends), np.int64)
-    while True:
+    while len(starts):
         open_ = np.flatnonzero((place < len(starts)) & (starts[np.minimum(place, len(starts) - 1)] < ends))
         if not len(open_):
             break
