@@ -95,11 +95,12 @@ def isotonic_fit(rows: DataFrame, raw: str, outcome: str, tie_break: str) -> Dat
         F.col("v").alias("total"),
         F.lit(1).cast("long").alias("n"),
     )
-    # 4096 * 64^4 rows meet in one run after the last level.
-    for level in range(5):
-        if level:
-            blocks = blocks.withColumn("run", F.floor(F.col("run") / _FAN_IN).cast("long"))
-        blocks = blocks.groupBy("run").applyInPandas(pool, shape)
+    blocks = blocks.groupBy("run").applyInPandas(pool, shape)
+    # Levels until all runs have met, whatever the number of rows.
+    runs = -(-placed.count() // _POOL)
+    while runs > 1:
+        runs = -(-runs // _FAN_IN)
+        blocks = blocks.withColumn("run", F.floor(F.col("run") / _FAN_IN).cast("long")).groupBy("run").applyInPandas(pool, shape)
     spread = blocks.select(
         "first_ord",
         "last_ord",

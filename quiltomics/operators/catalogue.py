@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiltomics.schema import CHALLENGE_TYPES, DERIVED_TYPES
@@ -172,7 +172,10 @@ def challenge_page(
         value = F.asc("auroc") if sort == "difficulty_asc" else F.desc("auroc")
         order = [F.asc(F.col("auroc").isNull()), value, *newest]
     page = splits.orderBy(*order).offset(offset).limit(limit)
-    return page.join(build_challenges(datasets), "split_id").withColumn("total", total.scalar())
+    # At most ``limit`` rows are numbered; the join below loses the order, ``position`` keeps it.
+    page = page.withColumn("position", (F.row_number().over(Window.orderBy(*order)) + offset - 1).cast("long"))
+    shown = page.join(build_challenges(datasets).join(page.select("split_id"), "split_id", "left_semi"), "split_id")
+    return shown.withColumn("total", total.scalar()).orderBy("position")
 
 
 def duplicate_sides(datasets: DataFrame) -> DataFrame:

@@ -314,36 +314,33 @@ def _(spark, d):
 @query(
     "list_challenges_newest",
     using("chal", more="m AS (SELECT split_id, max(imported_at) AS recency FROM cat WHERE split_id IS NOT NULL AND spatial_unit = 'cell' GROUP BY split_id)")
-    + """SELECT split_id, train_id, test_id, recency, (SELECT count(*) FROM m) AS total
+    + """SELECT row_number() OVER (ORDER BY recency DESC, split_id) - 1 AS position, split_id, train_id, test_id, recency, (SELECT count(*) FROM m) AS total
       FROM m JOIN chal USING (split_id) ORDER BY recency DESC, split_id LIMIT 20 OFFSET 10""",
 )
 def _(spark, d):
     return C.challenge_page(*_both(spark, d), C.CatalogueFilter(spatial_unit="cell"), 10, 20).select(
-        "split_id", "train_id", "test_id", "recency", "total"
+        "position", "split_id", "train_id", "test_id", "recency", "total"
     )
 
 
-_DIFFICULTY = """SELECT split_id, train_id, test_id, round(auroc, 6) AS auroc, (SELECT count(*) FROM m) AS total
+_DIFFICULTY = """SELECT row_number() OVER (ORDER BY auroc IS NULL, auroc {dir}, recency DESC, split_id) - 1 AS position,
+      split_id, train_id, test_id, auroc, (SELECT count(*) FROM m) AS total
       FROM m JOIN chal USING (split_id) LEFT JOIN auc USING (split_id)
       ORDER BY auroc IS NULL, auroc {dir}, recency DESC, split_id LIMIT 30 OFFSET 5"""
 _DIFFICULTY_WITH = using(
     "chal",
     "scores",
     more="""m AS (SELECT split_id, max(imported_at) AS recency FROM cat WHERE split_id IS NOT NULL GROUP BY split_id),
-    auc AS (SELECT split_id, avg(auroc) AS auroc FROM (SELECT split_id, round(auroc, 1) AS auroc FROM scores WHERE repeat = 1) GROUP BY split_id)""",
+    auc AS (SELECT split_id, round(avg(auroc), 2) AS auroc FROM (SELECT split_id, round(auroc, 1) AS auroc FROM scores) GROUP BY split_id)""",
 )
 
 
 def _by_difficulty(spark, d, sort):
     ds, ms = _both(spark, d)
-    aurocs = (
-        B.challenge_scores(spark, d)
-        .where("repeat = 1")
-        .groupBy("split_id")
-        .agg(F.avg(F.round("auroc", 1)).alias("auroc"))
-    )
+    # The mean over all repeats, rounded so that ties occur.
+    aurocs = B.challenge_scores(spark, d).groupBy("split_id").agg(F.round(F.avg(F.round("auroc", 1)), 2).alias("auroc"))
     return C.challenge_page(ds, ms, C.CatalogueFilter(), 5, 30, sort, aurocs).select(
-        "split_id", "train_id", "test_id", F.round("auroc", 6).alias("auroc"), "total"
+        "position", "split_id", "train_id", "test_id", "auroc", "total"
     )
 
 

@@ -175,18 +175,31 @@ def _(spark, d):
     return X.reference_axis(B.source_features(spark, d), "3-MEDIUM")
 
 
+NAMED = using(
+    "feat",
+    more="""mapped AS (SELECT source_id, source_ord, feature_id, feature_ord,
+      CASE WHEN source_ord <= 2 THEN canonical_id WHEN feature_ord % 3 > 0 THEN 'c' || (feature_ord % 500) END AS canonical_id FROM feat)""",
+)
+
+
 @query(
     "canonical_intersection",
-    MAPPED
+    NAMED
     + """SELECT canonical_id, row_number() OVER (ORDER BY o, canonical_id) - 1 AS target_ord FROM
       (SELECT canonical_id, min(feature_ord) FILTER (source_ord = s0) AS o FROM
          (SELECT *, min(source_ord) OVER (PARTITION BY canonical_id) AS s0 FROM mapped
-          WHERE canonical_id IS NOT NULL AND source_ord > 2)
-       GROUP BY canonical_id HAVING count(DISTINCT source_id) = 3)""",
+          WHERE canonical_id IS NOT NULL)
+       GROUP BY canonical_id HAVING count(DISTINCT source_id) = 5)""",
 )
 def _(spark, d):
-    mapped = X.map_features(*_mapped(spark, d)).where("source_ord > 2")
-    return X.intersection(mapped, "canonical_id")
+    features, rules, mapping = _mapped(spark, d)
+    # All sources name their features in one vocabulary: by a column or by a mapping file.
+    rules = rules.withColumn("kind", F.when(F.col("kind") == "identity", "var_column").otherwise(F.col("kind")))
+    named = features.select("source_id", "feature_id", "feature_ord")
+    mapping = mapping.join(named, ["source_id", "feature_id"]).select(
+        "source_id", "feature_id", F.concat(F.lit("c"), (F.col("feature_ord") % 500).cast("string")).alias("mapped_id")
+    )
+    return X.intersection(X.map_features(features, rules, mapping), "canonical_id")
 
 
 @query(

@@ -207,15 +207,16 @@ def _(spark, d):
 _SX = """e AS (SELECT 'rna' AS modality, obs_id, feature_ord % 50 AS o, sum(value) AS v FROM x WHERE modality = 'rna' GROUP BY ALL
       UNION ALL SELECT 'protein', obs_id, feature_ord % 10, sum(value) FROM x WHERE modality = 'protein' GROUP BY ALL),
     axis AS (SELECT 'rna' AS modality, unnest(range(50)) AS o UNION ALL SELECT 'protein', unnest(range(10))),
-    ms AS (SELECT DISTINCT o_orderpriority AS source_id, l_partkey % 50 AS o FROM lineitem JOIN orders ON o_orderkey = l_orderkey
-      WHERE l_linenumber = 7 AND l_quantity >= {q}),
+    ms AS (SELECT o_orderpriority AS source_id, l_partkey % 50 AS o FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+      GROUP BY ALL HAVING 2 * sum(CAST(l_quantity AS BIGINT)) >= {q} * count(*)),
     vec AS (SELECT obs_id, modality, string_agg(CAST(coalesce(v, 0) AS BIGINT), ',' ORDER BY o) AS s FROM (SELECT obs_id, modality, o FROM obs, axis) oa LEFT JOIN e USING (modality, o, obs_id) GROUP BY ALL),
     msk AS (SELECT s.source_id, string_agg(CASE WHEN ms.o IS NULL THEN '0' ELSE '1' END, '' ORDER BY s.o) AS m, bool_and(ms.o IS NOT NULL) AS complete
       FROM (SELECT source_id, o FROM (SELECT DISTINCT sample_id AS source_id FROM obs), (SELECT o FROM axis WHERE modality = 'rna')) s LEFT JOIN ms ON ms.source_id = s.source_id AND ms.o = s.o GROUP BY s.source_id),
     pr AS (SELECT obs_id, bool_or(modality = 'rna') AS r, bool_or(modality = 'protein') AS p FROM members GROUP BY obs_id)"""
 
 
-def _samples(spark, d, quantity):
+def _samples(spark, d, limit):
+    """Samples whose features count as measured where twice their mean quantity reaches the limit."""
     entries = B.entries(spark, d).withColumn(
         "feature_ord",
         F.when(F.col("modality") == "rna", F.col("feature_ord") % 50).otherwise(F.col("feature_ord") % 10),
@@ -223,10 +224,11 @@ def _samples(spark, d, quantity):
     grouped = entries.groupBy("modality", "obs_id", "feature_ord").agg(F.sum("value").alias("value"))
     measured = (
         B.table(spark, d, "lineitem")
-        .where(f"l_linenumber = 7 AND l_quantity >= {quantity}")
         .join(B.table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .select(F.col("o_orderpriority").alias("source_id"), (F.col("l_partkey") % 50).alias("feature_ord"))
-        .distinct()
+        .groupBy(F.col("o_orderpriority").alias("source_id"), (F.col("l_partkey") % 50).alias("feature_ord"))
+        .agg(F.sum(F.col("l_quantity").cast("long")).alias("_q"), F.count(F.lit(1)).alias("_n"))
+        .where(2 * F.col("_q") >= limit * F.col("_n"))
+        .select("source_id", "feature_ord")
     )
     axis = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(49).cast("long"))).alias("feature_ord")
     mask = (
@@ -253,14 +255,14 @@ def _bits(column):
 
 @query(
     "training_samples",
-    using("obs", "members", more=_SX.format(q=49))
+    using("obs", "members", more=_SX.format(q=51))
     + """SELECT obs.obs_id, sample_id, coalesce(r, false) AS rna_present, coalesce(p, false) AS protein_present, a.s AS rna, b.s AS protein,
       CASE WHEN coalesce(r, false) THEN m ELSE repeat('0', 50) END AS rna_mask, CASE WHEN coalesce(p, false) THEN repeat('1', 10) ELSE repeat('0', 10) END AS protein_mask
       FROM obs LEFT JOIN pr USING (obs_id) JOIN vec a ON a.obs_id = obs.obs_id AND a.modality = 'rna'
       JOIN vec b ON b.obs_id = obs.obs_id AND b.modality = 'protein' JOIN msk ON msk.source_id = sample_id""",
 )
 def _(spark, d):
-    return _samples(spark, d, 49).select(
+    return _samples(spark, d, 51).select(
         "obs_id",
         "sample_id",
         "rna_present",

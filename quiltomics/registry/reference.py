@@ -146,18 +146,12 @@ def _(spark, d):
 _DISC = """SELECT c.dataset_id, count(*) AS cells, count(DISTINCT donor_id) AS donors, count(DISTINCT ontology_id) AS types,
       (SELECT count(*) FROM (SELECT ontology_id FROM c2 WHERE c2.dataset_id = c.dataset_id GROUP BY 1 HAVING count(DISTINCT donor_id) >= 2)) AS multi_donor_types
       FROM c2 c GROUP BY c.dataset_id"""
-DISC = using("cells", more="c2 AS (SELECT * FROM cells WHERE NOT (dataset_id = 'coll_0' AND donor_id > '1-URGENT' AND ontology_id > 'CL:0000006'))")
-
-
-def _disc(spark, d):
-    return B.reference_cells(spark, d).where(
-        "NOT (dataset_id = 'coll_0' AND donor_id > '1-URGENT' AND ontology_id > 'CL:0000006')"
-    )
+DISC = using("cells", more="c2 AS (SELECT * FROM cells)")
 
 
 @query("reference_discovery", DISC + _DISC)
 def _(spark, d):
-    return R.discovery(_disc(spark, d))
+    return R.discovery(B.reference_cells(spark, d))
 
 
 @query(
@@ -165,7 +159,7 @@ def _(spark, d):
     DISC + "SELECT * FROM (" + _DISC + ") ORDER BY multi_donor_types DESC, donors DESC, cells DESC, dataset_id LIMIT 3",
 )
 def _(spark, d):
-    return R.discovery_order(R.discovery(_disc(spark, d)), 3)
+    return R.discovery_order(R.discovery(B.reference_cells(spark, d)), 3)
 
 
 @query(

@@ -173,14 +173,14 @@ def _(spark, d):
 @query(
     "fn_entropy",
     using("pts")
-    + """SELECT obs_id, round(list_sum(list_transform(w, lambda p: -p * ln(p))) / ln(10), 6) AS entropy,
+    + """SELECT obs_id, round(list_sum(list_transform(w, lambda p: -p * ln(p))) / ln(len(w)), 6) AS entropy,
       round(exp(list_sum(list_transform(w, lambda p: -p * ln(p)))), 6) AS effective FROM
-      (SELECT obs_id, list_transform(vector[1:10], lambda v: abs(v) / list_sum(list_transform(vector[1:10], lambda u: abs(u)))) AS w FROM pts)""",
+      (SELECT obs_id, list_transform(vector, lambda v: abs(v) / list_sum(list_transform(vector, lambda u: abs(u)))) AS w FROM pts)""",
 )
 def _(spark, d):
-    head = F.transform(F.slice("vector", 1, 10), lambda v: F.abs(v))
-    total = F.aggregate(head, F.lit(0.0), lambda a, v: a + v)
-    weights = B.points(spark, d).select("obs_id", head.alias("h"), total.alias("t")).select(
+    sizes = F.transform("vector", lambda v: F.abs(v))
+    total = F.aggregate(sizes, F.lit(0.0), lambda a, v: a + v)
+    weights = B.points(spark, d).select("obs_id", sizes.alias("h"), total.alias("t")).select(
         "obs_id", F.transform("h", lambda v: v / F.col("t")).alias("w")
     )
     return weights.select(

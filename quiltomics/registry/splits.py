@@ -259,12 +259,13 @@ def _(spark, d):
 )
 def _(spark, d):
     from quiltomics.operators.ordering import smallest_by_hash
+    from quiltomics.plans.difficulty import DifficultyConfig
 
     hashed = B.observations(spark, d).withColumn(
         "h", F.sha2(F.concat(F.lit("42\0"), F.col("obs_id")), 256)
     )
-    # The digest of the bounded domain sample, at most 5000 ids.
-    sample = smallest_by_hash(hashed, "h", ["source_dataset_id"], F.lit(5000))
+    # The digest of the difficulty evaluation's domain sample, which its configuration bounds.
+    sample = smallest_by_hash(hashed, "h", ["source_dataset_id"], F.lit(DifficultyConfig().max_observations))
     return S.bounded_digest(
         sample, ["source_dataset_id"], ["obs_ord"], F.concat("obs_id", F.lit("\0"))
     )

@@ -99,9 +99,9 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "feat": (
         (),
         """
-  SELECT DISTINCT o_orderpriority AS source_id, CAST(left(o_orderpriority, 1) AS BIGINT) AS source_ord,
+  SELECT o_orderpriority AS source_id, CAST(left(o_orderpriority, 1) AS BIGINT) AS source_ord,
     'g' || l_partkey AS feature_id, l_partkey AS feature_ord, 'c' || (l_partkey % 500) AS canonical_id
-  FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber = 7""",
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY o_orderpriority, l_partkey HAVING max(l_quantity) >= 45""",
     ),
     "evt": (
         (),

@@ -23,6 +23,10 @@ EVENT_NAMES = {
 }
 
 
+#: Quantity from which a source's feature counts as measured.
+DETECTION_LIMIT = 45
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One driver table."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
@@ -203,19 +207,22 @@ def memberships(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def source_features(spark: SparkSession, folder: str) -> DataFrame:
-    """Ordered feature axis of each source, with the canonical id of every feature."""
+    """Ordered feature axis of each source, with the canonical id of every feature.
+
+    A source measures a feature whose largest quantity over all its lines reaches the detection limit.
+    """
     return (
         table(spark, folder, "lineitem")
-        .where("l_linenumber = 7")
-        .select("l_orderkey", "l_partkey")
+        .select("l_orderkey", "l_partkey", "l_quantity")
         .join(
             table(spark, folder, "orders").select(
                 F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("source_id")
             ),
             "l_orderkey",
         )
-        .select("source_id", "l_partkey")
-        .distinct()
+        .groupBy("source_id", "l_partkey")
+        .agg(F.max("l_quantity").alias("_largest"))
+        .where(F.col("_largest") >= DETECTION_LIMIT)
         .select(
             "source_id",
             F.substring("source_id", 1, 1).cast("long").alias("source_ord"),

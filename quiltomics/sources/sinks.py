@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiltomics.operators.events import latest_status
 
-_WHOLE_FILE_LIMIT = 2_000_000_000
+_BLOCK_BYTES = 1 << 20
 
 
 def export_csv(events: DataFrame, path: str, order: Sequence[str]) -> None:
@@ -106,50 +108,32 @@ def current_generation(log: DataFrame) -> DataFrame:
 
 
 def file_manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Name, size and SHA-256 of every file; one task reads one file, never the driver."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", pattern)
-        .load(path)
-        .where(F.col("length") <= _WHOLE_FILE_LIMIT)
-    )
-    return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("name"),
-        F.col("length").alias("size"),
-        F.sha2("content", 256).alias("sha256"),
-    )
-
+    """Name, size and SHA-256 of every file, of any size.
 
-def large_file_manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Manifest of files too large for one binary value, hashed block by block in tasks.
-
-    The paths must be mounted on the executors.
+    Spark lists the files without reading them; each task reads its files block by block from the store
+    they are in.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", pattern)
-        .load(path)
-        .where(F.col("length") > _WHOLE_FILE_LIMIT)
-        .select("path", "length")
-        .repartition("path")
-    )
+    # The content column is pruned: only paths and sizes are listed.
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "length")
 
-    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
-        from urllib.parse import unquote, urlparse
+        from urllib.parse import unquote
 
         for batch in batches:
             rows = []
-            for name, size in zip(batch["path"], batch["length"], strict=True):
-                local = unquote(urlparse(name).path)
+            for name, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                store, place = pafs.FileSystem.from_uri(re.sub("^file:/+", "file:///", name))
                 state = hashlib.sha256()
-                with open(local, "rb") as stream:
-                    while block := stream.read(1 << 20):
+                with store.open_input_stream(place) as stream:
+                    while block := stream.read(_BLOCK_BYTES):
                         state.update(block)
-                rows.append((local.rsplit("/", 1)[-1], int(size), state.hexdigest()))
-            yield pd.DataFrame(rows, columns=["name", "size", "sha256"])
+                rows.append((unquote(name).rsplit("/", 1)[-1], size, state.hexdigest()))
+            kinds = (pa.string(), pa.int64(), pa.string())
+            columns = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["name", "size", "sha256"])
 
-    return files.mapInPandas(digest, "name string, size long, sha256 string")
+    return files.repartition("path").mapInArrow(digest, "name string, size long, sha256 string")
 
 
 def manifest_differences(manifest: DataFrame, catalogue: DataFrame) -> DataFrame:
