@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiltomics.operators import scoring
@@ -68,18 +68,6 @@ def rank_auroc(score: np.ndarray, positive: np.ndarray) -> float:
     return float((ranks[positive].sum() - n1 * (n1 + 1) / 2) / (n1 * n0))
 
 
-def _fold(matrix: np.ndarray, test: np.ndarray, held: np.ndarray, config: DifficultyConfig) -> tuple[float, int]:
-    training = matrix[~held]
-    variance = training.var(axis=0)
-    candidates = np.flatnonzero(np.isfinite(variance) & (variance > 0))
-    if len(candidates) < config.components or min(len(training), len(candidates)) < config.components:
-        raise ValueError(f"only {len(candidates)} variable features in a fold")
-    chosen = candidates[np.argsort(-variance[candidates], kind="stable")][: config.max_features]
-    fit, held_scores = whitened_pca(training[:, chosen], matrix[held][:, chosen], config.components)
-    weights = ridge_logistic(fit, test[~held].astype(float), config.logistic_c)
-    return rank_auroc(held_scores @ weights[1:] + weights[0], test[held]), len(chosen)
-
-
 def sample_and_folds(rows: DataFrame, config: DifficultyConfig) -> DataFrame:
     """Balanced sample of each challenge and repeat with its stratified fold.
 
@@ -103,52 +91,82 @@ def sample_and_folds(rows: DataFrame, config: DifficultyConfig) -> DataFrame:
     return chosen.join(rows, ["split_id", "domain", "obs_id"])
 
 
+def fold_features(sampled: DataFrame, config: DifficultyConfig) -> DataFrame:
+    """Features of every fold, ``place`` from 1: the largest variances over the rows outside the fold.
+
+    Sums are taken once per fold and subtracted from the sums over all folds.  Counts are whole numbers,
+    so a constant feature has a spread of exactly zero.
+    """
+    key = ["split_id", "repeat"]
+    entry = F.explode(F.arrays_zip("indices", "values")).alias("_e")
+    entries = sampled.select(*key, "fold", entry).select(
+        *key, "fold", F.col("_e.indices").cast("long").alias("feature"), F.col("_e.values").cast("double").alias("_v")
+    )
+    inside = entries.groupBy(*key, "fold", "feature").agg(
+        F.sum("_v").alias("_own"), F.sum(F.col("_v") * F.col("_v")).alias("_own_squares")
+    )
+    everywhere = inside.groupBy(*key, "feature").agg(
+        F.sum("_own").alias("_sum"), F.sum("_own_squares").alias("_squares")
+    )
+    # One row per fold of a challenge and repeat.
+    sizes = sampled.groupBy(*key, "fold").agg(F.count(F.lit(1)).alias("_rows"))
+    outside = F.sum("_rows").over(Window.partitionBy(*key)) - F.col("_rows")
+    sizes = sizes.select(*key, "fold", outside.alias("_n"))
+    own, squares = F.coalesce("_own", F.lit(0.0)), F.coalesce("_own_squares", F.lit(0.0))
+    spread = F.col("_n") * (F.col("_squares") - squares) - F.pow(F.col("_sum") - own, 2)
+    ranked = (
+        everywhere.join(sizes, key)
+        .join(inside, [*key, "fold", "feature"], "left")
+        .select(*key, "fold", "feature", spread.alias("_spread"))
+        .where(is_finite("_spread") & (F.col("_spread") > 0))
+    )
+    # One fold's window holds at most one row per feature of the challenge's axis.
+    order = Window.partitionBy(*key, "fold").orderBy(F.desc("_spread"), "feature")
+    return ranked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= config.max_features).drop("_spread")
+
+
 def fold_scores(sampled: DataFrame, config: DifficultyConfig) -> DataFrame:
     """AUC of every held-out fold.
 
-    ``sampled`` carries sparse rows ``indices, values`` on the challenge's common axis.
-    One group is one repeat of one challenge: at most twice ``max_observations`` rows.
+    ``sampled`` carries sparse rows ``indices, values`` on the challenge's common axis.  One group is one
+    fold of one repeat of one challenge: at most twice ``max_observations`` rows on ``max_features`` columns.
     """
-
-    def evaluate(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["domain", "obs_id"])
-        columns = np.unique(np.concatenate([np.asarray(i, dtype=np.int64) for i in pdf["indices"]]))
-        lengths = [len(i) for i in pdf["indices"]]
-        at = np.repeat(np.arange(len(pdf)), lengths)
-        index = np.searchsorted(columns, np.concatenate([np.asarray(i, dtype=np.int64) for i in pdf["indices"]]))
-        values = np.concatenate([np.asarray(v, dtype=float) for v in pdf["values"]])
-        if len(columns) > 4 * config.max_features:
-            # Keep the features that can be selected in some fold before a dense matrix is built.
-            folds = pdf["fold"].to_numpy()
-            wanted: set[int] = set()
-            for fold in range(config.folds):
-                inside = folds[at] != fold
-                n = int((folds != fold).sum())
-                m = np.bincount(index[inside], values[inside], len(columns)) / n
-                spread = np.bincount(index[inside], values[inside] ** 2, len(columns)) / n - m**2
-                wanted.update(np.argsort(-spread, kind="stable")[: config.max_features].tolist())
-            kept = np.array(sorted(wanted))
-            position = np.full(len(columns), -1)
-            position[kept] = np.arange(len(kept))
-            usable = position[index] >= 0
-            at, index, values, width = at[usable], position[index[usable]], values[usable], len(kept)
-        else:
-            width = len(columns)
-        matrix = np.zeros((len(pdf), width))
-        matrix[at, index] = values
-        test = (pdf["domain"] == "test").to_numpy()
-        rows = []
-        for fold in range(config.folds):
-            held = (pdf["fold"] == fold).to_numpy()
+    key = ["split_id", "repeat", "fold"]
+    folds = F.explode(F.sequence(F.lit(0), F.lit(config.folds - 1)))
+    rows = sampled.select("split_id", "repeat", F.col("fold").alias("own_fold"), "domain", "obs_id", "indices", "values")
+    rows = rows.withColumn("fold", folds)
+
+    def evaluate(keys: tuple, pdf: pd.DataFrame, features: pd.DataFrame) -> pd.DataFrame:
+        result = [*keys, None, None, None]
+        if len(pdf):
             try:
-                value, selected = _fold(matrix, test, held, config)
-                rows.append((keys[0], keys[1], fold, value, selected, None))
+                result[3:5] = _held_out_auroc(pdf.sort_values(["domain", "obs_id"]), features, keys[2], config)
             except (ValueError, np.linalg.LinAlgError) as error:
-                rows.append((keys[0], keys[1], fold, None, None, str(error)))
-        return pd.DataFrame(rows, columns=["split_id", "repeat", "fold", "auroc", "selected_features", "error"])
-
-    needed = sampled.select("split_id", "repeat", "fold", "domain", "obs_id", "indices", "values")
-    return needed.groupBy("split_id", "repeat").applyInPandas(evaluate, FOLD_SCHEMA)
+                result[5] = str(error)
+        return pd.DataFrame([result], columns=["split_id", "repeat", "fold", "auroc", "selected_features", "error"])
+
+    # At most ``max_features`` names per fold.
+    chosen = settled(fold_features(sampled, config), "fold-features")
+    grouped = rows.groupBy(*key).cogroup(chosen.groupBy(*key))
+    return grouped.applyInPandas(evaluate, FOLD_SCHEMA)
+
+
+def _held_out_auroc(pdf: pd.DataFrame, features: pd.DataFrame, fold: int, config: DifficultyConfig) -> tuple[float, int]:
+    """Fit on the rows of the other folds, score the rows of this one."""
+    held, test = (pdf["own_fold"] == fold).to_numpy(), (pdf["domain"] == "test").to_numpy()
+    enough = min(len(features), int((~held).sum()))
+    if enough < config.components:
+        raise ValueError(f"only {len(features)} variable features in a fold")
+    names = np.sort(features["feature"].to_numpy())
+    owner = np.repeat(np.arange(len(pdf)), pdf["indices"].str.len())
+    index, value = (np.concatenate(pdf[c].tolist()) for c in ("indices", "values"))
+    column = np.minimum(np.searchsorted(names, index), len(names) - 1)
+    known = names[column] == index
+    matrix = np.zeros((len(pdf), len(names)))
+    matrix[owner[known], column[known]] = value[known]
+    fitted, scores = whitened_pca(matrix[~held], matrix[held], config.components)
+    weights = ridge_logistic(fitted, test[~held].astype(float), config.logistic_c)
+    return rank_auroc(scores @ weights[1:] + weights[0], test[held]), len(names)
 
 
 def challenge_report(challenges: DataFrame, folds: DataFrame) -> DataFrame:
