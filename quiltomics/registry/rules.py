@@ -13,7 +13,7 @@ from quiltomics import schema
 from quiltomics.operators import features as X
 from quiltomics.operators import rules as V
 from quiltomics.operators.splits import bounded_digest
-from quiltomics.registry import query
+from quiltomics.registry import ORACLES, query
 from quiltomics.registry.views import using
 from quiltomics.sources import bindings as B
 
@@ -186,6 +186,10 @@ _CAT_SQL = """rd AS (SELECT CASE WHEN p_size = 10 THEN '-' || dataset_id ELSE da
     rdm AS (SELECT dataset_id, name, CASE WHEN n_obs % 5 = 0 THEN ['Z'] ELSE technology END AS technology, value_type FROM nm WHERE n_obs % 9 <> 0)"""
 
 
+#: Codes that read each context's tables, by the context's identity.
+CODES: dict[int, list[str]] = {}
+
+
 def _register(context: dict[str, Callable], view: str, code: str, bad: str) -> None:
     found = V.RULES[code]
     sql = (
@@ -196,6 +200,8 @@ def _register(context: dict[str, Callable], view: str, code: str, bad: str) -> N
       min(CAST(sample AS VARCHAR)) AS sample FROM bad GROUP BY dataset_id"""
     )
 
+    CODES.setdefault(id(context), []).append(code)
+
     @query(f"rule_{code}", sql)
     def _(spark, d, code=code):
         return V.findings(Lazy(spark, d, context), [code])
@@ -881,14 +887,18 @@ _all(
 )
 
 
+# The report over every rule of the catalogue's tables.
+_REPORT = " UNION ALL ".join(
+    f"SELECT dataset_id, severity FROM ({ORACLES[f'rule_{code}']})" for code in CODES[id(CATALOGUE)]
+)
+
+
 @query(
     "validation_counts",
-    using("cat", "mods", more=_CAT_SQL)
-    + """SELECT DISTINCT dataset_id, CAST(e AS BIGINT) AS n_errors, CAST(w AS BIGINT) AS n_warnings, e = 0 AS valid FROM
-      (SELECT dataset_id, CASE WHEN p_size = 1 THEN 1 ELSE 0 END + CASE WHEN p_size IN (7, 8) THEN 1 ELSE 0 END AS e,
-        CASE WHEN spatial_unit NOT IN ('cell', 'nucleus', 'spot', 'bin', 'region') THEN 1 ELSE 0 END + CASE WHEN coordinate_unit = 'furlong' THEN 1 ELSE 0 END AS w FROM rd)""",
+    using("cat", "mods", more=_CAT_SQL + f", found AS ({_REPORT})")
+    + """SELECT dataset_id, count(severity) FILTER (severity = 'error') AS n_errors, count(severity) FILTER (severity = 'warning') AS n_warnings,
+      count(severity) FILTER (severity = 'error') = 0 AS valid FROM (SELECT DISTINCT dataset_id FROM rd) LEFT JOIN found USING (dataset_id) GROUP BY dataset_id""",
 )
 def _(spark, d):
     tables = Lazy(spark, d, CATALOGUE)
-    codes = ["missing_database_metadata", "missing_database_field", "nonstandard_spatial_unit", "nonstandard_coordinate_unit"]
-    return V.validation_counts(V.findings(tables, codes), tables["datasets"])
+    return V.validation_counts(V.findings(tables, CODES[id(CATALOGUE)]), tables["datasets"])
