@@ -323,9 +323,12 @@ def near_duplicates(docs: DataFrame, k: int = 64, percent: int = 75, size: int =
 def deduplicated(docs: DataFrame, k: int = 64, percent: int = 75, size: int = 5) -> DataFrame:
     """One document of every near-duplicate group, all columns; of repeated rows of one id, one."""
     kept = near_duplicates(docs, k, percent, size).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    # An id whose rows repeat within the kept ones keeps its first row.
     once = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    repeated = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("_again"))
+    counts = docs.select("doc_id").groupBy("doc_id").count().where("count > 1 and doc_id is not null")
+    repeated = settled(counts.select(F.col("doc_id").alias("_again")), "repeated-ids")
+    if repeated.isEmpty():
+        return once
+    # An id whose rows repeat keeps one of them.
     single = once.join(repeated, F.col("doc_id") == F.col("_again"), "left_anti")
     again = once.join(repeated, F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id"])
     return single.unionByName(again)
