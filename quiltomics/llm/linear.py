@@ -21,6 +21,22 @@ def bounded_sample(rows: DataFrame, label: str, text: str, bound: int) -> DataFr
     return rows.where(share < rate).dropDuplicates([label, text])
 
 
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
+    """``label, text`` of about ``bound`` labelled documents of either label value, each text once.
+
+    The label rows are sampled before they meet the texts, so the documents are not shuffled; the sample,
+    at most about ``bound`` rows for each of two label values, is what is broadcast.
+    """
+    known = labels.where(F.col(label).isin(0, 1)).select("doc_id", label).distinct()
+    counts = {r[label]: r["count"] for r in known.groupBy(label).count().collect()}
+    rate = F.lit(0.0)
+    for value, count in counts.items():
+        rate = F.when(F.col(label) == value, F.lit(min(1.0, bound / count))).otherwise(rate)
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return texts.join(F.broadcast(known.where(share < rate)), "doc_id").select(label, "text").dropDuplicates()
+
+
 def hinge_machine(points: np.ndarray, signs: np.ndarray, passes: int = 30, penalty: float = 1e-4, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear support vector machine: averaged subgradient steps, classes weighted alike."""
     random = np.random.default_rng(seed)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quiltomics.llm.common import held_out
-from quiltomics.llm.linear import bounded_sample, logistic_fit
+from quiltomics.llm.linear import labelled_texts, logistic_fit
 
 #: Training documents of one label, on average.
 PER_LABEL = 800
@@ -171,9 +171,7 @@ def fit_chain(texts: list[str], labels: np.ndarray, rounds: int = 150) -> Qualit
 
 def fit_quality(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> QualityModel:
     """Learn from labelled rows outside the held-out fifth; the sample is bounded by ``per_label``."""
-    known = labels.where(F.col("quality").isNotNull() & ~held_out()).select("doc_id", "quality")
-    learn = docs.where(~held_out()).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(known, "doc_id")
-    rows = bounded_sample(learn.select("quality", "text"), "quality", "text", per_label).collect()
+    rows = labelled_texts(docs, labels.where(~held_out()), "quality", per_label).collect()
     rows.sort(key=lambda r: (r.quality, r.text))
     return fit_chain([r.text for r in rows], np.array([r.quality for r in rows]))
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quiltomics.llm.common import held_out
-from quiltomics.llm.linear import bounded_sample, logistic_fit
+from quiltomics.llm.linear import labelled_texts, logistic_fit
 
 #: Training documents of one label, on average.
 PER_LABEL = 2000
@@ -196,7 +196,7 @@ def learn_lexicon(learn: DataFrame) -> tuple[dict[str, float], dict[str, float]]
         return {}, {}
     words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}']+"))
     marks = learn.select("toxic", F.explode(words).alias("_w")).where(F.length("_w").between(3, 40))
-    with_row = learn.withColumn("_row", F.xxhash64("text"))
+    with_row = learn.withColumn("_row", F.xxhash64("text"))  # each text is in the sample once
     starts = (
         with_row.select("toxic", "_row", F.explode(words).alias("_w"))
         .where(F.length("_w").between(4, 40))
@@ -227,9 +227,7 @@ def learn_lexicon(learn: DataFrame) -> tuple[dict[str, float], dict[str, float]]
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> ToxicityModel:
     """Lexicon and calibration from labelled rows outside the held-out fifth; bounded by ``per_label``."""
-    known = labels.where(F.col("toxic").isin(0, 1) & ~held_out()).select("doc_id", "toxic")
-    learn = docs.where(~held_out()).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(known, "doc_id")
-    sample = bounded_sample(learn.select("toxic", "text"), "toxic", "text", per_label).persist()
+    sample = labelled_texts(docs, labels.where(~held_out()), "toxic", per_label).persist()
     words, beginnings = learn_lexicon(sample)
     model = ToxicityModel(_FIXED | words, beginnings, np.array([0.5, 0.8, 0.1, -3.0]))
 
