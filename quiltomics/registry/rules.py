@@ -6,7 +6,7 @@ arithmetic; each oracle finds the spoiled rows from the raw tables.
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiltomics import schema
@@ -403,16 +403,90 @@ def _categories(spark, d):
     )
 
 
-def _fixed(columns: str, rows: list[tuple]) -> Callable:
-    return lambda spark, d: spark.createDataFrame(rows, columns)
+def _by(column: str, values: dict[str, object], other: object = None) -> Column:
+    """The value that belongs to a column's content, else ``other``."""
+    chosen: Column = F.lit(other)
+    for key, value in values.items():
+        chosen = F.when(F.col(column) == key, F.array(*map(F.lit, value)) if isinstance(value, list) else F.lit(value)).otherwise(chosen)
+    return chosen
 
 
-_S4 = ["S1", "S2", "S3", "S4"]
-_DERIVED_ROWS = [
-    ("DF", _S4, "composite", True, _S4, _S4, "intersection", None, "cell", "micrometer"),
-    ("DO", [*_S4, "S9"], "composite", True, ["S1", "S2"], ["S1", "S3"], "union", None, "cell", "micrometer"),
-    ("DP", ["S1"], "subset", False, ["S1"], ["S1"], "preserve", None, "spot", "pixel"),
-]
+def _links(spark, d):
+    """Derived datasets and their sources as the orders have them; DP keeps one source."""
+    orders = B.table(spark, d, "orders").where("o_orderpriority <> '5-LOW'")
+    links = orders.select(_dataset().alias("dataset_id"), _source().alias("source_id")).distinct()
+    return links.where("dataset_id <> 'DP' OR source_id = 'S1'")
+
+
+def _sources(spark, d):
+    return _links(spark, d).select("source_id").distinct()
+
+
+def _derived(spark, d):
+    links = _links(spark, d)
+    gone = links.where("dataset_id = 'DO'").select("dataset_id", F.lit("S9").alias("source_id")).distinct()
+    known, listed = F.array_remove("_all", "S9"), F.col("_all")
+    grouped = links.unionByName(gone).groupBy("dataset_id").agg(F.sort_array(F.collect_set("source_id")).alias("_all"))
+    several = F.size("_all") > 1
+    return grouped.select(
+        "dataset_id",
+        listed.alias("source_dataset_ids"),
+        F.when(several, "composite").otherwise("subset").alias("construction_type"),
+        several.alias("has_context"),
+        F.when(F.col("dataset_id") == "DO", F.array(F.lit("S1"), F.lit("S2"))).otherwise(known).alias("feature_source_ids"),
+        F.when(F.col("dataset_id") == "DO", F.array(F.lit("S1"), F.lit("S3"))).otherwise(known).alias("coordinate_source_ids"),
+        _by("dataset_id", {"DF": "intersection", "DO": "union"}, "preserve").alias("feature_merge_policy"),
+        F.lit(None).cast("string").alias("reference_dataset_id"),
+        _by("dataset_id", {"DP": "spot"}, "cell").alias("spatial_unit"),
+        _by("dataset_id", {"DP": "pixel"}, "micrometer").alias("coordinate_unit"),
+    )
+
+
+def _axis_datasets(spark, d):
+    """The datasets that orders belong to, and DE, to which none belongs."""
+    found = B.table(spark, d, "orders").select(_dataset().alias("dataset_id")).distinct()
+    empty = found.where("dataset_id = 'DX'").select(F.lit("DE").alias("dataset_id"))
+    kind = F.when(F.col("dataset_id").isin("DO", "DX"), "partially_shared").otherwise("same_unit")
+    return found.unionByName(empty).withColumn("pairing_type", kind)
+
+
+def _axis_modalities(spark, d):
+    found = _axis_datasets(spark, d).where("dataset_id <> 'DE'").select("dataset_id")
+    both = found.withColumn("name", F.explode(F.array(F.lit("rna"), F.lit("protein"))))
+    return both.unionByName(found.where("dataset_id = 'DP'").withColumn("name", F.lit("atac")))
+
+
+def _source_datasets(spark, d):
+    return _sources(spark, d).select(
+        "source_id",
+        (F.col("source_id") != "S2").alias("readable"),
+        _by("source_id", {"S3": 2}, 0).alias("n_errors"),
+        _by("source_id", {"S4": "train"}, "full").alias("dataset_type"),
+        F.col("source_id").alias("stored_id"),
+    )
+
+
+def _coordinate_metadata(spark, d):
+    given = F.col("dataset_id") != "DO"
+    return _links(spark, d).select("dataset_id").distinct().select(
+        "dataset_id",
+        F.when(given, "1.0").alias("version"),
+        F.when(given, "cell").alias("spatial_unit"),
+        _by("dataset_id", {"DF": "micrometer", "DP": "pixel"}).cast("string").alias("coordinate_unit"),
+    )
+
+
+def _coordinate_rules(spark, d):
+    last = F.col("source_id") == _by("dataset_id", {"DF": "S3", "DO": "S2"})
+    columns = last & (F.col("dataset_id") == "DO")
+    ruled = _links(spark, d).where("(dataset_id = 'DF' AND source_id <= 'S3') OR (dataset_id = 'DO' AND source_id <= 'S2')")
+    return ruled.select(
+        "dataset_id",
+        "source_id",
+        F.when(columns, "obs_columns").when(last, "magic").otherwise("obsm").alias("kind"),
+        F.when(columns, "a").alias("x_column"),
+        F.lit(None).cast("string").alias("y_column"),
+    )
 
 
 def _source_observations(spark, d):
@@ -435,38 +509,20 @@ def _source_memberships(spark, d):
 
 
 AXES = {
-    "datasets": _fixed(
-        "dataset_id string, pairing_type string",
-        [("DF", "same_unit"), ("DO", "partially_shared"), ("DP", "same_unit"), ("DX", "partially_shared"), ("DE", "same_unit")],
-    ),
-    "modalities": _fixed(
-        "dataset_id string, name string", [(ds, m) for ds in ("DF", "DO", "DP", "DX") for m in ("rna", "protein")] + [("DP", "atac")]
-    ),
+    "datasets": _axis_datasets,
+    "modalities": _axis_modalities,
     "observations": _observations,
     "memberships": _memberships,
     "features": _features,
     "entries": _entries,
     "categories": _categories,
-    "derived": _fixed(
-        "dataset_id string, source_dataset_ids array<string>, construction_type string, has_context boolean, feature_source_ids array<string>,"
-        " coordinate_source_ids array<string>, feature_merge_policy string, reference_dataset_id string, spatial_unit string, coordinate_unit string",
-        _DERIVED_ROWS,
-    ),
-    "source_datasets": _fixed(
-        "source_id string, readable boolean, n_errors int, dataset_type string, stored_id string",
-        [("S1", True, 0, "full", "S1"), ("S2", False, 0, "full", "S2"), ("S3", True, 2, "full", "S3"), ("S4", True, 0, "train", "S4")],
-    ),
+    "derived": _derived,
+    "source_datasets": _source_datasets,
     "source_observations": _source_observations,
     "source_memberships": _source_memberships,
-    "source_modalities": _fixed("source_id string, name string", [(s, m) for s in _S4 for m in ("rna", "protein")]),
-    "coordinate_metadata": _fixed(
-        "dataset_id string, version string, spatial_unit string, coordinate_unit string",
-        [("DF", "1.0", "cell", "micrometer"), ("DO", None, None, None), ("DP", "1.0", "cell", "pixel")],
-    ),
-    "coordinate_rules": _fixed(
-        "dataset_id string, source_id string, kind string, x_column string, y_column string",
-        [("DF", "S1", "obsm", None, None), ("DF", "S2", "obsm", None, None), ("DF", "S3", "magic", None, None), ("DO", "S1", "obsm", None, None), ("DO", "S2", "obs_columns", "a", None)],
-    ),
+    "source_modalities": lambda spark, d: _sources(spark, d).withColumn("name", F.explode(F.array(F.lit("rna"), F.lit("protein")))),
+    "coordinate_metadata": _coordinate_metadata,
+    "coordinate_rules": _coordinate_rules,
 }
 
 _ORD_SQL = """ro AS (SELECT CASE WHEN o_orderpriority = '5-LOW' THEN 'DX' ELSE 'D' || o_orderstatus END AS dataset_id, o_orderkey AS k, o_orderpriority = '5-LOW' AS low,
@@ -478,7 +534,8 @@ _ORD_SQL = """ro AS (SELECT CASE WHEN o_orderpriority = '5-LOW' THEN 'DX' ELSE '
       CASE WHEN o_orderpriority <> '5-LOW' THEN CASE WHEN o_orderkey % 281 = 0 THEN 'twin' WHEN o_orderkey % 331 = 0 THEN ' ' ELSE CAST(o_orderkey AS VARCHAR) END END AS so,
       CASE WHEN o_orderpriority <> '5-LOW' AND o_orderkey % 227 <> 0 THEN CASE WHEN o_orderkey % 229 = 0 THEN ' ' WHEN o_orderkey % 313 = 0 THEN 'pool'
         ELSE 'S' || left(o_orderpriority, 1) || '::smp' || (o_orderkey % 5) END END AS sample_id FROM orders),
-    dl AS (SELECT * FROM (VALUES ('DF', 'S1'), ('DF', 'S2'), ('DF', 'S3'), ('DF', 'S4'), ('DO', 'S1'), ('DO', 'S2'), ('DO', 'S3'), ('DO', 'S4'), ('DO', 'S9'), ('DP', 'S1')) t(dataset_id, source_id))"""
+    dl AS (SELECT DISTINCT dataset_id, src AS source_id FROM ro WHERE NOT low AND (dataset_id <> 'DP' OR src = 'S1')
+      UNION ALL SELECT DISTINCT 'DO', 'S9' FROM ro WHERE dataset_id = 'DO')"""
 _MEM_SQL = """, li AS (SELECT ro.*, l_partkey, l_linenumber, l_quantity FROM lineitem JOIN ro ON l_orderkey = k),
     both_m AS (SELECT *, 'rna' AS modality FROM li UNION ALL SELECT *, 'protein' FROM li WHERE l_linenumber <= 2),
     m1 AS (SELECT DISTINCT dataset_id, modality, mid AS obs_id, k FROM both_m WHERE dataset_id <> 'DX' OR CASE modality WHEN 'rna' THEN k % 2 = 0 ELSE k % 2 = 1 AND mid NOT IN (' ', 'dup') END),
