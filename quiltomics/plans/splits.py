@@ -41,16 +41,25 @@ def compose_entries(
     """Stacked entries of all sources on the merged axis of one policy.
 
     ``entries`` is ``source_id, obs_id, feature_id, value``; ``features`` the source axes.
-    A feature a source did not measure holds no entry of that source.
+    A feature a source did not measure holds no entry of that source.  Refused: an empty intersection,
+    ``preserve`` on axes that differ, and a reference without an axis.
     """
     if policy == "intersection":
         target = X.intersection(features)
-    elif policy in ("union", "preserve"):
+        if target.isEmpty():
+            raise ValueError("the sources have no feature in common")
+    elif policy == "union":
+        target = X.union(features)
+    elif policy == "preserve":
+        if not X.preserve_mismatches(features).where("n_mismatch > 0").isEmpty():
+            raise ValueError("the preserve policy needs equal axes in all sources")
         target = X.union(features)
     elif policy == "reference":
         if reference is None:
             raise ValueError("the reference policy needs a reference source")
         target = X.reference_axis(features, reference)
+        if target.isEmpty():
+            raise ValueError(f"the reference source {reference!r} has no feature axis")
     else:
         raise ValueError(f"unknown feature policy {policy!r}")
     measured = entries.join(features.select("source_id", "feature_id"), ["source_id", "feature_id"], "left_semi")

@@ -249,12 +249,12 @@ def _(spark, d):
     )
 
 
-@query("stream_events", EVT + "SELECT id, session_id, event_type, status_code FROM evt")
+@query("stream_events", EVT + "SELECT id, session_id, event_type, status_code FROM evt WHERE status_code < 400 AND event_type IS NOT NULL")
 def _(spark, d):
     return spark.read.parquet(S.run(spark, d, S.append_events)).select("id", "session_id", "event_type", "status_code")
 
 
-@query("append_event", EVT + "SELECT CAST(occurred_at AS DATE) AS day, event_type, count(*) AS n FROM evt GROUP BY ALL")
+@query("append_event", EVT + "SELECT CAST(occurred_at AS DATE) AS day, event_type, count(*) AS n FROM evt WHERE status_code < 400 AND event_type IS NOT NULL GROUP BY ALL")
 def _(spark, d):
     stored = spark.read.parquet(S.run(spark, d, S.append_events))
     return stored.groupBy("day", "event_type").agg(F.count(F.lit(1)).alias("n"))

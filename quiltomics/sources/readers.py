@@ -30,16 +30,25 @@ def scan_matrix(observations: DataFrame, entries: DataFrame) -> DataFrame:
     )
 
 
+def _placed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Text lines with their place: file, start of the split, line number inside the task.
+
+    Splits are dealt to tasks by size, so a task's number says nothing about the place in the file.
+    """
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("line"),
+    )
+    return spark.read.text(path).select("value", place.alias("_at"))
+
+
 def scan_exchange(spark: SparkSession, folder: str) -> DataFrame:
     """Entries of a Matrix Market folder with their observation and gene ids.
 
     The size line is the first line after the banner that is no comment.
     """
-    lines = (
-        spark.read.text(f"{folder}/matrix.mtx")
-        .withColumn("_at", F.monotonically_increasing_id())
-        .where(F.trim("value") != "")
-    )
+    lines = _placed_lines(spark, f"{folder}/matrix.mtx").where(F.trim("value") != "")
     banner = lines.where(F.startswith(F.col("value"), F.lit("%%MatrixMarket"))).agg(F.min("_at").alias("b"))
     plain = lines.where(~F.startswith(F.col("value"), F.lit("%")))
     size_at = plain.withColumn("_b", banner.scalar()).where("_at > _b").agg(F.min("_at").alias("s"))
@@ -63,7 +72,7 @@ def scan_exchange(spark: SparkSession, folder: str) -> DataFrame:
 
 def exchange_sizes(spark: SparkSession, folder: str) -> DataFrame:
     """Declared matrix size against the two axis files."""
-    lines = spark.read.text(f"{folder}/matrix.mtx").withColumn("_at", F.monotonically_increasing_id())
+    lines = _placed_lines(spark, f"{folder}/matrix.mtx")
     banner = lines.where(F.startswith(F.col("value"), F.lit("%%MatrixMarket"))).agg(F.min("_at").alias("b"))
     declared = (
         lines.where(~F.startswith(F.col("value"), F.lit("%")))

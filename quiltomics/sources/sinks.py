@@ -107,28 +107,36 @@ def current_generation(log: DataFrame) -> DataFrame:
     )
 
 
+def _store(path: str) -> tuple[pafs.FileSystem, str]:
+    """File system of a path as Spark lists it (not URL-encoded), and the place inside it."""
+    scheme, authority, place = re.fullmatch(r"(?:([a-zA-Z][\w+.-]*):)?(//[^/]*)?(/.*)", path).groups()
+    if scheme in (None, "file"):
+        return pafs.LocalFileSystem(), place
+    store, root = pafs.FileSystem.from_uri(f"{scheme}:{authority or '//'}/")
+    return store, root.rstrip("/") + place
+
+
 def file_manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """Name, size and SHA-256 of every file, of any size.
 
     Spark lists the files without reading them; each task reads its files block by block from the store
-    they are in.
+    they are in.  Empty files have no split and are not listed by Spark's readers.
     """
     # The content column is pruned: only paths and sizes are listed.
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "length")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
-        from urllib.parse import unquote
 
         for batch in batches:
             rows = []
             for name, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                store, place = pafs.FileSystem.from_uri(re.sub("^file:/+", "file:///", name))
+                store, place = _store(name)
                 state = hashlib.sha256()
                 with store.open_input_stream(place) as stream:
                     while block := stream.read(_BLOCK_BYTES):
                         state.update(block)
-                rows.append((unquote(name).rsplit("/", 1)[-1], size, state.hexdigest()))
+                rows.append((name.rsplit("/", 1)[-1], size, state.hexdigest()))
             kinds = (pa.string(), pa.int64(), pa.string())
             columns = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["name", "size", "sha256"])

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quiltomics.operators.events import METRICS, _metric_columns, observable
+from quiltomics.operators.events import METRICS, _metric_columns, known_events, observable, truncated
 from quiltomics.session import scratch_path
 from quiltomics.sources.bindings import shape_events
 
@@ -38,9 +38,13 @@ def drain(writer) -> StreamingQuery:  # noqa: ANN001
 
 
 def append_events(events: DataFrame, out: str, checkpoint: str) -> None:
-    """Append-only log, one partition per day; late events are kept here."""
+    """Append-only log, one partition per day; late events are kept here.
+
+    Only responses below 400 and events of the vocabulary are stored, in columns of bounded length.
+    """
+    known, _unknown = known_events(observable(events))
     drain(
-        events.withColumn("day", F.to_date("occurred_at"))
+        truncated(known).withColumn("day", F.to_date("occurred_at"))
         .drop("event_time")
         .writeStream.format("parquet")
         .outputMode("append")

@@ -95,7 +95,8 @@ def test_streams_agree_with_batch(spark, files):
     assert spark.read.parquet(f"{out}/d").count() == daily.count()
     sessions = S.current_sessions(spark, run(S.session_upserts, "s"))
     assert sessions.count() == 3 and sessions.where("counted").count() == 3
-    assert spark.read.parquet(run(S.append_events, "e")).count() == 30
+    # Two of the thirty are 404 responses.
+    assert spark.read.parquet(run(S.append_events, "e")).count() == 28
     assert spark.read.parquet(run(S.first_visits, "v")).count() == 3
 
 
