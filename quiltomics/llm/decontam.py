@@ -7,8 +7,8 @@ An item is filed under its fingerprint's eight bytes and, per byte, under every
 one block.  Candidates within the radius are verified by the weighted-shingle similarity (sum of the
 smaller counts over sum of the larger counts), 0.75 or more.
 
-A window with a similarity above zero holds a shingle of an item, so windows without one are not
-fingerprinted; this screen loses nothing.  Items are taken ``ITEMS`` at a time, so what a task holds is bounded
+A window with a similarity above zero to an item holds one of its shingles, so windows without a shingle
+of an item of their length are not fingerprinted; this screen loses nothing.  Items are taken ``ITEMS`` at a time, so what a task holds is bounded
 however large the benchmark is.
 
 Defined cases: null and empty texts and items match nothing; an item with fewer words than a shingle is
@@ -85,7 +85,8 @@ class ItemIndex:
         self.blocks = {}
         for length in np.unique(self.lengths):
             own = np.flatnonzero(self.lengths == length)
-            self.blocks[int(length)] = (own, [near[:, self.prints[own, b]] for b in range(8)])
+            shared = np.unique(np.concatenate([sets[i] for i in own]))
+            self.blocks[int(length)] = (own, [near[:, self.prints[own, b]] for b in range(8)], shared)
 
     def hits(self, words: np.ndarray) -> list[tuple[int, int, int, float]]:
         """Item, first word, last word and similarity of the best window for each item found."""
@@ -99,11 +100,15 @@ class ItemIndex:
                 found = shingles(words, width) if len(words) >= width else np.zeros(0, np.uint64)
                 at = np.minimum(np.searchsorted(self.known, found), max(0, len(self.known) - 1))
                 grams[width] = found, np.flatnonzero(self.known[at] == found)
-        for length, (own, blocks) in self.blocks.items():
+        for length, (own, blocks, shared) in self.blocks.items():
             width = min(self.size, length)
             if len(words) < length or not len(grams[width][1]):
                 continue
             found, seen = grams[width]
+            # Only items of this length can match a window of this length.
+            seen = seen[shared[np.minimum(np.searchsorted(shared, found[seen]), len(shared) - 1)] == found[seen]]
+            if not len(seen):
+                continue
             span = length - width + 1
             last = len(found) - span
             marks = np.zeros(last + 2, np.int64)
