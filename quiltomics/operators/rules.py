@@ -500,13 +500,38 @@ def _json_list_problem(column: str) -> Column:
     )
 
 
+def _use() -> Column:
+    """One dataset's use of one source: datasets may map a source they share in their own ways."""
+    return F.concat_ws("\0", "dataset_id", "source_id")
+
+
+def _uses(t: Tables, rows: DataFrame) -> DataFrame:
+    """Rows of sources, once for every dataset that declares the source, with the use as source."""
+    declared = t["harmonization_sources"].select("dataset_id", "source_id").distinct()
+    return rows.drop("dataset_id").join(declared, "source_id").withColumn("source_id", _use())
+
+
 def _mapping(t: Tables) -> DataFrame:
-    """Raw to canonical mapping of every harmonised source by its declared kind."""
+    """Raw to canonical mapping of every harmonised source of every dataset by its declared kind."""
     stored = t["provenance"].where(~_json_list_problem("raw_ids")).select(
-        "source_id", F.col("canonical_id").alias("mapped_id"), F.explode(F.from_json("raw_ids", "array<string>")).alias("feature_id")
+        _use().alias("source_id"), F.col("canonical_id").alias("mapped_id"), F.explode(F.from_json("raw_ids", "array<string>")).alias("feature_id")
+    )
+    kinds = t["harmonization_sources"].select(_use().alias("source_id"), "kind")
+    features = _uses(t, t["source_features"].drop("canonical_id")).drop("dataset_id")
+    parts = F.split("source_id", "\0")
+    return X.map_features(features, kinds, stored).withColumns({"dataset_id": parts[0], "source_id": parts[1]})
+
+
+def _common(mapped: DataFrame) -> DataFrame:
+    """Per dataset the canonical features of all its mapped sources, in the order of the first."""
+    sources = mapped.groupBy("dataset_id").agg(F.countDistinct("source_id").alias("_all"))
+    shared = mapped.groupBy("dataset_id", "canonical_id").agg(
+        F.countDistinct("source_id").alias("_n"), F.min(F.struct("source_ord", "feature_ord")).alias("_first")
     )
-    rules = t["harmonization_sources"].select("source_id", "kind")
-    return X.map_features(t["source_features"].drop("canonical_id"), rules, stored)
+    shared = shared.join(sources, "dataset_id").where(F.col("_n") == F.col("_all"))
+    order = [F.col("_first.feature_ord"), F.col("canonical_id")]
+    placed = numbered(shared.select("dataset_id", "canonical_id", "_first"), order, ["dataset_id"], "target_ord")
+    return placed.select("dataset_id", "canonical_id", "target_ord")
 
 
 @rule("missing_harmonized_source_features", "/mod/var")
@@ -575,10 +600,10 @@ def _(t: Tables) -> DataFrame:
     from quiltomics.operators.splits import bounded_digest
 
     text = F.concat("feature_id", F.lit("\0"), "canonical_id", F.lit("\0"))
-    digests = bounded_digest(_mapping(t), ["source_id"], ["feature_ord"], text)
+    digests = bounded_digest(_mapping(t), ["dataset_id", "source_id"], ["feature_ord"], text)
     return (
         t["harmonization_sources"]
-        .join(digests, "source_id", "left")
+        .join(digests, ["dataset_id", "source_id"], "left")
         .where(~F.col("mapping_sha256").eqNullSafe(F.col("digest")))
         .select("dataset_id", F.col("source_id").alias("sample"))
     )
@@ -586,24 +611,25 @@ def _(t: Tables) -> DataFrame:
 
 @rule("harmonized_feature_intersection_mismatch", "/mod/var/index")
 def _(t: Tables) -> DataFrame:
-    expected = X.intersection(_mapping(t), "canonical_id")
     stored = t["harmonized_features"].select("dataset_id", "canonical_id", F.col("feature_ord").alias("_stored"))
-    name = t["harmonization"].select("dataset_id").limit(1)
     return (
-        expected.join(stored, "canonical_id", "full_outer")
+        _common(_mapping(t))
+        .join(stored, ["dataset_id", "canonical_id"], "full_outer")
         .where(~F.col("target_ord").eqNullSafe(F.col("_stored")))
-        .select(F.coalesce("dataset_id", name.scalar()).alias("dataset_id"), F.col("canonical_id").alias("sample"))
+        .select("dataset_id", F.col("canonical_id").alias("sample"))
     )
 
 
 @rule("harmonized_feature_provenance_mismatch", "/mod/var")
 def _(t: Tables) -> DataFrame:
     mapped = _mapping(t)
-    common = X.intersection(mapped, "canonical_id").select("canonical_id")
-    expected = X.provenance(mapped.join(common, "canonical_id", "left_semi")).withColumnRenamed("raw_ids", "_expected")
-    stored = t["provenance"].join(common, "canonical_id", "left_semi")
+    common = _common(mapped).select("dataset_id", "canonical_id")
+    used = mapped.join(common, ["dataset_id", "canonical_id"], "left_semi").withColumn("source_id", _use()).drop("dataset_id")
+    parts = F.split("source_id", "\0")
+    expected = X.provenance(used).withColumns({"dataset_id": parts[0], "source_id": parts[1]}).withColumnRenamed("raw_ids", "_expected")
+    stored = t["provenance"].join(common, ["dataset_id", "canonical_id"], "left_semi")
     return (
-        stored.join(expected, ["canonical_id", "source_id"], "left")
+        stored.join(expected, ["dataset_id", "canonical_id", "source_id"], "left")
         .where(~F.col("raw_ids").eqNullSafe(F.col("_expected")))
         .select("dataset_id", F.concat_ws("/", "canonical_id", "source_id").alias("sample"))
     )
@@ -612,14 +638,14 @@ def _(t: Tables) -> DataFrame:
 @rule("harmonized_matrix_mismatch", "/mod/X")
 def _(t: Tables) -> DataFrame:
     """Recompute the sums and compare them cell by cell; both sides shuffle on the cell."""
-    expected = X.harmonize_sum(t["source_entries"], _mapping(t)).withColumnRenamed("value", "_expected")
+    mapping = _mapping(t).withColumn("source_id", _use()).drop("dataset_id")
+    expected = X.harmonize_sum(_uses(t, t["source_entries"]), mapping).withColumnRenamed("value", "_expected")
     stored = t["harmonized_entries"].select("dataset_id", "obs_id", "canonical_id", "value")
-    name = t["harmonization"].select("dataset_id").limit(1)
     return (
-        expected.select("obs_id", "canonical_id", "_expected")
-        .join(stored, ["obs_id", "canonical_id"], "full_outer")
+        expected.select("dataset_id", "obs_id", "canonical_id", "_expected")
+        .join(stored, ["dataset_id", "obs_id", "canonical_id"], "full_outer")
         .where(~F.coalesce("_expected", F.lit(0)).eqNullSafe(F.coalesce("value", F.lit(0))))
-        .select(F.coalesce("dataset_id", name.scalar()).alias("dataset_id"), F.concat_ws("/", "obs_id", "canonical_id").alias("sample"))
+        .select("dataset_id", F.concat_ws("/", "obs_id", "canonical_id").alias("sample"))
     )
 
 

@@ -69,3 +69,34 @@ def test_exchange_reader_ignores_split_order(spark, tmp_path):
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)
+
+
+def test_harmonisation_findings_name_their_own_dataset(spark):
+    """Two derived datasets map the sources they share in different ways; only one of them is wrong."""
+    from quiltomics.operators import rules as V
+
+    axis = [(s, o, f, p) for o, s in enumerate(["s1", "s2"]) for p, f in enumerate(["g1", "g2"])]
+    rows = lambda schema, *data: spark.createDataFrame(list(data), schema)
+    kinds = [("d1", "s1", "identity"), ("d1", "s2", "identity"), ("d2", "s1", "var_column"), ("d2", "s2", "var_column")]
+    tables = {
+        "harmonization": rows("dataset_id string, source_ids array<string>", ("d1", ["s1", "s2"]), ("d2", ["s1", "s2"])),
+        "harmonization_sources": rows("dataset_id string, source_id string, kind string", *kinds),
+        "provenance": rows("dataset_id string, source_id string, canonical_id string, raw_ids string"),
+        "source_features": rows(
+            "source_id string, source_ord long, feature_id string, feature_ord long, symbol string",
+            *[(*a, a[2].upper()) for a in axis],
+        ),
+        "source_entries": rows("source_id string, obs_id string, feature_id string, value long", ("s1", "c1", "g1", 2), ("s2", "c2", "g2", 3)),
+        "harmonized_features": rows(
+            "dataset_id string, canonical_id string, feature_ord long", ("d1", "g1", 0), ("d1", "g2", 1), ("d2", "G1", 0)
+        ),
+        "harmonized_entries": rows(
+            "dataset_id string, obs_id string, canonical_id string, value long",
+            ("d1", "c1", "g1", 2), ("d1", "c2", "g2", 3), ("d2", "c1", "G1", 9),
+        ),
+    }
+    found = V.findings(tables, ["harmonized_feature_intersection_mismatch", "harmonized_matrix_mismatch"]).collect()
+    assert {(r.dataset_id, r.code, r.n_bad) for r in found} == {
+        ("d2", "harmonized_feature_intersection_mismatch", 1),
+        ("d2", "harmonized_matrix_mismatch", 2),
+    }
