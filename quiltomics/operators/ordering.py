@@ -197,11 +197,14 @@ def nearest_quantiles(
     return values_at_ranks(histogram, value, targets, groups).select(*groups, "name", "value")
 
 
-def rank_by_hash(df: DataFrame, hash_column: str, groups: Sequence[str], name: str = "rank") -> DataFrame:
+def rank_by_hash(
+    df: DataFrame, hash_column: str, groups: Sequence[str], name: str = "rank", limit: Column | None = None
+) -> DataFrame:
     """One-based rank by a hex digest inside each group.
 
     The first four hex digits cut a group of any size into 65 536 even slices; only
-    slice counts are accumulated per group.
+    slice counts are accumulated per group.  With ``limit``, slices that begin behind it
+    go before anything is ranked.
     """
     sliced = df.withColumn("_slice", F.substring(hash_column, 1, 4))
     counts = sliced.groupBy(*groups, "_slice").agg(F.count(F.lit(1)).alias("_n"))
@@ -215,6 +218,8 @@ def rank_by_hash(df: DataFrame, hash_column: str, groups: Sequence[str], name: s
     joined = (
         sliced.alias("a").join(counts.alias("b"), _same("a", keys, "b")).select("a.*", "_before")
     )
+    if limit is not None:
+        joined = joined.where(F.col("_before") < limit)
     return joined.withColumn(
         name, (F.col("_before") + F.row_number().over(inside)).cast("long")
     ).drop("_slice", "_before")
@@ -222,21 +227,10 @@ def rank_by_hash(df: DataFrame, hash_column: str, groups: Sequence[str], name: s
 
 def smallest_by_hash(df: DataFrame, hash_column: str, groups: Sequence[str], limit: Column) -> DataFrame:
     """Rows whose digest is among the ``limit`` smallest of their group."""
-    return rank_by_hash(df, hash_column, groups, "_rank").where(F.col("_rank") <= limit).drop("_rank")
+    return rank_by_hash(df, hash_column, groups, "_rank", limit).where(F.col("_rank") <= limit).drop("_rank")
 
 
-def top_n(
-    df: DataFrame, groups: Sequence[str], order: Sequence[Column], n: int, spread: Sequence[str], slices: int = 64
-) -> DataFrame:
-    """First ``n`` rows per group; slices of each group are cut down before they meet."""
-    sliced = df.withColumn("_slice", F.pmod(F.xxhash64(*spread), F.lit(slices)))
-    local = Window.partitionBy(*groups, "_slice").orderBy(*order)
+def top_n(df: DataFrame, groups: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
+    """First ``n`` rows per group; Spark's group limit cuts every task's rows down before they meet."""
     final = Window.partitionBy(*groups).orderBy(*order)
-    return (
-        sliced.withColumn("_rn", F.row_number().over(local))
-        .where(F.col("_rn") <= n)
-        .withColumn("_rn", F.row_number().over(final))
-        .where(F.col("_rn") <= n)
-        .withColumnRenamed("_rn", "position")
-        .drop("_slice")
-    )
+    return df.withColumn("position", F.row_number().over(final)).where(F.col("position") <= n)

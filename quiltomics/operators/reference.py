@@ -118,7 +118,7 @@ def discovery(cells: DataFrame) -> DataFrame:
 def top_donors(cells: DataFrame, n: int = 20) -> DataFrame:
     """The largest donors of each dataset, ties by donor id."""
     counts = cells.groupBy("dataset_id", "donor_id").agg(F.count(F.lit(1)).alias("cells"))
-    return top_n(counts, ["dataset_id"], [F.desc("cells"), F.asc("donor_id")], n, ["donor_id"])
+    return top_n(counts, ["dataset_id"], [F.desc("cells"), F.asc("donor_id")], n)
 
 
 def discovery_order(found: DataFrame, limit: int) -> DataFrame:

@@ -264,7 +264,10 @@ def order_digest(df: DataFrame, ordinal: str, value: str, groups: Sequence[str]
     level = df.select(
         *groups, F.col(ordinal).alias("_ord"), F.concat(F.col(value), F.lit("\0")).alias("_text")
     )
-    for _ in range(4):
+    levels, rows = 4, df.count()
+    while _CHUNK**levels < rows:  # whatever the number of rows, one chunk is left
+        levels += 1
+    for _ in range(levels):
         chunk = F.floor(F.col("_ord") / _CHUNK).cast("long").alias("_chunk")
         items = F.array_sort(F.collect_list(F.struct("_ord", "_text")))
         level = (

@@ -81,7 +81,8 @@ def sample_and_folds(rows: DataFrame, config: DifficultyConfig) -> DataFrame:
     )
     repeated = rows.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(config.repeats - 1))))
     hashed = repeated.withColumn("_h", hash_of(config.seed, "repeat", "obs_id"))
-    ranked = rank_by_hash(hashed.select("split_id", "repeat", "domain", "obs_id", "_h"), "_h", ["split_id", "repeat", "domain"], "_rank")
+    side = ["split_id", "repeat", "domain"]
+    ranked = rank_by_hash(hashed.select(*side, "obs_id", "_h"), "_h", side, "_rank", F.lit(config.max_observations))
     chosen = (
         ranked.join(sizes.where(F.col("sample_count") >= config.min_observations), "split_id")
         .where(F.col("_rank") <= F.col("sample_count"))

@@ -68,6 +68,6 @@ def test_hash_rank(skewed):
 
 def test_top_n(skewed):
     df, pdf = skewed
-    got = O.top_n(df, ["g"], [F.desc("v"), F.asc("id")], 5, ["id"]).toPandas()
+    got = O.top_n(df, ["g"], [F.desc("v"), F.asc("id")], 5).toPandas()
     want = pdf.sort_values(["v", "id"], ascending=[False, True]).groupby("g").head(5)
     assert set(got["id"]) == set(want["id"])
