@@ -12,6 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_BATCH_ROWS = "1000"
 
 
 def local_session(cores: str = "8", name: str = "quiltomics") -> SparkSession:
@@ -66,7 +67,11 @@ def settled(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Hand this package to the executors once per application, so that it need not be installed there."""
+    """Hand this package to the executors once per application, so that it need not be installed there.
+
+    Also bounds the rows that a task hands to Python at a time, since whole texts travel in them.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", _BATCH_ROWS)
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
