@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised pass takes at a time; a longer text is a pass of its own.
-PASS_BYTES = 1 << 20
+PASS_BYTES = 1 << 18
 
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1

@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,10 +47,10 @@ def family(lang: str) -> str:
 
 
 def _letters(column: pa.Array) -> pa.Array:
-    """Lower-case letters, runs of anything else as one blank."""
-    import pyarrow.compute as pc
-
-    return pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(column, "")), r"[^\p{L}]+", " ")
+    """Lower-case words with one blank before, between and after them; nothing where there is no letter."""
+    words = pc.utf8_trim(pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(column, "")), r"[^\p{L}]+", " "), " ")
+    padded = pc.binary_join_element_wise("", words, "", " ")
+    return pc.if_else(pc.equal(words, ""), "", padded)
 
 
 def profiles(column: pa.Array) -> np.ndarray:

@@ -18,8 +18,6 @@ fewer candidates gets all; repeated rows are candidates each, and a query id tha
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window

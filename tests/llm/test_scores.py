@@ -53,6 +53,9 @@ def test_language_cases(spark, docs):
     nothing = fit_languages(docs.withColumn("lang", F.lit(None).cast("string")))
     assert {(r.lang_pred, r.score) for r in identify(odd(spark, "x"), nothing).collect()} == {("und", 0.0)}
     assert identify(odd(spark, "x").limit(0), model).count() == 0
+    # A text with any letter gets a language, however short it is.
+    short = spark.createDataFrame([(1, "a"), (2, "7 é!"), (3, "日")], "doc_id long, text string")
+    assert identify(short, model).where("lang_pred = 'und'").count() == 0
     one = fit_languages(docs.where("lang = 'fr'"))
     assert identify(docs.limit(5), one).where("lang_pred <> 'fr'").count() == 0
 
