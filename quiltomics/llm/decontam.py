@@ -2,6 +2,8 @@
 
 Words are runs of letters and digits in lower case.  For every item length, the document's windows of
 that many words are fingerprinted from rolling sums of +1 and -1 per bit over their five-word shingles.
+A document with fewer words than the item is one window, its whole text, where it has enough shingles to
+reach the similarity at all.
 An item is filed under its fingerprint's eight bytes and, per byte, under every byte within
 ``RADIUS // 8`` bits of it: by the pigeonhole principle a window within ``RADIUS`` bits of an item meets it in at least
 one block.  Candidates within the radius are verified by the weighted-shingle similarity (sum of the
@@ -96,20 +98,21 @@ class ItemIndex:
         grams = {}
         for length in self.blocks:
             width = min(self.size, length)
-            if len(words) >= length and width not in grams:
-                found = shingles(words, width) if len(words) >= width else np.zeros(0, np.uint64)
+            if len(words) >= width and width not in grams:
+                found = shingles(words, width)
                 at = np.minimum(np.searchsorted(self.known, found), max(0, len(self.known) - 1))
                 grams[width] = found, np.flatnonzero(self.known[at] == found)
         for length, (own, blocks, shared) in self.blocks.items():
             width = min(self.size, length)
-            if len(words) < length or not len(grams[width][1]):
+            # A text shorter than the items is one window; its similarity is at most the ratio of the shingle counts.
+            span = min(length, len(words)) - width + 1
+            if span < 1 or span / (length - width + 1) < self.least or not len(grams[width][1]):
                 continue
             found, seen = grams[width]
-            # Only items of this length can match a window of this length.
+            # Only items of this length are compared with these windows.
             seen = seen[shared[np.minimum(np.searchsorted(shared, found[seen]), len(shared) - 1)] == found[seen]]
             if not len(seen):
                 continue
-            span = length - width + 1
             last = len(found) - span
             marks = np.zeros(last + 2, np.int64)
             np.add.at(marks, np.maximum(0, seen - span + 1).clip(max=last + 1), 1)
@@ -117,10 +120,10 @@ class ItemIndex:
             starts = np.flatnonzero(np.cumsum(marks[:-1]) > 0)
             for group in np.split(starts, np.flatnonzero(np.diff(starts) > span) + 1):
                 for part in np.array_split(group, max(1, len(group) // 65536)):
-                    self._windows(found, part, span, own, blocks, best)
+                    self._windows(found, part, span, width, own, blocks, best)
         return [(self.ids[item], a, b, s) for item, (s, a, b) in sorted(best.items())]
 
-    def _windows(self, found, starts, span, own, blocks, best) -> None:
+    def _windows(self, found, starts, span, width, own, blocks, best) -> None:
         """Compare the windows that begin at ``starts`` (near each other) with the items ``own``."""
         if not len(starts):
             return
@@ -137,7 +140,7 @@ class ItemIndex:
             start, item = int(starts[row]), int(column)
             similarity = weighted_similarity(found[start : start + span], self.counts[item])
             if similarity >= self.least and similarity > best.get(item, (0.0,))[0]:
-                best[item] = similarity, start, start + int(self.lengths[item]) - 1
+                best[item] = similarity, start, start + span + width - 2
 
 
 def _indexes(benchmark: DataFrame, least: float, size: int, radius: int, items: int) -> Iterator[ItemIndex]:

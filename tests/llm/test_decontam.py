@@ -89,3 +89,36 @@ def test_very_long_text(spark):
     docs = spark.createDataFrame([(1, long + " " + item + " " + long, "", 0), (2, long, "", 0)], DOCS)
     rows = contaminated(docs, spark.createDataFrame([(9, item)], "item_id long, text string")).collect()
     assert [(r.doc_id, r.item_id, r.first_word, r.similarity) for r in rows] == [(1, 9, 300_000, 1.0)]
+
+
+def test_documents_shorter_than_an_item(spark):
+    rng = random.Random(5)
+    items = [(i, " ".join(f"i{i}w{j}" for j in range(n))) for i, n in enumerate([6, 9, 15, 24, 40, 56])]
+    docs = [(1, items[5][1].rsplit(" ", 2)[0])]
+    for key in range(100, 500):
+        own = words(rng.choice(items)[1])
+        front, back = rng.randrange(0, 6), rng.randrange(0, 8)
+        own = own[front : max(front + 1, len(own) - back)]
+        if rng.random() < 0.3:
+            own[rng.randrange(len(own))] = "changed"
+        docs.append((key, " ".join(own)))
+    want = {}
+    for key, text in docs:
+        own = words(text)
+        for item, other in items:
+            size, goal = len(words(other)), grams(words(other))
+            # Every window of the item's length; a shorter text is one window.
+            here = [grams(own[a : a + size]) for a in range(max(1, len(own) - size + 1))]
+            best = max(sum((h & goal).values()) / sum((h | goal).values()) for h in here)
+            if best >= 0.75:
+                want[key, item] = round(best, 9)
+    assert want[1, 5] == round(50 / 52, 9)
+    table = spark.createDataFrame([(i, t, "x", 1) for i, t in docs], DOCS)
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    rows = contaminated(table, benchmark).collect()
+    assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in rows} == want
+    short = [r for r in rows if len(words(dict(docs)[r.doc_id])) < len(words(dict(items)[r.item_id]))]
+    assert len(short) > 50
+    assert all((r.first_word, r.last_word) == (0, len(words(dict(docs)[r.doc_id])) - 1) for r in short)
+    left = {r.doc_id for r in decontaminate(table, benchmark).collect()}
+    assert left == {i for i, _ in docs} - {i for i, _ in want}
