@@ -20,7 +20,8 @@ from quiltomics.llm.packing import packing_digest
 from quiltomics.llm.quality import THRESHOLD, fit_quality, score_quality
 from quiltomics.session import settled, ship_package
 
-#: A text whose language is less certain than this is rejected, as is one without a letter.
+#: A text that scores less is rejected, as is one without a letter. One whose 3-grams the learned languages
+#: do not know scores 0; with up to two families of two languages every other text scores 0.25 or more.
 LANGUAGE_SCORE = 0.2
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

@@ -5,7 +5,12 @@ counts as one blank), scaled to the square roots of their shares.  Linear suppor
 ``PER_LANGUAGE`` distinct texts of every language, choose the family one-versus-rest and then vote
 pairwise inside it.
 
-Defined cases: a null text or one without a letter is ``und`` with score 0; rows without a language are
+The machines only say which of the learned languages is nearest.  Whether a text is in any of them is told by
+the share of its 3-grams that the learned texts know (two of them at least).  The share of missed 3-grams that
+all but a thousandth of the rows learned from keep to, taken ``SLACK`` times, is what a text may miss, a fifth at
+least and half at most; a text that misses more scores 0.  A text that mixes learned languages is known and gets the nearest.
+
+Defined cases: with fewer than ``LEAST_TEXTS`` texts to learn from no text is held to be unknown; a null text or one without a letter is ``und`` with score 0; rows without a language are
 predicted but not learned from; repeated rows get equal results; where nothing can be learned every
 text is ``und``; an empty table gives no rows; other columns are ignored.
 """
@@ -27,6 +32,10 @@ from quiltomics.llm.linear import bounded_sample, hinge_machine
 #: Texts of one language that a fit takes at most, on average.
 PER_LANGUAGE = 600
 BUCKETS = 1 << 12
+#: How many times the missed share of 3-grams of the rows learned from a text may miss.
+SLACK = 4
+#: Texts that it takes to tell which 3-grams are known.
+LEAST_TEXTS = 100
 
 # Families of ISO 639-1 codes; a code not listed is a family of its own.
 FAMILIES = {
@@ -53,9 +62,31 @@ def _letters(column: pa.Array) -> pa.Array:
     return pc.if_else(pc.equal(words, ""), "", padded)
 
 
+def _codes(data: np.ndarray) -> np.ndarray:
+    """The byte 3-gram that begins at each place, as a number below 2 ** 24."""
+    part = data.astype(np.int32)
+    return part[:-2] << 16 | part[1:-1] << 8 | part[2:]
+
+
+def known_shares(data: np.ndarray, bounds: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Share of every text's 3-grams that ``known`` holds; 0 for a text without letters."""
+    out = np.zeros(len(bounds) - 1)
+    for first, end in passes(bounds):
+        if bounds[end] - bounds[first] < 3:
+            continue
+        sums = np.concatenate([[0], np.cumsum(known[_codes(data[bounds[first] : bounds[end]])])])
+        a = bounds[first:end] - bounds[first]
+        b = np.maximum(bounds[first + 1 : end + 1] - bounds[first] - 2, a)
+        out[first:end] = (sums[np.minimum(b, len(sums) - 1)] - sums[np.minimum(a, len(sums) - 1)]) / np.maximum(b - a, 1)
+    return out
+
+
 def profiles(column: pa.Array) -> np.ndarray:
     """Hashed 3-gram profile of every text, as float32 rows of unit length; no letters, a zero row."""
-    data, bounds = utf8(_letters(column))
+    return _profiles(*utf8(_letters(column)))
+
+
+def _profiles(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     out = np.zeros((len(bounds) - 1, BUCKETS), np.float32)
     for first, end in passes(bounds):
         part = data[bounds[first] : bounds[end]].astype(np.uint32)
@@ -80,6 +111,14 @@ class LanguageModel:
     families: dict[str, list[str]] = field(default_factory=dict)
     heads: dict[str, tuple[np.ndarray, float]] = field(default_factory=dict)
     pairs: dict[tuple[str, str], tuple[np.ndarray, float]] = field(default_factory=dict)
+    #: Known byte 3-grams and the least share of them in a text of the learned languages.
+    grams: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    floor: float = 0.0
+
+    def known(self) -> np.ndarray:
+        table = np.zeros(1 << 24, bool)
+        table[self.grams] = True
+        return table
 
     def predict(self, points: np.ndarray) -> tuple[list[str], np.ndarray]:
         """Language and score: the share of the family times the least pairwise certainty of the winner."""
@@ -143,9 +182,40 @@ def fit_languages(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Language
                 both = np.concatenate([points[one], points[two]])
                 signs = np.concatenate([np.ones(len(points[one])), -np.ones(len(points[two]))])
                 model.pairs[one, two] = hinge_machine(both, signs)
+    if sum(map(len, points.values())) >= LEAST_TEXTS:
+        _fit_known(model, learn, sample)
     return model
 
 
+def _fit_known(model: LanguageModel, learn: DataFrame, sample: DataFrame) -> None:
+    """Known 3-grams from the sample; the least share of them from all rows learned from."""
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, bounds = utf8(_letters(batch.column(1)))
+            for a, b in zip(bounds[:-1], bounds[1:]):
+                if b - a >= 3:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(_codes(data[a:b])))], ["gram"])
+
+    counts = sample.mapInArrow(distinct, "gram int").groupBy("gram").count()
+    # At most the distinct 3-grams of the sample.
+    model.grams = np.array(sorted(r.gram for r in counts.where("count >= 2").select("gram").collect()), np.int32)
+
+    def missed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = model.known()
+        for batch in batches:
+            for first in range(0, batch.num_rows, 512):
+                data, bounds = utf8(_letters(batch.column(0).slice(first, 512)))
+                shares = known_shares(data, bounds, known)[np.diff(bounds) >= 3]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ceil((1 - shares) * 10_000).astype(np.int32))], ["missed"])
+
+    # At most 10,001 rows.
+    found = sorted((r.missed, r["count"]) for r in learn.select("text").mapInArrow(missed, "missed int").groupBy("missed").count().collect())
+    below = np.cumsum([n for _, n in found])
+    most = found[int(np.searchsorted(below, below[-1] * 0.999))][0] / 10_000
+    model.floor = min(0.8, max(0.5, 1 - SLACK * most))
+
+
 def identify(docs: DataFrame, model: LanguageModel, added: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """All rows and columns of ``docs`` with the language and its score; ``added`` names them, and replaces columns of those names."""
     docs = docs.drop(*added)
@@ -154,13 +224,16 @@ def identify(docs: DataFrame, model: LanguageModel, added: tuple[str, str] = ("l
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = model.known()
         for batch in batches:
             for first in range(0, batch.num_rows, 512):
                 part = batch.slice(first, 512)
-                points = profiles(part.column(place))
+                data, bounds = utf8(_letters(part.column(place)))
+                points = _profiles(data, bounds)
                 blank = ~points.any(axis=1)
                 if model.languages:
                     found, sure = model.predict(points)
+                    sure = np.where(known_shares(data, bounds, known) < model.floor, 0.0, sure)
                 else:
                     found, sure, blank = [], np.zeros(len(points)), np.ones(len(points), bool)
                 found = ["und" if b else found[i] for i, b in enumerate(blank)]

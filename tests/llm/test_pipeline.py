@@ -55,3 +55,25 @@ def test_stages_keep_other_columns_and_empty_tables(spark):
         assert stage(spark, docs, FOLDER).columns == docs.columns
         assert stage(spark, docs.limit(0), FOLDER).count() == 0
     assert pipeline.STAGES[-1][1](spark, docs.limit(0), FOLDER).count() == 0
+
+
+UNKNOWN = [
+    "Девочка пошла на рынок, чтобы купить хлеб, а потом вернулась домой.",
+    "少女はパンを買うために市場に行きました。",
+    "Το κορίτσι πήγε στην αγορά για να αγοράσει ψωμί.",
+    "xqzjv kwpfh zzkqj vbnmq wxcrt plkjh qwzxv bvcnm",
+    "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa",
+]
+# Rejected where no such text was learned from: they share many 3-grams with the learned languages.
+RELATED = [
+    "Dziewczyna poszła na targ kupić chleb, a potem wróciła do domu z przyjaciółmi.",
+    "Tyttö meni torille ostamaan leipää ja palasi sitten kotiin ystäviensä kanssa.",
+]
+
+
+@pytest.mark.parametrize("lang, texts", [(None, UNKNOWN + RELATED), ("en", UNKNOWN)])
+def test_language_stage_rejects_unknown_texts(spark, lang, texts):
+    docs = table(spark, FOLDER, "documents").select("doc_id", "text", "lang")
+    odd = [(-1 - i, text, lang) for i, text in enumerate([*texts, "123 !?", None])]
+    mixed = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    assert ids(pipeline.language_stage(spark, mixed, FOLDER)) == ids(docs)
