@@ -424,8 +424,8 @@ def _(spark, d):
     )
 
 
-# Sized for the bound table: 20 of 64 dimensions, at least 20 observations a side.
-CONFIG = D.DifficultyConfig(repeats=3, folds=4, min_observations=20, max_features=64, components=20)
+# Defaults on the 64 dimensions of the bound table.
+CONFIG = D.DifficultyConfig()
 
 
 def _ml_parts(spark, d):
@@ -475,19 +475,19 @@ def _(spark, d):
     return report.select("split_id", "status", F.round("mean_auroc", 6).alias("mean_auroc"), "difficulty_rank", "domain_shift_score", "error")
 
 
-# Sized for 60 gene groups of the region split, scored on the full operator chain.
-MATRIX_CONFIG = D.DifficultyConfig(
-    repeats=2, folds=3, max_observations=400, min_observations=20, max_features=60, components=20
-)
+# Defaults on the whole gene axis; every table holds 100 observations a side.
+MATRIX_CONFIG = D.DifficultyConfig()
 
 
-def _matrix_rows(spark, d):
+def _matrix_rows(spark, d, groups=None):
+    """Rows of the region split on the gene axis, or on ``groups`` sums of genes."""
+    axis = F.col("feature_ord") if groups is None else F.col("feature_ord") % groups
     sides = splits.spatial_split(B.observations(spark, d), B.regions(spark), "regions").select(
         "split_id", F.col("side").alias("domain"), "obs_id"
     )
     grouped = (
         B.entries(spark, d, "rna")
-        .groupBy("obs_id", (F.col("feature_ord") % 60).alias("feature_ord"))
+        .groupBy("obs_id", axis.alias("feature_ord"))
         .agg(F.sum("value").alias("value"))
         .withColumn("feature_id", F.concat(F.lit("c"), F.col("feature_ord").cast("string")))
     )
@@ -504,7 +504,7 @@ def _matrix_rows(spark, d):
       FROM n JOIN sides USING (obs_id) GROUP BY ALL""",
 )
 def _(spark, d):
-    rows = _matrix_rows(spark, d)
+    rows = _matrix_rows(spark, d, 60)
     return rows.select(
         "domain",
         "obs_id",

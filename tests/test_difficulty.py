@@ -57,3 +57,13 @@ def test_label_swap_mirrors_nothing_but_the_side():
     rng = np.random.default_rng(2)
     score, label = rng.random(50), rng.random(50) < 0.5
     assert D.rank_auroc(score, label) == pytest.approx(1 - D.rank_auroc(score, ~label))
+
+
+def test_matrix_query_runs_the_default_job_on_the_gene_axis(spark):
+    from quiltomics.registry import products
+
+    assert products.MATRIX_CONFIG == D.DifficultyConfig()
+    rows = products._matrix_rows(spark, "/root/testdata/sf0.001")
+    assert rows.select(F.max(F.array_max("indices"))).first()[0] >= 60
+    sampled = D.sample_and_folds(rows, products.MATRIX_CONFIG)
+    assert sampled.select("repeat", "fold").distinct().count() == 25
