@@ -13,12 +13,16 @@ from quiltomics.llm.decontam import contaminated
 from quiltomics.llm.language import language_digest
 from quiltomics.llm.minhash import near_duplicates
 from quiltomics.llm.packing import packing_digest
+from quiltomics.llm.phrases import ORACLE as PHRASE_ORACLE
+from quiltomics.llm.phrases import collocations
 from quiltomics.llm.quality import quality_digest
 from quiltomics.llm.search import ORACLE as SEARCH_ORACLE
 from quiltomics.llm.search import search_digest
 from quiltomics.llm.sharding import shard_digest
+from quiltomics.llm.spelling import spelling_variants
 from quiltomics.llm.tokens import section_tokens
 from quiltomics.llm.toxicity import toxicity_digest
+from quiltomics.llm.urls import filter_urls
 
 
 def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -61,6 +65,18 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_digest(table(spark, folder, "documents"))
 
 
+def op11_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(table(spark, folder, "documents"))
+
+
+def op12_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_urls(table(spark, folder, "pages"))
+
+
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_variants(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_toxicity": op2_toxicity,
@@ -72,6 +88,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_chat_format": op9_chat_format,
     "op10_language_id": op10_language_id,
+    "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_url_filter": op12_url_filter,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
-ORACLES: dict[str, str] = {"op5_maxscore": SEARCH_ORACLE}
+ORACLES: dict[str, str] = {"op5_maxscore": SEARCH_ORACLE, "op11_phrase_collocations": PHRASE_ORACLE}
