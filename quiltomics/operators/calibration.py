@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quiltomics.operators.isotonic import interpolate, isotonic_fit as isotonic_fit
 from quiltomics.operators.ordering import (
     linear_quantiles,
     numbered,
@@ -17,18 +17,22 @@ from quiltomics.operators.ordering import (
 )
 from quiltomics.operators.scoring import top_two
 
-_POOL = 4096
-_FAN_IN = 64
-_BINS = 1024
 
-
-def alternating_split(rows: DataFrame, strata: Sequence[str], order: str, names: Sequence[str]) -> DataFrame:
-    """Deal the rows of each stratum in turn to the named parts."""
+def alternating_split(
+    rows: DataFrame, strata: Sequence[str], order: str, names: Sequence[str], least: int = 0
+) -> DataFrame:
+    """Deal the rows of each stratum in turn to the named parts; a part of fewer than ``least`` rows is refused."""
     dealt = numbered(rows, [F.col(order)], strata, "_turn")
     parts = F.array(*[F.lit(n) for n in names])
-    return dealt.withColumn(
+    split = dealt.withColumn(
         "part", F.element_at(parts, (F.pmod("_turn", F.lit(len(names))) + 1).cast("int"))
     ).drop("_turn")
+    if least:
+        found = dict(split.groupBy("part").count().collect())
+        short = [n for n in names if found.get(n, 0) < least]
+        if short:
+            raise ValueError(f"fewer than {least} rows to calibrate on: {', '.join(short)}")
+    return split
 
 
 def hash_of(seed: int, *columns: str | Column) -> Column:
@@ -56,118 +60,6 @@ def balanced_sample(rows: DataFrame, side: str, key: str, repeats: int, cap: int
     return smallest_by_hash(hashed, "_h", ["repeat", side], size.scalar()).drop("_h")
 
 
-def _pool_adjacent(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pool neighbouring blocks until their means increase."""
-    pdf = pdf.sort_values("first_ord")
-    stack: list[list[float]] = []
-    for first, last, total, n in zip(pdf.first_ord, pdf.last_ord, pdf.total, pdf.n, strict=True):
-        block = [first, last, total, n]
-        while stack and stack[-1][2] * block[3] >= block[2] * stack[-1][3]:
-            before = stack.pop()
-            block = [before[0], block[1], before[2] + block[2], before[3] + block[3]]
-        stack.append(block)
-    return pd.DataFrame(stack, columns=["first_ord", "last_ord", "total", "n"]).astype(
-        {"first_ord": "int64", "last_ord": "int64", "total": "float64", "n": "int64"}
-    )
-
-
-def isotonic_fit(rows: DataFrame, raw: str, outcome: str, tie_break: str) -> DataFrame:
-    """Knots ``x, y`` of the monotone fit of an outcome on a raw score.
-
-    The sequence is ordered by (raw, tie_break); the knot of a raw value is the mean
-    fit of its rows, clipped to [0, 1].  Runs of rows are pooled in parallel and only
-    their blocks move up; a run of n zero/one outcomes leaves at most about n^(2/3)
-    blocks, since block means are increasing fractions.
-    """
-    placed = numbered(
-        rows.select(F.col(raw).alias("x"), F.col(outcome).cast("double").alias("v"), F.col(tie_break).alias("_tie")),
-        [F.col("x"), F.col("_tie")],
-    ).withColumn("run", F.floor(F.col("ordinal") / _POOL).cast("long"))
-    shape = "run long, first_ord long, last_ord long, total double, n long"
-
-    def pool(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return _pool_adjacent(pdf).assign(run=keys[0])[["run", "first_ord", "last_ord", "total", "n"]]
-
-    blocks = placed.select(
-        "run",
-        F.col("ordinal").alias("first_ord"),
-        F.col("ordinal").alias("last_ord"),
-        F.col("v").alias("total"),
-        F.lit(1).cast("long").alias("n"),
-    )
-    blocks = blocks.groupBy("run").applyInPandas(pool, shape)
-    # Levels until all runs have met, whatever the number of rows.
-    runs = -(-placed.count() // _POOL)
-    while runs > 1:
-        runs = -(-runs // _FAN_IN)
-        blocks = blocks.withColumn("run", F.floor(F.col("run") / _FAN_IN).cast("long")).groupBy("run").applyInPandas(pool, shape)
-    spread = blocks.select(
-        "first_ord",
-        "last_ord",
-        (F.col("total") / F.col("n")).alias("fit"),
-        F.explode(
-            F.sequence(
-                F.floor(F.col("first_ord") / _POOL).cast("long"), F.floor(F.col("last_ord") / _POOL).cast("long")
-            )
-        ).alias("run"),
-    )
-    inside = F.col("p.ordinal").between(F.col("b.first_ord"), F.col("b.last_ord"))
-    return (
-        placed.alias("p")
-        .join(spread.alias("b"), (F.col("p.run") == F.col("b.run")) & inside)
-        .groupBy(F.col("p.x").alias("x"))
-        .agg(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.avg("b.fit"))).alias("y"))
-    )
-
-
-def interpolate(rows: DataFrame, raw: str, knots: DataFrame, name: str = "confidence") -> DataFrame:
-    """Piecewise linear value of ``raw`` over the knots, level beyond the ends, in [0, 1].
-
-    Each segment between two knots is laid over the bins it crosses, so a row meets
-    only the segments of its bin through an equi-join; neither side is broadcast by force.
-    """
-    ordered = numbered(knots.select("x", "y"), [F.col("x")], name="i")
-    following = ordered.select((F.col("i") - 1).alias("i"), F.col("x").alias("x1"), F.col("y").alias("y1"))
-    ends = knots.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    low, high = ends.select("lo").scalar(), ends.select("hi").scalar()
-
-    def bin_of(value: Column) -> Column:
-        share = F.coalesce(F.try_divide(value - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
-        return F.least(F.lit(_BINS - 1), F.floor(share * _BINS)).cast("int")
-
-    segments = (
-        ordered.join(following, "i", "left")
-        .withColumn("_lo", low)
-        .withColumn("_hi", high)
-        .select(
-            "x",
-            "y",
-            "x1",
-            "y1",
-            F.explode(F.sequence(bin_of(F.col("x")), bin_of(F.coalesce("x1", "x")))).alias("_bin"),
-        )
-    )
-    clamped = (
-        rows.withColumn("_lo", low)
-        .withColumn("_hi", high)
-        .withColumn("_v", F.least(F.col("_hi"), F.greatest(F.col("_lo"), F.col(raw))))
-        .withColumn("_bin", bin_of(F.col("_v")))
-    )
-    within = (F.col("_v") >= F.col("s.x")) & (F.col("s.x1").isNull() | (F.col("_v") < F.col("s.x1")))
-    step = F.col("s.y") + (F.col("s.y1") - F.col("s.y")) * (F.col("_v") - F.col("s.x")) / (
-        F.col("s.x1") - F.col("s.x")
-    )
-    value = F.when(F.col("s.x1").isNull(), F.col("s.y")).otherwise(step)
-    return (
-        clamped.alias("a")
-        .join(segments.alias("s"), (F.col("a._bin") == F.col("s._bin")) & within, "left")
-        .select(
-            *[F.col(f"a.{c}") for c in rows.columns],
-            F.least(F.lit(1.0), F.greatest(F.lit(0.0), value)).alias(name),
-        )
-    )
-
-
 def reliability(best: Column, delta: Column, weight: float) -> Column:
     """``best + weight * delta`` with a missing delta as zero."""
     return best + weight * F.coalesce(delta, F.lit(0.0))
