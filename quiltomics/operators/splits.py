@@ -8,47 +8,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiltomics.operators.matrix import is_finite
+from quiltomics.operators.tiles import grids, inside, tile_table, tiled
 from quiltomics.schema import HIERARCHY_COLUMNS
+from quiltomics.session import settled
 
 _CHUNK = 4096
 
 
-def _inside() -> Column:
-    return (
-        (F.col("o.sample_id") == F.col("r.sample_id"))
-        & F.col("o.x").between(F.col("r.x_min"), F.col("r.x_max"))
-        & F.col("o.y").between(F.col("r.y_min"), F.col("r.y_max"))
-    )
+def _joined(observations: DataFrame, regions: DataFrame, how: str) -> DataFrame:
+    laid = settled(grids(regions), "grids")
+    tiles = settled(tile_table(regions, laid), "tiles")
+    return tiled(observations, laid).join(tiles, inside(), how).drop("_px", "_py")
 
 
 def region_select(observations: DataFrame, regions: DataFrame) -> DataFrame:
-    """Observations in any rectangle of their sample; several rectangles count once.
+    """Observations in any rectangle of their sample, each once; a rectangle's edges belong to it.
 
-    Equi-join on the sample with the rectangle test as extra condition: a few regions
-    are broadcast by size, many are shuffled, never compared all with all.
+    Points and rectangles meet by the tiles of the sample's grid.  A rectangle with a missing edge or one that is
+    not a number holds nothing, and a point without a coordinate lies in none.
     """
-    return observations.alias("o").join(regions.alias("r"), _inside(), "left_semi")
+    return _joined(observations, regions, "left_semi")
 
 
 def region_complement(observations: DataFrame, regions: DataFrame) -> DataFrame:
     """Everything the regions do not hold, also samples without regions."""
-    return observations.alias("o").join(regions.alias("r"), _inside(), "left_anti")
+    return _joined(observations, regions, "left_anti")
 
 
 def spatial_sides(observations: DataFrame, regions: DataFrame) -> DataFrame:
     """``side`` test inside the regions, train elsewhere; one pass over the observations."""
-    # One array per sample that has regions.
-    packed = regions.groupBy("sample_id").agg(
-        F.collect_list(F.struct("x_min", "x_max", "y_min", "y_max")).alias("_rects")
-    )
-    hit = F.exists(
-        "_rects",
-        lambda r: F.col("x").between(r["x_min"], r["x_max"]) & F.col("y").between(r["y_min"], r["y_max"]),
-    )
+    laid = settled(grids(regions), "grids")
+    tiles = settled(tile_table(regions, laid), "tiles")
+    outer = {c: F.col(c).outer() for c in ("sample_id", "_px", "_py", "x", "y")}
+    held = tiles.where(inside(outer)).exists()
     return (
-        observations.join(packed, "sample_id", "left")
-        .withColumn("side", F.when(F.coalesce(hit, F.lit(False)), "test").otherwise("train"))
-        .drop("_rects")
+        tiled(observations, laid)
+        .withColumn("side", F.when(held, "test").otherwise("train"))
+        .drop("_px", "_py")
     )
 
 
