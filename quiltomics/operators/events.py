@@ -90,9 +90,11 @@ def visits_per_day(events: DataFrame) -> DataFrame:
 def daily_metrics(events: DataFrame) -> DataFrame:
     """Visits, event counters and automated events per day; automated rows count only there.
 
-    A hit opens its session even if the response is too bad to be recorded.
+    A hit opens its session even if the response is too bad to be recorded; an event of an unknown type is
+    refused before any counter, an automated one too.
     """
-    counted = observable(events).groupBy(F.to_date("occurred_at").alias("day")).agg(*_metric_columns())
+    known, _unknown = known_events(observable(events))
+    counted = known.groupBy(F.to_date("occurred_at").alias("day")).agg(*_metric_columns())
     return (
         counted.join(visits_per_day(events), "day", "full_outer")
         .select("day", *[F.coalesce(m, F.lit(0)).alias(m) for m in METRICS])
@@ -147,9 +149,14 @@ def export_columns(events: DataFrame) -> DataFrame:
         iso_millis(F.col("occurred_at")).alias("occurred_at"),
         "session_id",
         "event_type",
+        "route_name",
         "path",
         "details",
+        "ip_address",
+        "user_agent",
+        "referrer",
         "status_code",
+        "duration_ms",
         "automated",
     )
 

@@ -1,6 +1,6 @@
 """Event queries, batch and streaming."""
 
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
@@ -9,6 +9,7 @@ from quiltomics.registry import query
 from quiltomics.registry.views import using
 from quiltomics.sources import bindings as B
 from quiltomics.streaming import events as S
+from quiltomics.streaming.sessions import retention_job
 
 EVT = using("evt")
 _DAILY = """vis AS (SELECT day, count(*) AS visits FROM (SELECT session_id, CAST(min(occurred_at) FILTER (NOT automated) AS DATE) AS day
@@ -19,7 +20,7 @@ _DAILY = """vis AS (SELECT day, count(*) AS visits FROM (SELECT session_id, CAST
       count(*) FILTER (NOT automated AND event_type = 'database_detail_view') AS database_details,
       count(*) FILTER (NOT automated AND event_type = 'challenge_detail_view') AS challenge_details,
       count(*) FILTER (NOT automated AND event_type = 'download') AS downloads,
-      count(*) FILTER (automated) AS automated_events FROM evt WHERE status_code < 400 GROUP BY 1),
+      count(*) FILTER (automated) AS automated_events FROM evt WHERE status_code < 400 AND event_type IS NOT NULL GROUP BY 1),
     daily AS (SELECT coalesce(cnt.day, vis.day) AS day, coalesce(visits, 0) AS visits, coalesce(page_views, 0) AS page_views,
       coalesce(searches, 0) AS searches, coalesce(database_details, 0) AS database_details, coalesce(challenge_details, 0) AS challenge_details,
       coalesce(downloads, 0) AS downloads, coalesce(automated_events, 0) AS automated_events
@@ -236,7 +237,9 @@ def _(spark, d):
 @query(
     "stream_sessions",
     EVT
-    + """SELECT session_id, epoch_us(min(occurred_at)) AS started_us, epoch_us(max(occurred_at)) AS seen_us, bool_or(NOT automated) AS counted
+    + """SELECT session_id, epoch_us(min(occurred_at)) AS started_us, epoch_us(max(occurred_at)) AS seen_us,
+      epoch_us(min(occurred_at) FILTER (NOT automated)) AS counted_us, bool_or(NOT automated) AS counted,
+      arg_min(automated, (occurred_at, id)) AS initial_automated
       FROM evt GROUP BY session_id""",
 )
 def _(spark, d):
@@ -245,10 +248,29 @@ def _(spark, d):
         "session_id",
         F.unix_micros("started_at").alias("started_us"),
         F.unix_micros("last_seen_at").alias("seen_us"),
+        F.unix_micros("counted_at").alias("counted_us"),
         "counted",
+        "initial_automated",
     )
 
 
+@query(
+    "retention_job",
+    EVT
+    + """, s AS (SELECT session_id, max(occurred_at) AS last_seen FROM evt GROUP BY 1)
+      SELECT 'event' AS kind, CAST(id AS VARCHAR) AS key FROM evt JOIN s USING (session_id)
+      WHERE status_code < 400 AND event_type IS NOT NULL
+        AND occurred_at >= TIMESTAMP '2024-01-15 12:00:00' AND last_seen >= TIMESTAMP '2024-01-15 12:00:00'
+      UNION ALL SELECT 'session', session_id FROM s WHERE last_seen >= TIMESTAMP '2024-01-15 12:00:00'""",
+)
+def _(spark, d):
+    log, sessions = S.run(spark, d, S.append_events), S.run(spark, d, S.session_upserts)
+    for _repeat in range(2):  # the second run of a day does nothing
+        retention_job(spark, log, sessions, datetime(2024, 2, 14, 12), 30)
+    events = spark.read.parquet(log).select(F.lit("event").alias("kind"), F.col("id").cast("string").alias("key"))
+    return events.unionByName(S.current_sessions(spark, sessions).select(F.lit("session").alias("kind"), F.col("session_id").alias("key")))
+
+
 @query("stream_events", EVT + "SELECT id, session_id, event_type, status_code FROM evt WHERE status_code < 400 AND event_type IS NOT NULL")
 def _(spark, d):
     return spark.read.parquet(S.run(spark, d, S.append_events)).select("id", "session_id", "event_type", "status_code")
@@ -295,11 +317,12 @@ def _exported(spark, d):
 
 
 _EXPORT = EVT + """SELECT id, left(strftime(occurred_at, '%Y-%m-%dT%H:%M:%S.%f'), 23) || 'Z' AS occurred_at,
-  session_id, event_type, path, details, CAST(status_code AS INTEGER) AS status_code, automated FROM evt
+  session_id, event_type, route_name, path, details, ip_address, user_agent, referrer,
+  CAST(status_code AS INTEGER) AS status_code, duration_ms, automated FROM evt
   WHERE occurred_at >= TIMESTAMP '2024-01-05 00:00:00' AND occurred_at < TIMESTAMP '2024-01-21 00:00:00'"""
 _EXPORT_SCHEMA = (
-    "id long, occurred_at string, session_id string, event_type string, path string, details string, "
-    "status_code int, automated boolean"
+    "id long, occurred_at string, session_id string, event_type string, route_name string, path string, details string, "
+    "ip_address string, user_agent string, referrer string, status_code int, duration_ms double, automated boolean"
 )
 
 

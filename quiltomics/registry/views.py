@@ -113,7 +113,10 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     '/' || event_type AS path, props AS details,
     CAST(json_extract_string(props, '$.k') AS INTEGER) < 10 AS automated,
     CASE WHEN event_id % 20 = 0 THEN 404 ELSE 200 END AS status_code, value AS duration_ms,
-    CAST(json_extract_string(props, '$.k') AS INTEGER) AS marker
+    CAST(json_extract_string(props, '$.k') AS INTEGER) AS marker,
+    event_type AS route_name, '10.0.' || (user_id % 256) || '.' || (event_id % 256) AS ip_address,
+    CASE WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) < 10 THEN 'Crawlerbot/1.0' ELSE 'Mozilla/5.0' END AS user_agent,
+    CASE WHEN event_id % 3 > 0 THEN '/from/' || event_type END AS referrer
   FROM events""",
     ),
     "pts": (

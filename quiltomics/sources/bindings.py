@@ -253,6 +253,10 @@ def shape_events(raw: DataFrame) -> DataFrame:
         F.when(F.col("event_id") % 20 == 0, 404).otherwise(200).alias("status_code"),
         F.col("value").alias("duration_ms"),
         marker.alias("marker"),
+        F.col("event_type").alias("route_name"),
+        F.concat_ws(".", F.lit("10.0"), F.pmod("user_id", F.lit(256)), F.pmod("event_id", F.lit(256))).alias("ip_address"),
+        F.when(marker < 10, "Crawlerbot/1.0").otherwise("Mozilla/5.0").alias("user_agent"),
+        F.when(F.col("event_id") % 3 > 0, F.concat(F.lit("/from/"), F.col("event_type"))).alias("referrer"),
     )
 
 

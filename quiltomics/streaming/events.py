@@ -13,6 +13,9 @@ from pyspark.sql.streaming import StreamingQuery
 from quiltomics.operators.events import METRICS, _metric_columns, known_events, observable, truncated
 from quiltomics.session import scratch_path
 from quiltomics.sources.bindings import shape_events
+from quiltomics.streaming.sessions import RETENTION_DAYS, current_sessions, session_rows, write_batch
+
+__all__ = ["append_events", "current_sessions", "drain", "event_stream", "first_visits", "run", "session_upserts", "upsert_daily"]
 
 EVENT_SCHEMA = (
     "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -38,27 +41,36 @@ def drain(writer) -> StreamingQuery:  # noqa: ANN001
 
 
 def append_events(events: DataFrame, out: str, checkpoint: str) -> None:
-    """Append-only log, one partition per day; late events are kept here.
+    """Append-only log, partitioned by day and batch; late events are kept here.
 
-    Only responses below 400 and events of the vocabulary are stored, in columns of bounded length.
+    Only responses below 400 and events of the vocabulary are stored, in columns of bounded length.  A replayed
+    batch replaces its own partitions, and whole days can be dropped, since no file list is kept beside the files.
     """
     known, _unknown = known_events(observable(events))
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        (
+            batch.withColumn("batch", F.lit(batch_id))
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("day", "batch")
+            .parquet(out)
+        )
+
     drain(
         truncated(known).withColumn("day", F.to_date("occurred_at"))
         .drop("event_time")
-        .writeStream.format("parquet")
-        .outputMode("append")
-        .partitionBy("day")
-        .option("path", out)
+        .writeStream.outputMode("append")
+        .foreachBatch(store)
         .option("checkpointLocation", checkpoint)
     )
 
 
 def upsert_daily(events: DataFrame, out: str, checkpoint: str) -> None:
     """Daily counters: changed days replace their partition, so a replayed batch is harmless."""
+    known, _unknown = known_events(observable(events))
     daily = (
-        observable(events)
-        .withWatermark("event_time", "1 day")
+        known.withWatermark("event_time", "1 day")
         .groupBy(F.window("event_time", "1 day").alias("w"))
         .agg(*_metric_columns())
         .select(F.to_date("w.start").alias("day"), *METRICS[1:])
@@ -79,33 +91,10 @@ def upsert_daily(events: DataFrame, out: str, checkpoint: str) -> None:
     )
 
 
-def session_upserts(events: DataFrame, out: str, checkpoint: str) -> None:
-    """Session rows in update mode; every batch appends the rows it changed."""
-    human = F.when(~F.col("automated"), F.col("event_time"))
-    state = events.groupBy("session_id").agg(
-        F.min("event_time").alias("started_at"),
-        F.max("event_time").alias("last_seen_at"),
-        F.min(human).alias("counted_at"),
-        F.bool_or(~F.col("automated")).alias("counted"),
-    )
-
-    def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    drain(
-        state.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint)
-    )
-
-
-def current_sessions(spark: SparkSession, out: str) -> DataFrame:
-    """Last written row of each session."""
-    rows = spark.read.parquet(out)
-    names = [c for c in rows.columns if c not in ("session_id", "batch")]
-    return (
-        rows.groupBy("session_id")
-        .agg(F.max_by(F.struct(*names), "batch").alias("r"))
-        .select("session_id", "r.*")
-    )
+def session_upserts(events: DataFrame, out: str, checkpoint: str, retention_days: int = RETENTION_DAYS, lateness: str = "60 days") -> StreamingQuery:
+    """Sessions as keyed state that ends at the retention limit; every batch writes the rows it changed."""
+    rows = session_rows(events, retention_days, lateness)
+    return drain(rows.writeStream.outputMode("update").foreachBatch(write_batch(out)).option("checkpointLocation", checkpoint))
 
 
 def first_visits(events: DataFrame, out: str, checkpoint: str) -> None:
