@@ -411,6 +411,50 @@ def _(spark, d):
     return migration.migration_report(members, "1.1", "1.2")
 
 
+def _legacy(spark, d):
+    """The bound tables as 100 datasets of the old schema version."""
+    dataset = F.concat(F.lit("d"), F.pmod("obs_ord", F.lit(100)).cast("string"))
+    observations = B.observations(spark, d).withColumn("dataset_id", dataset)
+    keys = observations.select("obs_id", F.col("dataset_id").alias("_dataset"))
+    entries = B.entries(spark, d).join(keys, "obs_id").withColumn("dataset_id", F.col("_dataset")).drop("_dataset")
+    datasets = observations.groupBy("dataset_id").agg(
+        F.lit("1.1").alias("schema_version"), F.lit("partially_shared").alias("pairing_type"), F.count(F.lit(1)).alias("n_obs")
+    )
+    return {
+        "datasets": datasets,
+        "observations": observations,
+        "memberships": B.memberships(spark, d).withColumn("dataset_id", dataset),
+        "entries": entries,
+    }
+
+
+@query(
+    "schema_migration_publish",
+    using(
+        "members", "x",
+        more="""g AS (SELECT 'd' || (obs_ord % 100) AS dataset_id, obs_id, obs_ord, count(DISTINCT modality) = 2 AS kept FROM members GROUP BY ALL),
+      k AS (SELECT dataset_id, obs_id, row_number() OVER (PARTITION BY dataset_id ORDER BY obs_ord) - 1 AS place FROM g WHERE kept)""",
+    )
+    + """SELECT dataset_id, 'observations' AS part, count(*) AS n, CAST(sum(place) AS BIGINT) AS total FROM k GROUP BY 1
+      UNION ALL SELECT dataset_id, 'memberships', count(*), CAST(sum(place) AS BIGINT) FROM k JOIN members USING (obs_id) GROUP BY 1
+      UNION ALL SELECT dataset_id, 'entries', count(*), CAST(sum(value) AS BIGINT) FROM k JOIN x USING (obs_id) GROUP BY 1
+      UNION ALL SELECT dataset_id, 'removed', count(*), 0 FROM g WHERE NOT kept GROUP BY 1""",
+)
+def _(spark, d):
+    legacy = _legacy(spark, d)
+    # Observations without an entry are in no modality and take no part.
+    legacy["observations"] = legacy["observations"].join(legacy["memberships"].select("obs_id").distinct(), "obs_id", "left_semi")
+    publication = migration.publish_migration(spark, scratch_path(spark, "product"), legacy, "1.2", ("1.1",))
+    publication.finalise()
+    tables = publication.tables()
+    totals = {"observations": F.sum("obs_ord"), "memberships": F.sum("obs_ord"), "entries": F.sum("value"), "removed": F.lit(0)}
+    result = None
+    for name, total in totals.items():
+        part = tables[name].groupBy("dataset_id").agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("n"), total.cast("long").alias("total"))
+        result = part if result is None else result.unionByName(part)
+    return result
+
+
 @query(
     "reference_builder",
     using("cells", "rna", more=_PART)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from fnmatch import fnmatchcase
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiltomics.operators.events import latest_status
+from quiltomics.sources.store import Store
 
 _BLOCK_BYTES = 1 << 20
 
@@ -117,26 +119,26 @@ def _store(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 def file_manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Name, size and SHA-256 of every file, of any size.
+    """Path below the folder, size and SHA-256 of every file, of any size, empty ones included.
 
-    Spark lists the files without reading them; each task reads its files block by block from the store
-    they are in.  Empty files have no split and are not listed by Spark's readers.
+    Files are listed by the store; each task reads its files block by block.  Files whose name or folder begins with
+    a dot or an underscore are bookkeeping and left out, as Spark's readers do.
     """
-    # The content column is pruned: only paths and sizes are listed.
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "length")
+    listed = [(n, place, size) for n, place, size in Store(spark, path).files() if fnmatchcase(n.rsplit("/", 1)[-1], pattern)]
+    files = spark.createDataFrame(listed, "name string, path string, length long")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
         for batch in batches:
             rows = []
-            for name, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                store, place = _store(name)
+            for name, path, size in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                store, place = _store(path)
                 state = hashlib.sha256()
                 with store.open_input_stream(place) as stream:
                     while block := stream.read(_BLOCK_BYTES):
                         state.update(block)
-                rows.append((name.rsplit("/", 1)[-1], size, state.hexdigest()))
+                rows.append((name, size, state.hexdigest()))
             kinds = (pa.string(), pa.int64(), pa.string())
             columns = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["name", "size", "sha256"])
