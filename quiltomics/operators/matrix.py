@@ -6,8 +6,10 @@ still a row.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,10 @@ from quiltomics.operators.ordering import (
     numbered,
     values_at_ranks,
 )
+from quiltomics.session import settled
+
+#: Draws that are placed at a time.
+_DRAWS = 1 << 20
 
 # The depth quantiles the summary reports.
 DEPTH_QUANTILES = {
@@ -229,36 +235,72 @@ def cyclic_depths(totals: DataFrame, depths: DataFrame, order: str) -> DataFrame
     )
 
 
-def downsample(entries: DataFrame, applied: DataFrame, seed: int) -> DataFrame:
-    """Multinomial draw of ``applied`` counts per observation with its own proportions.
+def gathered(entries: DataFrame) -> DataFrame:
+    """One row per observation, written once: ``obs_id, total, cells`` (its features and counts).
 
-    One row per observation; only its counts cross to Python, in Arrow batches.  The
-    generator is seeded per observation, so a retried task draws the same counts.  The
-    rows stay where their entries are placed, so the drawing is spread like the matrix.
+    Whoever needs the totals reads that column alone, and a draw reads the cells; the matrix is shuffled once.
     """
-    rows = (
-        entries.groupBy("obs_id")
-        .agg(F.array_sort(F.collect_list(F.struct("feature_id", "value"))).alias("cells"))
-        .join(applied.where("applied > 0").select("obs_id", "applied").hint("merge"), "obs_id")
-        .withColumn("counts", F.transform("cells", lambda c: c["value"].cast("double")))
-        .withColumn("seed", F.xxhash64(F.lit(seed), "obs_id"))
+    return settled(
+        entries.groupBy("obs_id").agg(
+            F.sum("value").alias("total"), F.array_sort(F.collect_list(F.struct("feature_id", F.col("value").cast("long").alias("value")))).alias("cells")
+        ),
+        "gathered",
     )
 
-    @F.pandas_udf("array<bigint>")
-    def draw(counts: pd.Series, size: pd.Series, seeds: pd.Series) -> pd.Series:
-        drawn = []
-        for row, n, key in zip(counts, size, seeds, strict=True):
-            total = row.sum()
-            if n >= total:
-                drawn.append(row.astype(np.int64))
-            else:
-                bits = np.random.Generator(np.random.SFC64(int(key) & 0xFFFFFFFFFFFFFFFF))
-                drawn.append(bits.multinomial(int(n), row / total))
-        return pd.Series(drawn)
 
-    return (
-        rows.withColumn("drawn", draw("counts", "applied", "seed"))
-        .select("obs_id", F.explode(F.arrays_zip("cells", "drawn")).alias("z"))
-        .select("obs_id", F.col("z.cells.feature_id").alias("feature_id"), F.col("z.drawn").alias("value"))
-        .where("value > 0")
-    )
+def _uniforms(seeds: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """A number in [0, 1) for each seed and place, by a mixing hash: the same in any batch and on any task."""
+    with np.errstate(over="ignore"):
+        v = seeds + (places.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        v = (v ^ (v >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        v = (v ^ (v >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((v ^ (v >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
+
+
+def draw_counts(counts: np.ndarray, sizes: np.ndarray, wanted: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """Multinomial draws for many observations at once.
+
+    ``counts`` are the cells of all observations one after the other, ``sizes`` says how many each has.  Every
+    draw is a place on the running sum of the counts, so a whole batch is one search; an observation of which as much is
+    wanted as it has keeps its counts.
+    """
+    sums = np.concatenate(([0], np.cumsum(counts)))
+    ends = np.cumsum(sizes)
+    base = sums[ends - sizes]
+    total = sums[ends] - base
+    whole = wanted >= total
+    result = np.where(np.repeat(whole, sizes), counts, 0)
+    draws = np.cumsum(np.where(whole, 0, np.maximum(wanted, 0)))
+    for start in range(0, int(draws[-1]) if len(draws) else 0, _DRAWS):
+        place = np.arange(start, min(start + _DRAWS, int(draws[-1])))
+        row = np.searchsorted(draws, place, side="right")
+        first = np.where(row > 0, draws[np.maximum(row - 1, 0)], 0)
+        unit = np.minimum((_uniforms(seeds[row], place - first) * total[row]).astype(np.int64), total[row] - 1)
+        result += np.bincount(np.searchsorted(sums, base[row] + unit, side="right") - 1, minlength=len(counts))
+    return result
+
+
+def downsample(entries: DataFrame, applied: DataFrame, seed: int) -> DataFrame:
+    """Multinomial draw of ``applied`` counts per observation with its own proportions; counts are whole numbers.
+
+    ``entries`` is the matrix, or its rows as ``gathered`` gives them.  Cells cross to Python in Arrow batches and
+    come back as entries; draws are hashes of the observation, so a retried task draws the same counts.
+    """
+    rows = entries if "cells" in entries.columns else gathered(entries)
+    asked = rows.join(applied.where("applied > 0").select("obs_id", F.col("applied").cast("long").alias("applied")), "obs_id")
+    asked = asked.select("obs_id", "cells", "applied", F.xxhash64(F.lit(seed), "obs_id").alias("seed"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            obs, cells, wanted, seeds = batch.columns
+            sizes, flat = cells.value_lengths().to_numpy(), cells.flatten()
+            counts = flat.field("value").to_numpy()
+            drawn = draw_counts(counts, sizes, wanted.to_numpy(), seeds.to_numpy().astype(np.uint64))
+            kept = drawn > 0
+            owner = np.repeat(np.arange(len(sizes)), sizes)[kept]
+            columns = [obs.take(pa.array(owner)), flat.field("feature_id").filter(pa.array(kept)), pa.array(drawn[kept])]
+            yield pa.RecordBatch.from_arrays(columns, ["obs_id", "feature_id", "value"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in asked.schema.fields}
+    feature = rows.schema["cells"].dataType.elementType["feature_id"].dataType.simpleString()
+    return asked.mapInArrow(run, f"obs_id {kinds['obs_id']}, feature_id {feature}, value bigint")

@@ -176,9 +176,13 @@ def _(spark, d):
     return M.depth_summary(_totals(spark, d), 20).withColumn("value", F.round("value", 6))
 
 
-def _cyclic(spark, d):
+def _cyclic(spark, d, rows=None):
+    totals = _totals(spark, d)
+    if rows is not None:
+        held = B.observations(spark, d).select("obs_id").join(rows.select("obs_id", "total"), "obs_id", "left")
+        totals = held.withColumn("total", F.coalesce("total", F.lit(0)))
     # Read by the histogram and by the numbering.
-    totals = settled(_totals(spark, d).withColumn("obs_ord", F.col("obs_id").cast("long")), "totals")
+    totals = settled(totals.withColumn("obs_ord", F.col("obs_id").cast("long")), "totals")
     depths = M.even_sample(totals, "total", 20)
     return M.cyclic_depths(totals, depths, "obs_ord")
 
@@ -204,5 +208,6 @@ def _(spark, d):
 )
 def _(spark, d):
     # The draw itself is random; its column sums must equal the applied depths.
-    drawn = M.downsample(B.entries(spark, d, "rna"), _cyclic(spark, d), 17)
+    rows = M.gathered(B.entries(spark, d, "rna"))
+    drawn = M.downsample(rows, _cyclic(spark, d, rows), 17)
     return drawn.groupBy("obs_id").agg(F.sum("value").alias("drawn"))

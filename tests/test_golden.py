@@ -95,6 +95,32 @@ def test_downsample(spark):
     assert sorted(map(tuple, drawn.collect())) == sorted(map(tuple, drawn.collect()))
 
 
+def test_draws_have_the_multinomial_mean_and_covariance():
+    counts, draws, repeats = np.array([5, 0, 20, 75, 100, 0]), 40, 20_000
+    sizes = np.full(repeats, len(counts))
+    seeds = np.random.default_rng(1).integers(0, 1 << 64, repeats, np.uint64)
+    drawn = M.draw_counts(np.tile(counts, repeats), sizes, np.full(repeats, draws), seeds).reshape(repeats, -1)
+    share = counts / counts.sum()
+    assert (drawn.sum(axis=1) == draws).all() and (drawn[:, counts == 0] == 0).all()
+    assert np.abs(drawn.mean(axis=0) - draws * share).max() < 0.1
+    assert np.abs(np.cov(drawn.T) - draws * (np.diag(share) - np.outer(share, share))).max() < 0.3
+
+
+def test_draws_of_a_mixed_batch(monkeypatch):
+    monkeypatch.setattr(M, "_DRAWS", 7)  # draws of one observation are placed in several passes
+    counts, sizes = np.array([3, 4, 0, 9, 1, 1, 2**40, 2**41]), np.array([2, 0, 2, 2, 2])
+    wanted = np.array([7, 5, 4, 9, 50])
+    seeds = np.array([1, 2, 3, 4, 5], np.uint64)
+    drawn = M.draw_counts(counts, sizes, wanted, seeds)
+    assert drawn[:2].tolist() == [3, 4] and drawn[4:6].tolist() == [1, 1]  # as much as there is
+    assert drawn[2:4].tolist() == [0, 4] and drawn[6:].sum() == 50
+    monkeypatch.setattr(M, "_DRAWS", 1 << 20)
+    assert drawn.tolist() == M.draw_counts(counts, sizes, wanted, seeds).tolist()
+    alone = M.draw_counts(counts[6:], sizes[4:], wanted[4:], seeds[4:])
+    assert alone.tolist() == drawn[6:].tolist()  # the same in any batch
+    assert len(M.draw_counts(counts[:0], sizes[:0], wanted[:0], seeds[:0])) == 0
+
+
 def test_variance_counts_implicit_zeros(spark):
     dense = np.array([[1, 0, 2], [0, 0, 0], [4, 5, 0], [0, 2, 0]])
     entries = cells(spark, dense, ["a", "b", "c"])
