@@ -29,6 +29,9 @@ class Rule:
     severity: str
     path: str
     find: Callable[[Tables], DataFrame]
+    #: A rule that looks at one row at a time: its table, and the samples it finds in a row.
+    table: str = ""
+    samples: Callable[[], Column] | None = None
 
 
 RULES: dict[str, Rule] = {}
@@ -44,43 +47,66 @@ def rule(code: str, path: str, severity: str = "error") -> Callable:
     return register
 
 
-def _rows(code: str, path: str, table: str, condition: Callable[[], Column], sample: str, severity: str = "error") -> None:
-    """Register a rule that looks at one row at a time."""
+def _row_rule(code: str, path: str, table: str, samples: Callable[[], Column], severity: str = "error") -> None:
+    """Register a rule that finds samples (an array of texts, or null) in one row at a time."""
 
     def find(t: Tables) -> DataFrame:
-        return t[table].where(condition()).select("dataset_id", F.col(sample).cast("string").alias("sample"))
+        return t[table].select("dataset_id", F.explode(samples()).alias("sample"))
 
-    RULES[code] = Rule(severity, path, find)
+    RULES[code] = Rule(severity, path, find, table, samples)
 
 
-def findings(tables: Tables, codes: Iterable[str]) -> DataFrame:
-    """Report rows of the given rules."""
+def _rows(code: str, path: str, table: str, condition: Callable[[], Column], sample: str, severity: str = "error") -> None:
+    """Register a rule that a row breaks or not."""
+    _row_rule(code, path, table, lambda: F.when(condition(), F.array(F.col(sample).cast("string"))), severity)
 
-    def one(code: str) -> DataFrame:
-        found = RULES[code]
-        return (
-            found.find(tables)
-            .groupBy("dataset_id")
-            .agg(F.count(F.lit(1)).alias("n_bad"), F.min("sample").alias("sample"))
-            .select(
-                "dataset_id",
-                F.lit(code).alias("code"),
-                F.lit(found.severity).alias("severity"),
-                F.lit(found.path).alias("path"),
-                "n_bad",
-                "sample",
-            )
-        )
 
-    return reduce(DataFrame.unionByName, [one(code) for code in codes])
+def _scanned(table: DataFrame, codes: Iterable[str]) -> DataFrame:
+    """All row rules of one table in one scan and one aggregate: ``dataset_id, code, n_bad, sample``."""
+    none = F.array().cast("array<struct<code:string,sample:string>>")
 
+    def marks(code: str) -> Column:
+        samples = RULES[code].samples()
+        return F.coalesce(F.transform(samples, lambda s: F.struct(F.lit(code).alias("code"), s.alias("sample"))), none)
 
-def validation_counts(report: DataFrame, datasets: DataFrame) -> DataFrame:
-    """Errors, warnings and verdict of every dataset."""
-    counts = report.groupBy("dataset_id").agg(
+    found = table.select("dataset_id", F.explode(F.concat(none, *[marks(c) for c in codes])).alias("m"))
+    return found.groupBy("dataset_id", "m.code").agg(F.count(F.lit(1)).alias("n_bad"), F.min("m.sample").alias("sample"))
+
+
+def findings(tables: Tables, codes: Iterable[str]) -> DataFrame:
+    """Report rows of the given rules; the row rules of a table share one scan."""
+    wanted = list(dict.fromkeys(codes))
+    scans: dict[str, list[str]] = {}
+    parts = []
+    for code in wanted:
+        found = RULES[code]
+        if found.table:
+            scans.setdefault(found.table, []).append(code)
+        else:
+            counts = found.find(tables).groupBy("dataset_id", F.lit(code).alias("code"))
+            parts.append(counts.agg(F.count(F.lit(1)).alias("n_bad"), F.min("sample").alias("sample")))
+    parts += [_scanned(tables[name], own) for name, own in scans.items()]
+    known = F.create_map(*[
+        item
+        for code in wanted
+        for item in (F.lit(code), F.struct(F.lit(RULES[code].severity).alias("severity"), F.lit(RULES[code].path).alias("path")))
+    ])
+    return reduce(DataFrame.unionByName, parts).withColumn("_rule", known[F.col("code")]).select(
+        "dataset_id", "code", "_rule.severity", "_rule.path", "n_bad", "sample"
+    )
+
+
+def severity_counts(report: DataFrame) -> DataFrame:
+    """Errors and warnings of the datasets that have any."""
+    return report.groupBy("dataset_id").agg(
         F.count_if(F.col("severity") == "error").alias("n_errors"),
         F.count_if(F.col("severity") == "warning").alias("n_warnings"),
     )
+
+
+def validation_counts(report: DataFrame, datasets: DataFrame) -> DataFrame:
+    """Errors, warnings and verdict of every dataset."""
+    counts = severity_counts(report)
     return (
         datasets.select("dataset_id")
         .distinct()
@@ -121,14 +147,15 @@ _rows("missing_database_metadata", "/uns/database", "datasets", lambda: ~F.col("
 _REQUIRED = ("schema_version", "dataset_type", "organism", "tissue", "spatial_unit", "coordinate_unit", "pairing_type")
 
 
-@rule("missing_database_field", "/uns/database")
-def _(t: Tables) -> DataFrame:
-    names = F.array_compact(F.array(*[F.when(_absent(c), F.lit(c)) for c in _REQUIRED]))
-    return t["datasets"].where("has_database").select("dataset_id", F.explode(names).alias("sample"))
+_row_rule(
+    "missing_database_field",
+    "/uns/database",
+    "datasets",
+    lambda: F.when(F.col("has_database"), F.array_compact(F.array(*[F.when(_absent(c), F.lit(c)) for c in _REQUIRED]))),
+)
 
 
-@rule("invalid_database_metadata", "/uns/database")
-def _(t: Tables) -> DataFrame:
+def _invalid_metadata() -> Column:
     problems = {
         "schema_version": F.col("schema_version") != schema.SCHEMA_VERSION,
         "dataset_id": ~F.rlike("dataset_id", F.lit(schema.DATASET_ID_PATTERN)),
@@ -142,7 +169,10 @@ def _(t: Tables) -> DataFrame:
     names = F.array_compact(
         F.array(*[F.when(F.coalesce(p, F.lit(True)), F.lit(c)) for c, p in problems.items()])
     )
-    return t["datasets"].where("has_database").select("dataset_id", F.explode(names).alias("sample"))
+    return F.when(F.col("has_database"), names)
+
+
+_row_rule("invalid_database_metadata", "/uns/database", "datasets", _invalid_metadata)
 
 
 # --- file against document -----------------------------------------------------------

@@ -188,6 +188,7 @@ _CAT_SQL = """rd AS (SELECT CASE WHEN p_size = 10 THEN '-' || dataset_id ELSE da
 
 #: Codes that read each context's tables, by the context's identity.
 CODES: dict[int, list[str]] = {}
+CONTEXTS: dict[int, dict[str, Callable]] = {}
 
 
 def _register(context: dict[str, Callable], view: str, code: str, bad: str) -> None:
@@ -201,6 +202,7 @@ def _register(context: dict[str, Callable], view: str, code: str, bad: str) -> N
     )
 
     CODES.setdefault(id(context), []).append(code)
+    CONTEXTS[id(context)] = context
 
     @query(f"rule_{code}", sql)
     def _(spark, d, code=code):
@@ -959,3 +961,20 @@ _REPORT = " UNION ALL ".join(
 def _(spark, d):
     tables = Lazy(spark, d, CATALOGUE)
     return V.validation_counts(V.findings(tables, CODES[id(CATALOGUE)]), tables["datasets"])
+
+
+_EVERY = " UNION ALL ".join(f"SELECT dataset_id, severity FROM ({ORACLES[f'rule_{code}']})" for codes in CODES.values() for code in codes)
+
+
+@query(
+    "validation_counts_all",
+    f"""SELECT dataset_id, count(*) FILTER (severity = 'error') AS n_errors, count(*) FILTER (severity = 'warning') AS n_warnings
+      FROM ({_EVERY}) GROUP BY dataset_id""",
+)
+def _(spark, d):
+    """Errors and warnings of every dataset over all rules: catalogue, matrices, splits, sidecars, predictions."""
+    found = None
+    for key, context in CONTEXTS.items():
+        part = V.findings(Lazy(spark, d, context), CODES[key])
+        found = part if found is None else found.unionByName(part)
+    return V.severity_counts(found)
