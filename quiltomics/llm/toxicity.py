@@ -1,12 +1,14 @@
 """Toxicity from a weighted finite-state pattern grammar over clauses.
 
-Words are read as symbols: insult, threat, target, negation, report, quotation mark, clause end, other.
-Five small weighted transducers run over them and are composed into one table (`compose`): the insult
-and the threat transducer emit the lexical weight, the target transducer raises it when a person is
-addressed within ``REACH`` words, negation lowers the weight of what follows it closely, reported speech
-lowers what stands in a report or a quotation.  A matched clause scores the best weight of its path, not
-the sum of its words; a document is described by its clause scores, and a logistic calibration turns
-them into a score.
+Words are read as symbols: insult, threat, target, negation, report, quotation mark, other; a clause ends at
+a stop.  Five small weighted transducers run over a clause and are composed into one table (`compose`).
+The target transducer marks insults and threats up to ``REACH`` words after somebody addressed; the insult
+and the threat transducer take a match with a weight of their own (an insult 1, with a target 1.5; a threat
+0.5, with a target 1.5), at once or on the promise that a target follows within ``REACH`` words of the same
+clause; the negation transducer lowers a match closely after a negation to 0.4 of that, the transducer of
+reported speech one in a report or a quotation to 0.6.  A matched clause scores the lexical weight times the
+weight of its best path, not the sum of its words; a document is described by its clause scores, and a
+logistic calibration turns them into a score.
 
 The lexicon is a fixed core (below) and weighted words and word beginnings learned from at most
 ``PER_LABEL`` labelled documents of either label: those found in toxic documents far more often than
@@ -22,7 +24,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import product
 from math import log
 
 import numpy as np
@@ -51,62 +52,105 @@ OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE = range(7)
 _TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)?|[\"“”«»„]|[.!?;:\n]+")
 
 
-def _fading(symbol: int) -> list[list[tuple[int, bool]]]:
-    """Transducer with ``REACH`` + 1 states: the number of words for which ``symbol`` is still near."""
-    table = []
-    for state in range(REACH + 1):
-        row = []
-        for read in range(7):
-            after = REACH if read == symbol else max(0, state - 1)
-            row.append((after, after > 0 or state > 0))
-        table.append(row)
-    return table
+#: An insult or threat near its target, as the target transducer passes it on.
+NEAR_INSULT, NEAR_THREAT = QUOTE + 1, QUOTE + 2
+#: Where a path stands: nothing matched yet, matched, or matched on the promise of a target within k words.
+START, DONE = 0, -1
 
+#: An arc: next state, what is passed on, weight.
+Arc = tuple[int, int, float]
 
-def _reporting() -> list[list[tuple[int, bool]]]:
-    """Transducer of reported speech: 0 plain, 1 after a verb of saying, 2 inside quotation marks."""
-    table = []
-    for state in range(3):
-        row = []
-        for read in range(7):
-            if read == QUOTE:
-                after = 0 if state == 2 else 2
-            elif read == REPORT and state == 0:
-                after = 1
-            else:
-                after = state
-            row.append((after, state > 0))
-        table.append(row)
-    return table
-
-
-def compose() -> tuple[list[list[int]], list[list[float]]]:
-    """Product of the target, negation and report transducers: next state, and factor of a lexical weight.
-
-    An insult or threat read in a product state is emitted with its weight times the factor: 1.5 near
-    a target, 0.4 near a negation, 0.6 in a report.
-    """
-    target, negation, report = _fading(TARGET), _fading(NEGATION), _reporting()
-    states = list(product(range(REACH + 1), range(REACH + 1), range(3)))
-    number = {s: i for i, s in enumerate(states)}
-    following, factors = [], []
-    for near, denied, told in states:
-        moves, gains = [], []
-        for read in range(7):
-            (a, close), (b, no), (c, cited) = target[near][read], negation[denied][read], report[told][read]
-            moves.append(number[a, b, c])
-            gains.append((1.5 if close else 1.0) * (0.4 if no else 1.0) * (0.6 if cited else 1.0))
-        following.append(moves)
-        factors.append(gains)
-    return following, factors
+
+def target_arcs(state: int, read: int) -> list[Arc]:
+    """Target transducer: marks what is read at most ``REACH`` words after a target."""
+    near = {INSULT: NEAR_INSULT, THREAT: NEAR_THREAT}.get(read, read) if state else read
+    return [(REACH if read == TARGET else max(0, state - 1), near, 1.0)]
+
+
+def negation_arcs(state: int, read: int) -> list[Arc]:
+    """Negation transducer: lowers a match at most ``REACH`` words after a negation."""
+    return [(REACH if read == NEGATION else max(0, state - 1), read, 0.4 if state else 1.0)]
+
+
+def report_arcs(state: int, read: int) -> list[Arc]:
+    """Transducer of reported speech (0 plain, 1 after a verb of saying, 2 in quotation marks): lowers a match in a report."""
+    if read == QUOTE:
+        after = 0 if state == 2 else 2
+    else:
+        after = 1 if read == REPORT and state == 0 else state
+    return [(after, read, 0.6 if state else 1.0)]
+
+
+def _matching(state: int, read: int, plain: int, near: int, alone: float, close: float) -> list[Arc]:
+    """Arcs of a matching transducer: it skips or takes a match, now or on the promise that a target follows."""
+    if state == START:
+        arcs = [(START, read, 1.0)]
+        if read == near:
+            arcs.append((DONE, read, close))
+        elif read == plain:
+            arcs += [(DONE, read, alone), (REACH, read, close)]
+        return arcs
+    if state == DONE:
+        return [(DONE, read, 1.0)]
+    # A promise is kept by a target; the last word within reach that is none ends the path.
+    if read == TARGET:
+        return [(DONE, read, 1.0)]
+    return [(state - 1, read, 1.0)] if state > 1 else []
 
 
-def _near(state: int) -> bool:
-    """Whether a target has just been read in this product state."""
-    return state >= (REACH + 1) * 3
+def insult_arcs(state: int, read: int) -> list[Arc]:
+    """Insult transducer: an insult counts, more so with a target before or behind it."""
+    return _matching(state, read, INSULT, NEAR_INSULT, 1.0, 1.5)
 
 
-_NEXT, _FACTOR = compose()
+def threat_arcs(state: int, read: int) -> list[Arc]:
+    """Threat transducer: a threat needs somebody it is aimed at, and counts little without."""
+    return _matching(state, read, THREAT, NEAR_THREAT, 0.5, 1.5)
+
+
+@dataclass
+class Grammar:
+    """The five transducers composed.
+
+    The target transducer feeds the others; negation and report weigh the word that a path matches; the insult
+    and the threat transducer run side by side and a path takes one match of either.  ``following`` moves the
+    context (target, negation, report); ``now`` and ``promised`` are the weights of a match there, at once or if
+    a target follows within reach (0: no such arc).
+    """
+
+    following: list[list[int]]
+    now: list[list[float]]
+    promised: list[list[float]]
+
+
+def compose() -> Grammar:
+    """Product of the transducers over the reachable contexts."""
+    number, queue = {(0, 0, 0): 0}, [(0, 0, 0)]
+    grammar = Grammar([], [], [])
+    for context in queue:
+        moves, now, promised = [], [], []
+        for read in range(7):
+            [(a, passed, _)], [(b, _, denied)], [(c, _, told)] = (
+                target_arcs(context[0], read), negation_arcs(context[1], read), report_arcs(context[2], read)
+            )
+            if (a, b, c) not in number:
+                number[a, b, c] = len(queue)
+                queue.append((a, b, c))
+            moves.append(number[a, b, c])
+            weights = {True: 0.0, False: 0.0}
+            for arcs in (insult_arcs, threat_arcs):
+                for after, _, weight in arcs(START, passed):
+                    if after != START:
+                        weights[after == DONE] = max(weights[after == DONE], weight * denied * told)
+            now.append(weights[True])
+            promised.append(weights[False])
+        grammar.following.append(moves)
+        grammar.now.append(now)
+        grammar.promised.append(promised)
+    return grammar
+
+
+_GRAMMAR = compose()
 _FUNCTION = {
     word: symbol
     for symbol, words in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS))
@@ -153,16 +197,17 @@ class ToxicityModel:
             start = hit
             while start > 0 and tokens[start - 1][0] not in ".!?;:\n":
                 start -= 1
-            state, best, end = 0, 0.0, start
+            # Best path by its state: `best` is matched, `waiting[k]` waits for a target within k + 1 words.
+            state, best, end, waiting = 0, 0.0, start, [0.0] * REACH
             while end < len(tokens) and tokens[end][0] not in ".!?;:\n":
                 kind, weight = read[end]
+                if kind == TARGET:
+                    best = max(best, *waiting)
+                waiting = [*waiting[1:], 0.0]
                 if weight:
-                    factor = _FACTOR[state][kind]
-                    # A target may also follow: look ahead within reach.
-                    if any(r[0] == TARGET for r in read[end + 1 : end + 1 + REACH]):
-                        factor *= 1.0 if _near(state) else 1.5
-                    best = max(best, weight * factor)
-                state = _NEXT[state][kind]
+                    best = max(best, weight * _GRAMMAR.now[state][kind])
+                    waiting[-1] = max(waiting[-1], weight * _GRAMMAR.promised[state][kind])
+                state = _GRAMMAR.following[state][kind]
                 end += 1
             scores.append(best)
             done = end - 1
