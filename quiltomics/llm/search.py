@@ -8,11 +8,12 @@ after the other while the partial score plus the bounds of what is left stays co
 Shard results are merged.
 
 Queries meet shards in blocks: every block of queries is sent to every shard once, rows of pairs are never
-made.  Scores are exact (floats while they are exact, Python integers beyond that).
+made.  Scores are exact (floats while all sums of a shard and block stay below 2^53, Python integers beyond that).
 
 Defined cases: a vector that is null or holds a null or non-finite component takes no part, as query or
-candidate; a shorter vector counts 0 where it has no component; ties go to the smaller id; a query with
-fewer candidates gets all; repeated rows are candidates each, and a query id that repeats is one query
+candidate; a shorter vector counts 0 where it has no component; ties go to the smaller id; a term beyond the long range
+is the nearest long; ranks go by the exact score, and a score beyond the long range is given as the nearest long;
+a query with fewer candidates gets all; repeated rows are candidates each, and a query id that repeats is one query
 (its first vector); a query never gets rows of its own id; an empty table gives no rows.
 """
 
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 SHARD = 8192
 QUERIES = 1024
 _PROBE = 8
+_LEAST, _MOST, _SHIFT = -(1 << 63), (1 << 63) - 1, 10**59
 
 
 def terms(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
@@ -39,11 +41,13 @@ def terms(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "e
     return vectors.where(F.col(vector_column).isNotNull() & sound).select(F.col(id_column).alias("id"), parts.alias("terms"))
 
 
-def _matrix(rows: list[list[int]], width: int) -> np.ndarray:
-    """Rows of equal width; float64 while every inner product is exact in it, else Python integers."""
-    largest = max((max(map(abs, r), default=0) for r in rows), default=0)
-    kind = np.float64 if largest <= 1 << 20 else object
-    out = np.zeros((len(rows), width), kind)
+def _largest(rows: list[list[int]]) -> int:
+    return max((max(map(abs, r), default=0) for r in rows), default=0)
+
+
+def _matrix(rows: list[list[int]], width: int, exact: bool) -> np.ndarray:
+    """Rows of equal width; float64 where every inner product is ``exact`` in it, else Python integers."""
+    out = np.zeros((len(rows), width), np.float64 if exact else object)
     for place, row in enumerate(rows):
         out[place, : len(row)] = row
     return out
@@ -52,10 +56,10 @@ def _matrix(rows: list[list[int]], width: int) -> np.ndarray:
 class Shard:
     """Posting columns of a shard and their bounds."""
 
-    def __init__(self, ids: np.ndarray, rows: list[list[int]], width: int) -> None:
+    def __init__(self, ids: np.ndarray, rows: list[list[int]], width: int, exact: bool) -> None:
         order = np.argsort(ids, kind="stable")
         self.ids = ids[order]
-        self.rows = _matrix([rows[i] for i in order], width)
+        self.rows = _matrix([rows[i] for i in order], width, exact)
         self.columns = np.asfortranarray(self.rows)
         self.low, self.high = self.rows.min(axis=0), self.rows.max(axis=0)
 
@@ -127,25 +131,27 @@ def search(vectors: DataFrame, wanted: Column, k: int = 5, **columns: str) -> Da
         ids, parts = group.column("id").to_numpy(), group.column("terms").to_pylist()
         width = max(map(len, parts), default=0)
         found: list[tuple[int, int, int]] = []
-        rows = np.flatnonzero(~asks)
-        if len(rows):
-            shard = Shard(ids[rows], [parts[i] for i in rows], width)
-            for place in np.flatnonzero(asks):
-                query = _matrix([parts[place]], width)[0]
-                if shard.rows.dtype == object or query.dtype == object:
-                    query, shard.rows = query.astype(object), shard.rows.astype(object)
-                    query = np.array([int(x) for x in query], object)
-                    shard.rows = np.array([[int(x) for x in r] for r in shard.rows], object).reshape(len(rows), width)
-                    shard.columns, shard.low, shard.high = shard.rows, shard.rows.min(axis=0), shard.rows.max(axis=0)
+        rows, wanting = np.flatnonzero(~asks), np.flatnonzero(asks)
+        if len(rows) and len(wanting):
+            held, asked = [parts[i] for i in rows], [parts[i] for i in wanting]
+            exact = width * _largest(held) * _largest(asked) < 1 << 53
+            shard = Shard(ids[rows], held, width, exact)
+            for place, query in zip(wanting, _matrix(asked, width, exact)):
                 found += [(int(ids[place]), i, s) for s, i in shard.top(query, int(ids[place]), k)]
-        columns = list(zip(*found)) if found else [(), (), ()]
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), columns)})
+        query_ids, row_ids, scores = zip(*found) if found else ((), (), ())
+        return pa.table({
+            "query_id": pa.array(query_ids, pa.int64()),
+            "vec_id": pa.array(row_ids, pa.int64()),
+            "score": pa.array([max(_LEAST, min(_MOST, s)) for s in scores], pa.int64()),
+            # Sorts as the exact score does, whatever its size.
+            "_order": pa.array([f"{s + _SHIFT:060d}" for s in scores], pa.string()),
+        })
 
     each = candidates.union(questions.select(*candidates.columns)).groupBy("shard", "block").applyInArrow(
-        run, "query_id long, vec_id long, score long"
+        run, "query_id long, vec_id long, score long, _order string"
     )
     # At most k rows per shard for one query.
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc("_order"), "vec_id")
     return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

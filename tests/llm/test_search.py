@@ -46,6 +46,19 @@ def test_few_candidates_empty_and_digest(spark):
     assert search_digest(table.limit(0)).count() == 0
 
 
+def test_scores_beyond_the_long_range(spark):
+    """Terms beyond the long range are the nearest long, ranks go by exact scores, scores are given as the nearest long."""
+    data = [(0, [1e300, 1.0]), (1, [2e300, 3.0]), (2, [-1e300, 5.0]), (3, [1e17, 0.0]), (4, [0.0, 2.0]), (50, [1e200, -1.0]), (51, [1e300, 2.0])]
+    table = spark.createDataFrame([(i, v, "x", 1) for i, v in data], SCHEMA)
+    low, high = -(1 << 63), (1 << 63) - 1
+    term = {i: [max(low, min(high, math.floor(256 * x))) for x in v] for i, v in data}
+    want = set()
+    for q in (0, 50):
+        scored = sorted((-sum(a * b for a, b in zip(term[q], v)), i) for i, v in term.items() if i != q)[:5]
+        want |= {(q, rank + 1, i, max(low, min(high, -s))) for rank, (s, i) in enumerate(scored)}
+    assert rows_of(search_digest(table)) == want
+
+
 def test_large_components_stay_exact(spark):
     data = [(0, [123_456.75, -9e5]), (1, [9e5, 1 / 3]), (2, [9e5, 2 / 3]), (50, [-123_456.0, 9e5])]
     table = spark.createDataFrame([(i, v, "x", 1) for i, v in data], SCHEMA)
