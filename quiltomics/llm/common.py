@@ -21,8 +21,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def held_out(key: str = "doc_id") -> Column:
-    """True for the fifth of the rows whose labels are never learned from."""
+    """True for the fifth of the rows whose labels are never learned from; null without a key, and such rows teach nothing."""
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(5)) == 0
 
 

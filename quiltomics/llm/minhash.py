@@ -16,7 +16,9 @@ k - need + 1 rarest: only those are posted in inverted lists, which keeps common
 
 Defined cases: null and blank texts have no shingles and link with nothing; a text with fewer words than
 a shingle is one shingle; repeated rows are members of their class; rows of one id are one document; a
-row without an id is never a representative, and is kept where its text has no other; an empty table gives no rows; columns other than the id and the text are ignored.
+row without an id is never a representative and meets others by an equal set only: ``near_duplicates`` marks it
+as kept where no document with an id has its set, and ``deduplicated`` keeps one such row of each set; an empty
+table gives no rows; columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiltomics.llm.common import WordHasher, passes, shingles, utf8
+from quiltomics.llm.common import WordHasher, free_name, passes, shingles, utf8
 from quiltomics.llm.components import components
 from quiltomics.session import settled
 
@@ -64,8 +66,8 @@ def least_overlap(k: int, percent: int, chance: float = 1e-6) -> int:
     return k
 
 
-def sketches(docs: DataFrame, k: int, size: int) -> DataFrame:
-    """Per row: number of shingles, digest of the set, and the k least hashes."""
+def sketches(docs: DataFrame, k: int, size: int, id_type: str = "long") -> DataFrame:
+    """Per row ``doc_id, text``: number of shingles, digest of the set, and the k least hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,7 +86,7 @@ def sketches(docs: DataFrame, k: int, size: int) -> DataFrame:
                 ["doc_id", "n_shingles", "digest", "sketch"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, sketch array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_shingles long, digest binary, sketch array<long>")
 
 
 def similar(left: np.ndarray, right: np.ndarray, percent: int) -> bool:
@@ -322,13 +324,30 @@ def near_duplicates(docs: DataFrame, k: int = 64, percent: int = 75, size: int =
 
 def deduplicated(docs: DataFrame, k: int = 64, percent: int = 75, size: int = 5) -> DataFrame:
     """One document of every near-duplicate group, all columns; of repeated rows of one id, one."""
-    kept = near_duplicates(docs, k, percent, size).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    once = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    mark = free_name(docs, "_mark")
+    kept = near_duplicates(docs, k, percent, size).where("kept and doc_id is not null").select(F.col("doc_id").alias(mark)).distinct()
+    once = docs.join(kept, F.col("doc_id") == F.col(mark), "left_semi")
     counts = docs.select("doc_id").groupBy("doc_id").count().where("count > 1 and doc_id is not null")
-    repeated = settled(counts.select(F.col("doc_id").alias("_again")), "repeated-ids")
-    if repeated.isEmpty():
-        return once
-    # An id whose rows repeat keeps one of them.
-    single = once.join(repeated, F.col("doc_id") == F.col("_again"), "left_anti")
-    again = once.join(repeated, F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(again)
+    repeated = settled(counts.select(F.col("doc_id").alias(mark)), "repeated-ids")
+    if not repeated.isEmpty():
+        # An id whose rows repeat keeps one of them.
+        single = once.join(repeated, F.col("doc_id") == F.col(mark), "left_anti")
+        again = once.join(repeated, F.col("doc_id") == F.col(mark), "left_semi").dropDuplicates(["doc_id"])
+        once = single.unionByName(again)
+    nameless = docs.where("doc_id is null")
+    return once if nameless.isEmpty() else once.unionByName(_unheld(nameless, docs.where("doc_id is not null"), k, size))
+
+
+def _unheld(nameless: DataFrame, named: DataFrame, k: int, size: int) -> DataFrame:
+    """Rows without an id, one of each set that no document with an id has; those without words stay."""
+    mark = free_name(nameless, "_mark")
+    text = F.sha2(F.coalesce("text", F.lit("")), 256)
+    digests = settled(sketches(nameless.select(text.alias("doc_id"), "text").distinct(), k, size, "string"), "nameless-sets")
+    held = sketches(named, k, size).select("digest").where("digest is not null").distinct()
+    fresh = digests.where("digest is not null").join(held, "digest", "left_anti").groupBy("digest").agg(F.min("doc_id").alias(mark))
+    blank = digests.where("digest is null").select(F.col("doc_id").alias(mark))
+    tagged = nameless.withColumn(free_name(nameless, "_text"), text)
+    tag = tagged.columns[-1]
+    one = tagged.join(fresh, F.col(tag) == F.col(mark), "left_semi").dropDuplicates([tag])
+    every = tagged.join(blank, F.col(tag) == F.col(mark), "left_semi")
+    return one.unionByName(every).drop(tag)

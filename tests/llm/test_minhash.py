@@ -100,6 +100,16 @@ def test_dedup_keeps_one_of_each_group(spark):
     assert ids == sorted([(False, c) for c in {c for _, c in brute(texts).values()}] + [(True, 0)])
 
 
+def test_dedup_of_rows_without_an_id(spark):
+    data = [(1, "one two three four five six"), (None, "one two three four five six"), (None, "ONE two three four five six")]
+    data += [(None, "another text that nobody else has here")] * 2 + [(None, "Another text  that nobody else has here"), (None, ""), (None, None), (2, "alone")]
+    table = spark.createDataFrame([(i, t, "no", 1) for i, t in data], SCHEMA).selectExpr("*", "1 AS _mark", "2 AS _text", "3 AS _kept")
+    kept = deduplicated(table)
+    assert kept.columns == table.columns
+    texts = sorted((r.doc_id or 0, (r.text or "").lower().split()) for r in kept.collect())
+    assert texts == [(0, []), (0, []), (0, "another text that nobody else has here".split()), (1, "one two three four five six".split()), (2, ["alone"])]
+
+
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
