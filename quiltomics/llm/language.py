@@ -10,7 +10,7 @@ the share of its 3-grams that the learned texts know (two of them at least).  Th
 all but a thousandth of the rows learned from keep to, taken ``SLACK`` times, is what a text may miss, a fifth at
 least and half at most; a text that misses more scores 0.  A text that mixes learned languages is known and gets the nearest.
 
-Defined cases: with fewer than ``LEAST_TEXTS`` texts to learn from no text is held to be unknown; a null text or one without a letter is ``und`` with score 0; rows without a language are
+Defined cases: from few texts, few 3-grams are known and the limit for unknown texts falls with them; a null text or one without a letter is ``und`` with score 0; rows without a language are
 predicted but not learned from; repeated rows get equal results; where nothing can be learned every
 text is ``und``; an empty table gives no rows; other columns are ignored.
 """
@@ -34,8 +34,6 @@ PER_LANGUAGE = 600
 BUCKETS = 1 << 12
 #: How many times the missed share of 3-grams of the rows learned from a text may miss.
 SLACK = 4
-#: Texts that it takes to tell which 3-grams are known.
-LEAST_TEXTS = 100
 
 # Families of ISO 639-1 codes; a code not listed is a family of its own.
 FAMILIES = {
@@ -182,7 +180,7 @@ def fit_languages(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Language
                 both = np.concatenate([points[one], points[two]])
                 signs = np.concatenate([np.ones(len(points[one])), -np.ones(len(points[two]))])
                 model.pairs[one, two] = hinge_machine(both, signs)
-    if sum(map(len, points.values())) >= LEAST_TEXTS:
+    if points:
         _fit_known(model, learn, sample)
     return model
 
@@ -211,9 +209,12 @@ def _fit_known(model: LanguageModel, learn: DataFrame, sample: DataFrame) -> Non
 
     # At most 10,001 rows.
     found = sorted((r.missed, r["count"]) for r in learn.select("text").mapInArrow(missed, "missed int").groupBy("missed").count().collect())
+    if not found:
+        return
     below = np.cumsum([n for _, n in found])
     most = found[int(np.searchsorted(below, below[-1] * 0.999))][0] / 10_000
-    model.floor = min(0.8, max(0.5, 1 - SLACK * most))
+    # From a few texts hardly any 3-gram is known twice: then no more is asked than the rows learned from have.
+    model.floor = min(0.8, max(1 - SLACK * most, min(0.5, 1 - most)))
 
 
 def identify(docs: DataFrame, model: LanguageModel, added: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

@@ -6,19 +6,20 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quiltomics.llm.common import free_name
+
 
 def bounded_sample(rows: DataFrame, label: str, text: str, bound: int) -> DataFrame:
     """About ``bound`` distinct texts of every label value, chosen by a hash of the text.
 
     One count per label sets the rate; copies of one text are one row, so a group of copies cannot fill
-    the sample.  Labels are few by nature; at most 1,000 of the most frequent are kept.
+    the sample.  Every label value is kept; the rates, one row for each, are what is broadcast.
     """
-    counts = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(1000).collect()
-    rate = F.lit(0.0)
-    for row in counts:
-        rate = F.when(F.col(label) == F.lit(row[0]), F.lit(min(1.0, bound / row["count"]))).otherwise(rate)
+    counts = rows.where(F.col(label).isNotNull()).groupBy(label).count().collect()
+    rate = free_name(rows, "_rate")
+    rates = rows.sparkSession.createDataFrame([(r[0], min(1.0, bound / r["count"])) for r in counts], f"`{label}` string, `{rate}` double")
     share = F.pmod(F.xxhash64(text), F.lit(1 << 20)) / float(1 << 20)
-    return rows.where(share < rate).dropDuplicates([label, text])
+    return rows.join(F.broadcast(rates), label).where(share < F.col(rate)).drop(rate).dropDuplicates([label, text])
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:

@@ -14,6 +14,7 @@ are ignored.
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -22,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from quiltomics.llm.common import gapless
 from quiltomics.llm.tokenizing import chunk_encoder
@@ -113,6 +115,8 @@ def cutting_patterns(demand: np.ndarray, room: int) -> list[tuple[np.ndarray, in
         pivot = inverse[leaving] / step[leaving]
         inverse -= np.outer(step, pivot)
         inverse[leaving] = pivot
+    else:
+        warnings.warn(f"column generation ended after {_ROUNDS} rounds within {best - 1:.2%} of the optimum", stacklevel=2)
     whole = np.floor(amount + 1e-7).astype(np.int64)
     left = demand[sizes - 1].astype(np.int64) - columns.astype(np.int64) @ whole
     while (left < 0).any():  # a rounded-up amount took too many: give one pattern back
@@ -178,10 +182,13 @@ def pack(pieces: DataFrame, capacity: int = 4096, grain: int = 8) -> DataFrame:
     order = np.argsort(np.array(keys, np.int64))
     keys, first, times, base, slot = (np.array(x, np.int64)[order] for x in (keys, first, times, base, slot))
 
+    # Every column takes part, so that pieces of repeated ids keep their ranks when a task is run again.
+    told = [F.col(c) for c in pieces.columns if c not in ("length", "doc_id", "start", "_class") and not isinstance(pieces.schema[c].dataType, MapType)]
+    order = [F.desc("length"), F.col("doc_id"), F.col("start"), *told]
     ranked = gapless(
         pieces,
         ["_class"],
-        [F.desc("length"), F.col("doc_id"), F.col("start")],
+        order,
         F.struct("doc_id", "start"),
         "_rank",
         int(demand.sum()),
