@@ -50,7 +50,8 @@ def test_run_gives_the_last_stage(spark, outputs):
 
 
 def test_stages_keep_other_columns_and_empty_tables(spark):
-    docs = table(spark, FOLDER, "documents").selectExpr("*", "1 AS score", "'x' AS kept", "2 AS quality_score", "'y' AS lang_pred")
+    docs = table(spark, FOLDER, "documents").selectExpr("*", "1 AS score", "'x' AS kept", "2 AS quality_score", "'y' AS lang_pred",
+        "3 AS _language", "4 AS _certainty", "5 AS _quality", "6 AS _mark", "7 AS _text")
     for _, stage in pipeline.STAGES[:-1]:
         assert stage(spark, docs, FOLDER).columns == docs.columns
         assert stage(spark, docs.limit(0), FOLDER).count() == 0
