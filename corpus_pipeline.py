@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiltomics.llm.common import table
+from quiltomics.llm.common import free_name, table
 from quiltomics.llm.decontam import decontaminate
 from quiltomics.llm.language import fit_languages, identify
 from quiltomics.llm.minhash import deduplicated
@@ -30,16 +30,18 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised."""
     ship_package(spark)
-    found = identify(docs, fit_languages(docs), ("_language", "_certainty"))
-    kept = found.where((F.col("_language") != "und") & (F.col("_certainty") >= LANGUAGE_SCORE))
-    return kept.drop("_language", "_certainty")
+    language, certainty = free_name(docs, "_language"), free_name(docs, "_certainty")
+    found = identify(docs, fit_languages(docs), (language, certainty))
+    kept = found.where((F.col(language) != "und") & (F.col(certainty) >= LANGUAGE_SCORE))
+    return kept.drop(language, certainty)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of good quality."""
     ship_package(spark)
-    scored = score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")), "_quality")
-    return scored.where(F.col("_quality") >= THRESHOLD).drop("_quality")
+    quality = free_name(docs, "_quality")
+    scored = score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")), quality)
+    return scored.where(F.col(quality) >= THRESHOLD).drop(quality)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
