@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quiltomics.operators import features as X
 from quiltomics.operators import samples as T
+from quiltomics.operators import shards
 from quiltomics.operators.ordering import numbered
 from quiltomics.plans import difficulty as D
 from quiltomics.plans import migration, splits
@@ -335,6 +336,95 @@ def _(spark, d):
     )
 
 
+# Samples on the sources' real axes, sparse: 'ordinal:value' of what a sample has, in order.
+_SPARSE = """sp AS (SELECT obs_id, modality, string_agg(feature_ord || ':' || value, ',' ORDER BY feature_ord) AS s,
+      CAST(sum(value) AS BIGINT) AS total FROM x GROUP BY ALL),
+    pr AS (SELECT obs_id, bool_or(modality = 'rna') AS r, bool_or(modality = 'protein') AS p FROM members GROUP BY obs_id),
+    sm AS (SELECT row_number() OVER (ORDER BY obs_ord) - 1 AS position, obs.obs_id, sample_id, coalesce(r, false) AS rna_present,
+      coalesce(p, false) AS protein_present, coalesce(a.s, '') AS rna, coalesce(b.s, '') AS protein,
+      coalesce(a.total, 0) AS rna_total, coalesce(b.total, 0) AS protein_total
+      FROM obs LEFT JOIN pr USING (obs_id) LEFT JOIN sp a ON a.obs_id = obs.obs_id AND a.modality = 'rna'
+      LEFT JOIN sp b ON b.obs_id = obs.obs_id AND b.modality = 'protein')"""
+_MEASURED = """SELECT 'rna' AS modality, o_orderpriority AS source_id, l_partkey AS o FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+      GROUP BY ALL HAVING 2 * sum(CAST(l_quantity AS BIGINT)) >= 51 * count(*)"""
+
+
+def _measured(spark, d):
+    """Genes whose mean quantity in a source reaches the limit."""
+    return (
+        B.table(spark, d, "lineitem")
+        .join(B.table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        .groupBy(F.col("o_orderpriority").alias("source_id"), F.col("l_partkey").alias("feature_ord"))
+        .agg(F.sum(F.col("l_quantity").cast("long")).alias("_q"), F.count(F.lit(1)).alias("_n"))
+        .select(F.lit("rna").alias("modality"), "source_id", "feature_ord", (2 * F.col("_q") >= 51 * F.col("_n")).alias("measured"))
+    )
+
+
+def _shards(spark, d):
+    observed = B.observations(spark, d).withColumn("source_dataset_id", F.col("sample_id"))
+    samples = shards.sparse_samples(observed, B.memberships(spark, d), B.entries(spark, d), ["rna", "protein"])
+    path = scratch_path(spark, "shards")
+    shards.write_shards(samples, shards.measured_features(_measured(spark, d)), path, 1000)
+    return shards.SampleShards(spark, path, 1000)
+
+
+def _listed(m):
+    pairs = F.zip_with(f"{m}_indices", f"{m}_values", lambda i, v: F.concat_ws(":", i, v.cast("long")))
+    return F.array_join(pairs, ",").alias(m)
+
+
+@query(
+    "sample_shards",
+    using("obs", "members", "x", more=_SPARSE) + "SELECT position, obs_id, sample_id, rna_present, protein_present, rna, protein FROM sm",
+)
+def _(spark, d):
+    return _shards(spark, d).samples.select(
+        "position", "obs_id", "sample_id", "rna_present", "protein_present", _listed("rna"), _listed("protein")
+    )
+
+
+@query(
+    "sample_measured_features",
+    f"SELECT modality, source_id, count(*) AS n_features, string_agg(o, ',' ORDER BY o) AS measured FROM ({_MEASURED}) GROUP BY ALL",
+)
+def _(spark, d):
+    found = shards.measured_features(_measured(spark, d))
+    return found.select("modality", "source_id", "n_features", F.array_join(F.col("measured").cast("array<string>"), ",").alias("measured"))
+
+
+@query(
+    "sample_gather",
+    using("obs", "members", "x", more=_SPARSE)
+    + """SELECT place, obs_id, rna, protein FROM (SELECT unnest(range(600)) AS place) JOIN sm ON position =
+      (place * 7919) % (SELECT count(*) // 2 FROM sm)""",
+)
+def _(spark, d):
+    stored = _shards(spark, d)
+    half = len(stored) // 2
+    return stored.gather([(at * 7919) % half for at in range(600)]).select(F.col("at").alias("place"), "obs_id", _listed("rna"), _listed("protein"))
+
+
+@query(
+    "sample_pairs_sparse",
+    using("obs", "members", "x", more=_SPARSE)
+    + """SELECT obs_id, CAST((rna_total + (SELECT max(feature_ord) + 1 FROM x WHERE modality = 'rna')) * 3 AS BIGINT) AS x,
+      CAST(protein_total * 8 AS BIGINT) AS y FROM sm WHERE rna_present AND protein_present""",
+)
+def _(spark, d):
+    stored = _shards(spark, d)
+    ends = {r["modality"]: r["n"] for r in B.entries(spark, d).groupBy("modality").agg((F.max("feature_ord") + 1).cast("int").alias("n")).collect()}
+    everything = stored.measured.limit(0)  # every source measures its whole axis
+    pairs = shards.complete_pairs(stored.samples, everything, "rna", "protein", ends)
+    return shards.map_dense(pairs, ends, ["obs_id"], _shifted_sums, "obs_id string, x bigint, y bigint")
+
+
+def _shifted_sums(batch):
+    import pyarrow as pa
+
+    x, y = ((batch["rna"] + 1) * 3).sum(axis=1), (batch["protein"] * 2 * 4).sum(axis=1)
+    return {"x": pa.array(x.astype("int64")), "y": pa.array(y.astype("int64"))}
+
+
 @query(
     "spatial_split",
     using("sides", "x")
