@@ -11,8 +11,9 @@ m - 1 words may be frequent, which tasks look up in a bit table of the frequent
 table has 16 bits for each of them, up to ``FILTER_BITS``: beyond that it lets more infrequent phrases
 through to be counted, and never stops a frequent one.
 
-Hot prefixes: a stripe is cut into slices by its next word (512 for the empty prefix, 16 for others), so no
-task merges the whole counter of a frequent word, and tasks count before anything is shuffled.
+Hot prefixes: the stripes of the empty prefix and of every phrase that makes up a 1,024th of all words are cut
+into slices by the next word (512 and 64), so no task merges the whole counter of a frequent word, and tasks
+count before anything is shuffled.
 
 Defined cases: a null text is empty, a null language is ``und``; texts without words add nothing; repeated
 rows count each; an empty table gives no rows; a text of any length is cut into windows that overlap by the
@@ -39,7 +40,9 @@ WINDOW = 6 << 20
 #: Largest bit table of frequent phrases (32 MB).
 FILTER_BITS = 1 << 28
 _ROWS = 100_000
-_WORD_SLICES, _SLICES = 512, 16
+_WORD_SLICES, _SLICES = 512, 64
+#: A phrase that makes up this part of all words is hot; there are at most so many of one length.
+HOT = 1024
 
 _BREAK = re.compile(rb"[ \t.,;:!?\n-\r]")
 _KIND = np.zeros(256, np.uint8)
@@ -93,10 +96,11 @@ def _joined(values: pa.Array, bounds: np.ndarray) -> pa.Array:
 
 
 class StripeCounter:
-    """Stripes of one level; ``known`` is the bit table of the level below, none for single words."""
+    """Stripes of one level; ``known`` is the bit table of the level below (none for single words), ``hot`` hashes of its hot phrases."""
 
-    def __init__(self, size: int, known: np.ndarray | None) -> None:
+    def __init__(self, size: int, known: np.ndarray | None, hot: np.ndarray | None = None) -> None:
         self.size, self.known, self.hasher = size, known, WordHasher()
+        self.hot = np.zeros(0, np.uint64) if hot is None else hot
 
     def stripes(self, data: bytes, own: int, lang: str) -> pa.Table | None:
         """Stripes of the phrases that begin in the first ``own`` bytes."""
@@ -118,10 +122,12 @@ class StripeCounter:
             counts = np.bincount(ids[:begun], minlength=len(lexicon))
             kept = np.flatnonzero(counts)
             total = pa.table([[lang], [""], pa.array([0], pa.int32()), [""], [str(begun)]], ["lang", "prefix", "slice", "nexts", "counts"])
-            rows = self._rows(lang, lexicon, np.zeros(len(kept), np.int64), kept, counts[kept], hashes, None)
+            slices = hashes[kept] % np.uint64(_WORD_SLICES)
+            rows = self._rows(lang, lexicon, np.zeros(len(kept), np.int64), kept, counts[kept], slices, None)
             return pa.concat_tables([total, rows])
         piece = np.searchsorted(np.flatnonzero(kind == 2), starts)
-        places = self._candidates(hashes[ids], piece, begun, lang)
+        parts = _phrase_hashes(hashes[ids], self.size - 1, _seed(lang))
+        places = self._candidates(parts, piece, begun)
         if not len(places):
             return None
         key, width, distinct = ids[places], len(lexicon), len(lexicon)
@@ -131,25 +137,27 @@ class StripeCounter:
                 distinct = len(found)
             key, distinct = key * width + ids[places + step], distinct * width
         key, first, counts = np.unique(key, return_index=True, return_counts=True)
-        return self._rows(lang, lexicon, key // width, key % width, counts, hashes, ids[places[first][:, None] + np.arange(self.size - 1)])
+        first = places[first]
+        slices = np.where(np.isin(parts[first], self.hot), hashes[key % width] % np.uint64(_SLICES), np.uint64(0))
+        return self._rows(lang, lexicon, key // width, key % width, counts, slices, ids[first[:, None] + np.arange(self.size - 1)])
 
     def _hashes(self, lexicon: pa.Array) -> np.ndarray:
         _, offsets, data = lexicon.buffers()
         bounds = np.frombuffer(offsets, np.int64)[lexicon.offset : lexicon.offset + len(lexicon) + 1]
         return self.hasher.words(np.frombuffer(data, np.uint8)[: bounds[-1]], bounds)[0]
 
-    def _candidates(self, words: np.ndarray, piece: np.ndarray, begun: int, lang: str) -> np.ndarray:
+    def _candidates(self, parts: np.ndarray, piece: np.ndarray, begun: int) -> np.ndarray:
         """Places of phrases inside one piece of which both parts may be frequent."""
-        count = len(words) - self.size + 1
+        count = len(piece) - self.size + 1
         if count <= 0:
             return np.zeros(0, np.int64)
-        part = _listed(self.known, _phrase_hashes(words, self.size - 1, _seed(lang)))
+        part = _listed(self.known, parts)
         sound = part[:count] & part[1 : count + 1] & (piece[:count] == piece[self.size - 1 :])
         return np.flatnonzero(sound[:begun])
 
-    def _rows(self, lang: str, lexicon: pa.Array, prefix: np.ndarray, following: np.ndarray, counts: np.ndarray, hashes: np.ndarray, words: np.ndarray | None) -> pa.Table:
-        """One row for each prefix and slice of next words; ``prefix`` is ascending."""
-        slices = (hashes[following] % np.uint64(_WORD_SLICES if words is None else _SLICES)).astype(np.int64)
+    def _rows(self, lang: str, lexicon: pa.Array, prefix: np.ndarray, following: np.ndarray, counts: np.ndarray, slices: np.ndarray, words: np.ndarray | None) -> pa.Table:
+        """One row for each prefix and slice of next words."""
+        slices = slices.astype(np.int64)
         order = np.lexsort((slices, prefix))
         prefix, slices, following, counts = prefix[order], slices[order], following[order], counts[order]
         fresh = np.ones(len(order), bool)
@@ -172,7 +180,7 @@ class StripeCounter:
 
 def _counted(size: int, known: object, limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = StripeCounter(size, known.value if known is not None else None)
+        counter = StripeCounter(size, *(known.value if known is not None else (None, None)))
         held: dict[str, list[bytes]] = {}
         total = 0
 
@@ -216,30 +224,37 @@ def _phrase(prefix: str = "prefix", following: str = "next") -> Column:
     return F.when(F.col(prefix) == "", F.col(following)).otherwise(F.concat_ws(" ", prefix, following))
 
 
-def _bit_table(spark: SparkSession, phrases: DataFrame, size: int) -> object:
-    """Broadcast bit table of ``lang, phrase`` rows of ``size`` words; its size is bounded by ``FILTER_BITS``."""
+def _text_hashes(langs: list[str], phrases: pa.Array, size: int) -> np.ndarray:
+    """Hashes of phrases of ``size`` words given as text."""
+    texts = phrases.cast(pa.large_binary())
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    words = WordHasher().words(np.frombuffer(texts.buffers()[2], np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0])[0]
+    total = np.array([_seed(x) for x in langs], np.uint64)
+    for place in range(size):
+        total += words.reshape(-1, size)[:, place] * _PLACES[place]
+    return mixed(total)
+
+
+def _bit_table(spark: SparkSession, phrases: DataFrame, size: int, total: int) -> object:
+    """Broadcast bit table of ``lang, phrase, f`` rows of ``size`` words (its size is bounded by ``FILTER_BITS``), and hashes of the hot ones."""
     count = phrases.count()
     bits = min(FILTER_BITS, 1 << max(10, (16 * count - 1).bit_length()))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
         for batch in batches:
-            texts = batch.column(1).cast(pa.large_binary())
-            bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-            words = hasher.words(np.frombuffer(texts.buffers()[2], np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0])[0]
-            seeds = np.array([_seed(x) for x in batch.column(0).to_pylist()], np.uint64)
-            total = seeds.copy()
-            for place in range(size):
-                total += words.reshape(-1, size)[:, place] * _PLACES[place]
-            found = np.unique(np.concatenate(_places(mixed(total), bits)))
+            hashes = _text_hashes(batch.column(0).to_pylist(), batch.column(1), size)
+            found = np.unique(np.concatenate(_places(hashes, bits)))
             masks = (np.uint64(1) << (found & np.uint64(63))).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array((found >> np.uint64(6)).astype(np.int64)), pa.array(masks)], ["place", "mask"])
 
     # At most FILTER_BITS / 64 rows of two numbers.
-    marks = phrases.mapInArrow(mark, "place long, mask long").groupBy("place").agg(F.bit_or("mask").alias("mask")).toArrow()
+    marks = phrases.select("lang", "phrase").mapInArrow(mark, "place long, mask long").groupBy("place").agg(F.bit_or("mask").alias("mask")).toArrow()
     table = np.zeros(bits // 64, np.uint64)
     table[marks.column("place").to_numpy()] = marks.column("mask").to_numpy().view(np.uint64)
-    return spark.sparkContext.broadcast(table)
+    # They occur total / HOT times each, so there are at most HOT x size of them.
+    rows = phrases.where(F.col("f") * HOT >= total).select("lang", "phrase").collect()
+    hot = _text_hashes([r.lang for r in rows], pa.array([r.phrase for r in rows], pa.string()), size) if rows else np.zeros(0, np.uint64)
+    return spark.sparkContext.broadcast((table, np.sort(hot)))
 
 
 def score_of(a: Column, parts: Column) -> Column:
@@ -265,12 +280,14 @@ def collocations(
     """
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(lang_column, F.lit("und")).alias("lang"), F.coalesce(text_column, F.lit("")).alias("text"))
-    levels, known = [], None
+    levels, known, total = [], None, 0
     for words in range(1, size + 1):
         level = settled(_extensions(texts, words, known, least), "stripes")
         levels.append(level.withColumn("size", F.lit(words)))
+        if words == 1:
+            total = level.where(F.col("next") == "").agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]
         if words < size:
-            known = _bit_table(spark, level.where(F.col("next") != "").select("lang", _phrase().alias("phrase")), words)
+            known = _bit_table(spark, level.where(F.col("next") != "").select("lang", _phrase().alias("phrase"), "f"), words, total)
     extensions = levels[0]
     for level in levels[1:]:
         extensions = extensions.unionByName(level)
