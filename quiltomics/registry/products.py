@@ -7,13 +7,14 @@ from quiltomics.operators import samples as T
 from quiltomics.operators import shards
 from quiltomics.operators.ordering import numbered
 from quiltomics.plans import difficulty as D
+from quiltomics.plans import difficulty_report as R
 from quiltomics.plans import migration, splits
 from quiltomics.plans.reference import build_reference
 from quiltomics.registry import query
 from quiltomics.registry.reference import _RAW, SAMPLING, _PART
 from quiltomics.registry.reference import _raw as raw_cells
 from quiltomics.registry.views import using
-from quiltomics.session import scratch_path
+from quiltomics.session import scratch_path, settled
 from quiltomics.sources import bindings as B
 from quiltomics.sources import readers, sinks
 
@@ -652,3 +653,48 @@ def _(spark, d):
     challenges = spark.createDataFrame([("regions", "same_slice")], "split_id string, challenge_type string")
     report = D.evaluate(challenges, _matrix_rows(spark, d), MATRIX_CONFIG)
     return report.select("split_id", "status", F.round("mean_auroc", 6).alias("mean_auroc"), "error")
+
+
+_REPORT_PARTS = """f AS (SELECT side AS domain, feature_id, 2 * sum(value) >= 51 * count(*) AS measured FROM rna JOIN sides USING (obs_id) GROUP BY ALL),
+    ft AS (SELECT feature_id, bool_or(domain = 'train') AS a, bool_or(domain = 'test') AS b, bool_or(domain = 'train' AND measured) AS am,
+      bool_or(domain = 'test' AND measured) AS bm FROM f GROUP BY feature_id),
+    fo AS (SELECT count(*) FILTER (a) AS train_features_total, count(*) FILTER (b) AS test_features_total, count(*) FILTER (am AND bm) AS common FROM ft),
+    hv AS (SELECT 'sample_id' AS c, sample_id AS v, max(CAST(side = 'train' AS INT)) AS a, max(CAST(side = 'test' AS INT)) AS b FROM sides GROUP BY ALL),
+    h AS (SELECT c, CAST(sum(a) AS BIGINT) AS a, CAST(sum(b) AS BIGINT) AS b, CAST(sum(a * b) AS BIGINT) AS o FROM hv GROUP BY c),
+    sz AS (SELECT side, count(*) AS n, count(*) FILTER (obs_id IN (SELECT obs_id FROM rna JOIN ft USING (feature_id) WHERE am AND bm)) AS ok FROM sides GROUP BY side)"""
+
+
+@query(
+    "difficulty_report",
+    using("sides", "rna", more=_REPORT_PARTS)
+    + """SELECT 'regions' AS split_id, (SELECT n FROM sz WHERE side = 'train') AS train_total, (SELECT n FROM sz WHERE side = 'test') AS test_total,
+      (SELECT ok FROM sz WHERE side = 'train') AS train_valid, (SELECT ok FROM sz WHERE side = 'test') AS test_valid,
+      train_features_total, test_features_total, common AS common_features, round(common::DOUBLE / least(train_features_total, test_features_total), 9) AS overlap,
+      (SELECT string_agg(c || ' ' || a || ' ' || b || ' ' || o, ',' ORDER BY c) FROM h) AS hierarchy,
+      (SELECT bool_or(a > 0 AND b > 0 AND o = 0) FROM h) AS aligned FROM fo""",
+)
+def _(spark, d):
+    """The whole report of the region split; the oracle holds all but what rests on random samples."""
+    sides = splits.spatial_split(B.observations(spark, d), B.regions(spark), "regions")
+    observations = sides.select("split_id", F.col("side").alias("domain"), "obs_id", "sample_id")
+    own = B.entries(spark, d, "rna").join(observations, "obs_id")
+    features = own.groupBy("split_id", "domain", "feature_id", "feature_ord").agg((2 * F.sum("value") >= 51 * F.count(F.lit(1))).alias("measured"))
+    features = settled(features, "side-features")
+    common = features.where("measured").groupBy("split_id", "feature_id", "feature_ord").agg(F.count(F.lit(1)).alias("n")).where("n = 2").drop("n")
+    rows = settled(D.challenge_rows(own.drop("feature_ord"), observations, common, "counts"), "difficulty-rows")
+    challenges = spark.createDataFrame([("regions", "same_slice", "counts")], "split_id string, challenge_type string, value_type string")
+    report = R.whole_report(challenges, observations, features, rows, MATRIX_CONFIG)
+    shown = F.transform("hierarchy", lambda h: F.concat_ws(" ", h["column"], h["train_unique"], h["test_unique"], h["overlap"]))
+    return report.select(
+        "split_id",
+        F.col("train_observations_total").alias("train_total"),
+        F.col("test_observations_total").alias("test_total"),
+        F.col("train_observations_valid").alias("train_valid"),
+        F.col("test_observations_valid").alias("test_valid"),
+        "train_features_total",
+        "test_features_total",
+        F.col("common_fully_measured_features").alias("common_features"),
+        F.round("feature_overlap_fraction", 9).alias("overlap"),
+        F.array_join(shown, ",").alias("hierarchy"),
+        F.exists("hierarchy", lambda h: h["domain_disjoint"]).alias("aligned"),
+    )
