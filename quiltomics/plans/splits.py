@@ -35,35 +35,43 @@ def split_contents(product: DataFrame, entries: DataFrame) -> DataFrame:
     )
 
 
-def compose_entries(
-    entries: DataFrame, features: DataFrame, policy: str, reference: str | None = None
-) -> DataFrame:
-    """Stacked entries of all sources on the merged axis of one policy.
+def merged_axis(features: DataFrame, policy: str, reference: str | None = None) -> DataFrame:
+    """``feature_id, target_ord`` of the sources' merged axis.
 
-    ``entries`` is ``source_id, obs_id, feature_id, value``; ``features`` the source axes.
-    A feature a source did not measure holds no entry of that source.  Refused: an empty intersection,
-    ``preserve`` on axes that differ, and a reference without an axis.
+    Refused: an empty intersection, ``preserve`` on axes that differ, and a reference without an axis.
     """
     if policy == "intersection":
         target = X.intersection(features)
         if target.isEmpty():
             raise ValueError("the sources have no feature in common")
-    elif policy == "union":
-        target = X.union(features)
-    elif policy == "preserve":
+        return target
+    if policy == "union":
+        return X.union(features)
+    if policy == "preserve":
         if not X.preserve_mismatches(features).where("n_mismatch > 0").isEmpty():
             raise ValueError("the preserve policy needs equal axes in all sources")
-        target = X.union(features)
-    elif policy == "reference":
-        if reference is None:
-            raise ValueError("the reference policy needs a reference source")
-        target = X.reference_axis(features, reference)
-        if target.isEmpty():
-            raise ValueError(f"the reference source {reference!r} has no feature axis")
-    else:
+        return X.union(features)
+    if policy != "reference":
         raise ValueError(f"unknown feature policy {policy!r}")
+    if reference is None:
+        raise ValueError("the reference policy needs a reference source")
+    target = X.reference_axis(features, reference)
+    if target.isEmpty():
+        raise ValueError(f"the reference source {reference!r} has no feature axis")
+    return target
+
+
+def compose_entries(
+    entries: DataFrame, features: DataFrame, policy: str, reference: str | None = None, target: DataFrame | None = None
+) -> DataFrame:
+    """Stacked entries of all sources on the merged axis of one policy (``target``, if it is at hand).
+
+    ``entries`` is ``source_id, obs_id, feature_id, value``; ``features`` the source axes.
+    A feature a source did not measure holds no entry of that source.
+    """
+    axis = merged_axis(features, policy, reference) if target is None else target
     measured = entries.join(features.select("source_id", "feature_id"), ["source_id", "feature_id"], "left_semi")
-    return X.align_entries(measured, target).select(
+    return X.align_entries(measured, axis).select(
         F.concat_ws("::", "source_id", "obs_id").alias("obs_id"), "source_id", "feature_id", "target_ord", "value"
     )
 

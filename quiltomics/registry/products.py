@@ -8,7 +8,7 @@ from quiltomics.operators import shards
 from quiltomics.operators.ordering import numbered
 from quiltomics.plans import difficulty as D
 from quiltomics.plans import difficulty_report as R
-from quiltomics.plans import migration, splits
+from quiltomics.plans import composition, migration, splits
 from quiltomics.plans.reference import build_reference
 from quiltomics.registry import query
 from quiltomics.registry.reference import _RAW, SAMPLING, _PART
@@ -454,6 +454,78 @@ _T_INTER = """SELECT feature_id, row_number() OVER (ORDER BY o, feature_id) - 1
   (SELECT feature_id, arg_min(feature_ord, source_ord) AS o FROM feat GROUP BY 1 HAVING count(DISTINCT source_id) = 5)"""
 _T_UNION = """SELECT feature_id, row_number() OVER (ORDER BY s, o) - 1 AS target_ord FROM
   (SELECT feature_id, min(source_ord) AS s, arg_min(feature_ord, source_ord) AS o FROM feat GROUP BY 1)"""
+_SIDES = {"train": ["1-URGENT", "2-HIGH", "3-MEDIUM"], "test": ["4-NOT SPECIFIED", "5-LOW"]}
+_SIDE_OF = "CASE WHEN sample_id <= '3-MEDIUM' THEN 'train' ELSE 'test' END"
+
+
+def _product(spark, d):
+    """The union product of both sides, published after its checks."""
+    sources = B.observations(spark, d).select("obs_id", F.col("sample_id").alias("source_id"))
+    tables = {
+        "observations": B.labelled_observations(spark, d).withColumn("source_dataset_id", F.col("sample_id")),
+        "memberships": B.memberships(spark, d).where("modality = 'rna'").join(sources, "obs_id"),
+        "features": B.source_features(spark, d).withColumn("modality", F.lit("rna")),
+        "entries": _source_entries(spark, d).withColumn("modality", F.lit("rna")),
+    }
+    product = composition.composed(tables, _SIDES, "priority", "union", challenge_type="cross_sample")
+    return composition.publish_composition(spark, scratch_path(spark, "composition"), product).tables()
+
+
+@query(
+    "compose_observations",
+    using("lobs")
+    + f"""SELECT {_SIDE_OF} AS side, sample_id || '::' || obs_id AS obs_id, sample_id || '::' || sample_id AS sample_id, sample_id AS source_dataset_id,
+      obs_id AS source_obs_id, round(x, 4) AS x, round(y, 4) AS y FROM lobs""",
+)
+def _(spark, d):
+    return _product(spark, d)["observations"].select(
+        "side", "obs_id", "sample_id", "source_dataset_id", "source_obs_id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y")
+    )
+
+
+@query(
+    "compose_labels",
+    using("lobs")
+    + f"""SELECT {_SIDE_OF} AS side, coalesce(cell_type, '-') AS cell_type, count(*) AS n FROM
+      (SELECT *, CASE WHEN bool_and(cell_type IS NOT NULL) OVER (PARTITION BY {_SIDE_OF}) THEN cell_type END AS kept FROM lobs) GROUP BY ALL""",
+)
+def _(spark, d):
+    rows = _product(spark, d)["observations"]
+    return rows.groupBy("side", F.coalesce("cell_type", F.lit("-")).alias("cell_type")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_SIDE_AXIS = """fs AS (SELECT *, CASE WHEN source_id <= '3-MEDIUM' THEN 'train' ELSE 'test' END AS side FROM feat),
+    tg AS (SELECT side, feature_id, row_number() OVER (PARTITION BY side ORDER BY s, o) - 1 AS target_ord FROM
+      (SELECT side, feature_id, min(source_ord) AS s, arg_min(feature_ord, source_ord) AS o FROM fs GROUP BY ALL))"""
+
+
+@query(
+    "compose_mask",
+    using("feat", more=_SIDE_AXIS) + "SELECT side, 'rna' AS modality, source_id, feature_id, target_ord FROM (SELECT DISTINCT side, source_id, feature_id FROM fs) JOIN tg USING (side, feature_id)",
+)
+def _(spark, d):
+    return _product(spark, d)["measured"].select("side", "modality", "source_id", "feature_id", "target_ord")
+
+
+@query(
+    "compose_metadata",
+    using("lobs", "rna", "feat", more=_SIDE_AXIS)
+    + f"""SELECT side, 'priority_' || side AS dataset_id, 'composite' AS construction_type, string_agg(DISTINCT sample_id, ',' ORDER BY sample_id) AS sources,
+      count(*) AS n_obs, (SELECT count(*) FROM (SELECT DISTINCT source_id, feature_id FROM fs WHERE fs.side = q.side)) <
+        (SELECT count(*) FROM tg WHERE tg.side = q.side) * count(DISTINCT sample_id) AS gaps,
+      (SELECT count(*) FROM rna JOIN obs USING (obs_id) JOIN (SELECT DISTINCT source_id, feature_id FROM feat) f ON f.source_id = obs.sample_id AND f.feature_id = rna.feature_id
+        WHERE {_SIDE_OF} = q.side) AS n_entries
+      FROM (SELECT *, {_SIDE_OF} AS side FROM lobs) q GROUP BY side""",
+)
+def _(spark, d):
+    tables = _product(spark, d)
+    counted = tables["entries"].groupBy("side").agg(F.count(F.lit(1)).alias("n_entries"))
+    return tables["metadata"].join(counted, "side").select(
+        "side", "dataset_id", "construction_type", F.array_join(F.sort_array("source_dataset_ids"), ",").alias("sources"), "n_obs",
+        F.col("has_unmeasured_features").alias("gaps"), "n_entries",
+    )
+
+
 _T_REF = "SELECT feature_id, row_number() OVER (ORDER BY feature_ord) - 1 AS target_ord FROM feat WHERE source_id = '3-MEDIUM'"
 
 
