@@ -48,19 +48,16 @@ def grids(regions: DataFrame) -> DataFrame:
         | {"rectangles": F.count(F.lit(1)).over(sample)}
     )
 
-    def covered(fineness: int) -> Column:
-        g = F.lit(fineness)
-        wide = _index(F.col("x_max"), F.col("gx0"), F.col("gx1"), g) - _index(F.col("x_min"), F.col("gx0"), F.col("gx1"), g) + 1
-        tall = _index(F.col("y_max"), F.col("gy0"), F.col("gy1"), g) - _index(F.col("y_min"), F.col("gy0"), F.col("gy1"), g) + 1
-        return F.sum(wide.cast("double") * tall)
-
-    spread = bounds.groupBy("sample_id", "gx0", "gx1", "gy0", "gy1", "rectangles").agg(
-        *[covered(g).alias(f"_g{g}") for g in FINENESS]
-    )
-    chosen = F.lit(FINENESS[0])
-    for g in FINENESS[1:]:
-        chosen = F.when(F.col(f"_g{g}") <= F.greatest(F.lit(LEAST), F.col("rectangles") * COVER), F.lit(g)).otherwise(chosen)
-    return spread.select("sample_id", "gx0", "gx1", "gy0", "gy1", chosen.alias("fineness"))
+    bounds = bounds.withColumn("fineness", F.explode(F.array(*[F.lit(g) for g in FINENESS])))
+    grid = ["sample_id", "gx0", "gx1", "gy0", "gy1"]
+
+    def across(axis: str) -> Column:
+        ends = [_index(F.col(f"{axis}_{end}"), F.col(f"g{axis}0"), F.col(f"g{axis}1"), F.col("fineness")) for end in ("min", "max")]
+        return (ends[1] - ends[0] + 1).cast("double")
+
+    covered = bounds.groupBy(*grid, "rectangles", "fineness").agg(F.sum(across("x") * across("y")).alias("tiles"))
+    fits = F.col("tiles") <= F.greatest(F.lit(LEAST), F.col("rectangles") * COVER)
+    return covered.groupBy(*grid).agg(F.coalesce(F.max(F.when(fits, F.col("fineness"))), F.lit(FINENESS[0])).alias("fineness"))
 
 
 def _range(low: str, high: str) -> Column:
