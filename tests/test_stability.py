@@ -33,3 +33,7 @@ def _check(spark, folder, name):
 
 def test_pairs_without_a_correlation_are_kept(spark, folder):
     assert _check(spark, folder, "pairwise_spearman") == (None, 3)
+
+
+def test_pairs_without_a_correlation_count(spark, folder):
+    assert _check(spark, folder, "ranking_stability") == (None, 1)
