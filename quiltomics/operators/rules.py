@@ -859,10 +859,15 @@ def _(t: Tables) -> DataFrame:
         t["observations"]
         .where("source_dataset_id IS NOT NULL AND source_obs_id IS NOT NULL")
         .select("dataset_id", "obs_id", "source_dataset_id", "source_obs_id")
+        .distinct()
     )
     keys = ["dataset_id", "modality", "source_dataset_id", "source_obs_id"]
-    actual = t["memberships"].join(pairs, ["dataset_id", "obs_id"]).select(*keys).distinct()
-    expected = pairs.join(t["source_memberships"], ["source_dataset_id", "source_obs_id"]).select(*keys).distinct()
+    # Only which members there are counts: a repeated id would meet each of its own repetitions.
+    members = t["memberships"].select("dataset_id", "modality", "obs_id").distinct()
+    sources = t["source_memberships"].select("modality", "source_dataset_id", "source_obs_id").distinct()
+    actual = members.join(pairs, ["dataset_id", "obs_id"]).select(*keys).distinct()
+    own = pairs.select("dataset_id", "source_dataset_id", "source_obs_id").distinct()
+    expected = own.join(sources, ["source_dataset_id", "source_obs_id"]).select(*keys)
     return (
         actual.withColumn("_a", F.lit(1))
         .join(expected.withColumn("_e", F.lit(1)), keys, "full_outer")
