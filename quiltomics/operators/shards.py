@@ -140,6 +140,16 @@ def complete_pairs(samples: DataFrame, measured: DataFrame, left: str, right: st
     return both.where(refused.scalar() == 0)
 
 
+def axis_sum(modality: str, size: int, change: Callable[[Column], Column]) -> Column:
+    """Sum of a changed row over its whole axis of ``size`` features, as of its dense vector.
+
+    ``change`` is applied to what is stored, and once to the zero that stands for all other features, so the work
+    grows with what a sample has and not with the axis.
+    """
+    stored = F.aggregate(f"{modality}_values", F.lit(0.0), lambda total, v: total + change(v))
+    return stored + change(F.lit(0.0)) * (F.lit(size) - F.size(f"{modality}_indices"))
+
+
 def _dense(indices: pa.Array, values: pa.Array, size: int) -> np.ndarray:
     out = np.zeros((len(indices), size))
     rows = np.repeat(np.arange(len(indices)), indices.value_lengths().to_numpy())
