@@ -214,7 +214,9 @@ def challenge_report(challenges: DataFrame, folds: DataFrame) -> DataFrame:
 
 def evaluate(challenges: DataFrame, rows: DataFrame, config: DifficultyConfig) -> DataFrame:
     """The whole report for all challenges in one plan."""
-    folds = fold_scores(sample_and_folds(rows, config), config)
+    # Rows and sample are read several times: for sizes, ranks, feature sums and fits.
+    rows = settled(rows, "difficulty-rows")
+    folds = fold_scores(settled(sample_and_folds(rows, config), "difficulty-samples"), config)
     # The scores feed several rankings: a few rows per challenge, computed once.
     return challenge_report(challenges, settled(folds, "folds"))
 
