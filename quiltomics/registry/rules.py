@@ -15,6 +15,7 @@ from quiltomics.operators import rules as V
 from quiltomics.operators.splits import bounded_digest
 from quiltomics.registry import ORACLES, query
 from quiltomics.registry.views import using
+from quiltomics.session import settled
 from quiltomics.sources import bindings as B
 
 
@@ -31,6 +32,21 @@ class Lazy(dict):
         return self[name]
 
 
+class Settled(Lazy):
+    """Tables written once, for reports of many rules; contexts that share a builder share its table."""
+
+    def __init__(self, spark: SparkSession, folder: str, builders: dict[str, Callable], shared: dict[Callable, DataFrame]):
+        super().__init__(spark, folder, builders)
+        self._shared = shared
+
+    def __missing__(self, name: str) -> DataFrame:
+        builder = self._builders[name]
+        if builder not in self._shared:
+            self._shared[builder] = settled(builder(*self._args), name)
+        self[name] = self._shared[builder]
+        return self[name]
+
+
 def _list(values: tuple[str, ...]) -> str:
     return ", ".join(f"'{v}'" for v in values)
 
@@ -959,8 +975,8 @@ _REPORT = " UNION ALL ".join(
       count(severity) FILTER (severity = 'error') = 0 AS valid FROM (SELECT DISTINCT dataset_id FROM rd) LEFT JOIN found USING (dataset_id) GROUP BY dataset_id""",
 )
 def _(spark, d):
-    tables = Lazy(spark, d, CATALOGUE)
-    return V.validation_counts(V.findings(tables, CODES[id(CATALOGUE)]), tables["datasets"])
+    tables = Settled(spark, d, CATALOGUE, {})
+    return V.validation_counts(V.settled_findings(tables, CODES[id(CATALOGUE)]), tables["datasets"])
 
 
 _EVERY = " UNION ALL ".join(f"SELECT dataset_id, severity FROM ({ORACLES[f'rule_{code}']})" for codes in CODES.values() for code in codes)
@@ -973,8 +989,8 @@ _EVERY = " UNION ALL ".join(f"SELECT dataset_id, severity FROM ({ORACLES[f'rule_
 )
 def _(spark, d):
     """Errors and warnings of every dataset over all rules: catalogue, matrices, splits, sidecars, predictions."""
-    found = None
+    found, shared = None, {}
     for key, context in CONTEXTS.items():
-        part = V.findings(Lazy(spark, d, context), CODES[key])
+        part = V.settled_findings(Settled(spark, d, context, shared), CODES[key])
         found = part if found is None else found.unionByName(part)
     return V.severity_counts(found)
