@@ -32,3 +32,7 @@ def test_entries_are_dealt_by_their_number(spark, small_tasks):
 
 def test_collapsed_genes_on_many_tasks(spark, small_tasks, oracle):
     _check(spark, oracle, "collapse_duplicate_genes")
+
+
+def test_harmonised_sums_on_many_tasks(spark, small_tasks, oracle):
+    _check(spark, oracle, "harmonize_sum")
