@@ -20,9 +20,9 @@ def oracle():
     return compare.oracle_connection(FOLDER)
 
 
-def _check(spark, oracle, name):
+def _check(spark, oracle, name, least=1):
     problem, rows, _ = compare.check(spark, oracle, FOLDER, name, registry.QUERIES[name], registry.ORACLES[name])
-    assert problem is None and rows > 0
+    assert problem is None and rows >= least
 
 
 def test_entries_are_dealt_by_their_number(spark, small_tasks):
@@ -36,3 +36,7 @@ def test_collapsed_genes_on_many_tasks(spark, small_tasks, oracle):
 
 def test_harmonised_sums_on_many_tasks(spark, small_tasks, oracle):
     _check(spark, oracle, "harmonize_sum")
+
+
+def test_rows_of_challenges_on_many_tasks(spark, small_tasks, oracle):
+    _check(spark, oracle, "challenge_rows")
