@@ -40,3 +40,11 @@ def test_harmonised_sums_on_many_tasks(spark, small_tasks, oracle):
 
 def test_rows_of_challenges_on_many_tasks(spark, small_tasks, oracle):
     _check(spark, oracle, "challenge_rows")
+
+
+def test_coordinates_are_not_dealt_by_source(spark, small_tasks, oracle):
+    from quiltomics.registry import splits
+
+    plan = splits._placed(spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(source_dataset_id" not in plan
+    _check(spark, oracle, "coordinate_problems")
