@@ -15,7 +15,7 @@ from quiltomics.operators import rules as V
 from quiltomics.operators.splits import bounded_digest
 from quiltomics.registry import ORACLES, query
 from quiltomics.registry.views import using
-from quiltomics.session import settled
+from quiltomics.session import dealt, settled
 from quiltomics.sources import bindings as B
 
 
@@ -370,7 +370,9 @@ def _observations(spark, d):
 
 def _lines(spark, d):
     orders = B.table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
-    return B.table(spark, d, "lineitem").join(orders, F.col("l_orderkey") == _key())
+    lines = B.table(spark, d, "lineitem")
+    placed = dealt(lines.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"), lines.count(), "l_orderkey")
+    return placed.join(orders, F.col("l_orderkey") == _key())
 
 
 def _member_id():

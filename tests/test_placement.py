@@ -48,3 +48,11 @@ def test_coordinates_are_not_dealt_by_source(spark, small_tasks, oracle):
     plan = splits._placed(spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(source_dataset_id" not in plan
     _check(spark, oracle, "coordinate_problems")
+
+
+def test_rule_lines_are_dealt_by_their_number(spark, small_tasks, oracle):
+    from quiltomics.registry import rules
+
+    lines = B.table(spark, FOLDER, "lineitem").count()
+    assert rules._lines(spark, FOLDER).rdd.getNumPartitions() >= lines // 100
+    _check(spark, oracle, "rule_blank_var_name")
