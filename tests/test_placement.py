@@ -56,3 +56,7 @@ def test_rule_lines_are_dealt_by_their_number(spark, small_tasks, oracle):
     lines = B.table(spark, FOLDER, "lineitem").count()
     assert rules._lines(spark, FOLDER).rdd.getNumPartitions() >= lines // 100
     _check(spark, oracle, "rule_blank_var_name")
+
+
+def test_repeated_names_on_many_tasks(spark, small_tasks, oracle):
+    _check(spark, oracle, "rule_duplicate_var_names", 0)  # this size has none
