@@ -42,6 +42,10 @@ def test_rows_of_challenges_on_many_tasks(spark, small_tasks, oracle):
     _check(spark, oracle, "challenge_rows")
 
 
+def test_split_contents_on_many_tasks(spark, small_tasks, oracle):
+    _check(spark, oracle, "spatial_split")
+
+
 def test_coordinates_are_not_dealt_by_source(spark, small_tasks, oracle):
     from quiltomics.registry import splits
 
