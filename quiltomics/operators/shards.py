@@ -21,6 +21,8 @@ from quiltomics.operators.samples import gather_rows
 
 #: Samples of one shard.
 SHARD_ROWS = 100_000
+#: Samples of a shard that one task writes together.
+STRETCH = 20_000
 #: Dense cells that a batch may have at a time.
 CELLS = 1 << 22
 
@@ -38,21 +40,14 @@ def sparse_samples(
     indices there, whatever the entries say.  Zeros are not stored.
     """
     kept = entries.where(F.col("value") != 0)
-    cells = kept.groupBy("obs_id").agg(
-        *[
-            F.array_sort(
-                F.collect_list(
-                    F.when(
-                        F.col("modality") == m,
-                        F.struct(F.col("feature_ord").cast("int").alias("ord"), F.col("value").cast("double").alias("value")),
-                    )
-                )
-            ).alias(f"_{m}")
-            for m in modalities
-        ]
-    )
-    rows = gather_rows(observations, memberships, list(modalities)).join(cells, "obs_id", "left")
-    ranked = numbered(rows, [F.col("obs_ord"), F.col("obs_id")], name="position")
+    # Observations alone are ranged; their rows are gathered by observation, each modality where its entries lie, and
+    # never sorted or sampled.
+    placed = numbered(observations, [F.col("obs_ord"), F.col("obs_id")], name="position")
+    ranked = gather_rows(placed, memberships, list(modalities))
+    for m in modalities:
+        cell = F.struct(F.col("feature_ord").cast("int").alias("ord"), F.col("value").cast("double").alias("value"))
+        cells = kept.where(F.col("modality") == m).groupBy("obs_id").agg(F.array_sort(F.collect_list(cell)).alias(f"_{m}"))
+        ranked = ranked.join(cells, "obs_id", "left")
 
     def part(m: str, name: str, kind: str) -> Column:
         listed = F.when(F.col(f"{m}_present") & F.col(f"_{m}").isNotNull(), F.transform(f"_{m}", lambda c: c[name]))
@@ -81,8 +76,9 @@ def measured_features(mask: DataFrame) -> DataFrame:
 def write_shards(samples: DataFrame, masks: DataFrame, path: str, shard_rows: int = SHARD_ROWS) -> None:
     """Store samples by shard, sorted by position, and the sources' measured features beside them."""
     sharded = samples.withColumn("shard", F.floor(F.col("position") / shard_rows).cast("long"))
-    # A shard is a stretch of positions, so range tasks hold whole neighbourhoods whatever the number of shards.
-    placed = sharded.repartitionByRange("shard", "position").sortWithinPartitions("shard", "position")
+    # Stretches of a shard are dealt whole; how many there are follows the rows, so nothing is sampled for bounds.
+    stretch = F.floor(F.col("position") / min(shard_rows, STRETCH)).cast("long")
+    placed = sharded.repartition("shard", stretch).sortWithinPartitions("shard", "position")
     placed.write.mode("errorifexists").partitionBy("shard").option("parquet.block.size", 8 << 20).parquet(f"{path}/samples")
     masks.write.mode("errorifexists").parquet(f"{path}/measured")
 

@@ -34,3 +34,12 @@ def test_entries_of_both_sides_are_aligned_in_one_join(spark):
     assert _plan(product["entries"]).count("Join ") == 1
     got = sorted((r.side, r.obs_id, r.feature_id, r.target_ord, r.value) for r in product["entries"].collect())
     assert got == [("test", "B::b1", "g2", 1, 5), ("train", "A::a1", "g1", 0, 3)]
+
+
+def test_observations_are_numbered_without_their_rows(spark):
+    observed = B.observations(spark, FOLDER)
+    samples = shards.sparse_samples(observed, B.memberships(spark, FOLDER), B.entries(spark, FOLDER), ["rna", "protein"])
+    numbered = [f for f in samples.inputFiles() if "/placed-" in f]
+    assert numbered
+    stored = spark.read.parquet(numbered[0].rsplit("/", 1)[0])
+    assert not [f for f in stored.schema.fields if f.dataType.typeName() == "array"]
