@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiltomics.operators.events import latest_status
+from quiltomics.session import settled
 from quiltomics.sources.store import Store
 
 _BLOCK_BYTES = 1 << 20
@@ -46,7 +47,8 @@ def export_exchange(entries: DataFrame, observations: DataFrame, features: DataF
     both ordinals are dense and start at zero.  Lines are placed by range, so the banner
     and the size line open the first part.
     """
-    placed = entries.join(observations, "obs_id").join(features, "feature_id")
+    placed = entries.join(observations, "obs_id").join(features, "feature_id").select("row_ord", "feature_ord", "value")
+    placed = settled(placed, "exchange-lines")  # read by the count, the bounds of the ranges and the sort
     sizes = placed.agg(F.count(F.lit(1)).alias("n"))
     rows = observations.agg(F.count(F.lit(1)).alias("n"))
     columns = features.agg(F.count(F.lit(1)).alias("n"))

@@ -43,3 +43,10 @@ def test_observations_are_numbered_without_their_rows(spark):
     assert numbered
     stored = spark.read.parquet(numbered[0].rsplit("/", 1)[0])
     assert not [f for f in stored.schema.fields if f.dataType.typeName() == "array"]
+
+
+def test_lines_of_an_exchange_are_made_once(spark, monkeypatch):
+    kept, write = [], sinks.settled
+    monkeypatch.setattr(sinks, "settled", lambda df, name: kept.append(name) or write(df, name))
+    products._exchange(spark, FOLDER)
+    assert kept == ["exchange-lines"]
