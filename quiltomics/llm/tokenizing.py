@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+from itertools import chain
+
 import numpy as np
 
 #: Chunks kept by one worker; above it the store starts anew (about 200 bytes a chunk).
 CHUNKS = 1_000_000
 _LONG = 64
+#: Marks behind a word of Latin letters, which a tokenizer that cuts words from marks codes apart.
+_MARKS = ".,;:!?)*%"
+_LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+#: What tells whether a tokenizer does so and lower-cases: a word and marks, and their ids one after the other.
+_PROBES = (("\u00c9tude", "***"), ("Word", ".,;:!?)*%"), ("caf\u00e9", "%"), ("s", "."), ("ll", ":"))
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
@@ -22,8 +31,48 @@ class ChunkEncoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._chunks: dict[str, bytes] = {"": b""}
+        vocabulary = self._tokenizer.get_vocab()
+        self._ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self._ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self._plain = all(self._ids(w + m) == self._ids(w.lower()) + self._ids(m) for w, m in _PROBES)
+
+    def _ids(self, text: str) -> list[int]:
+        return self._tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _learn(self, chunks: Iterable[str], store: dict[str, bytes]) -> None:
+        """Put the ids of chunks into the store; words with marks are put together from both."""
+        if not self._plain:
+            self._code(list(chunks), store)
+            return
+        joined, words, rest = [], set(), set()
+        for chunk in chunks:
+            word = chunk.rstrip(_MARKS)
+            if word.isalpha() and (word.isascii() or _LATIN(word)):
+                marks = chunk[len(word) :]
+                word = word.lower()
+                joined.append((chunk, word, marks))
+                words.add(word)
+                rest.add(marks)
+            else:
+                rest.add(chunk)
+        self._code_words(list(words.difference(store)), store)
+        self._code(list(rest.difference(store)), store)
+        for chunk, word, marks in joined:
+            store[chunk] = store[word] + store[marks]
+
+    def _code_words(self, words: list[str], store: dict[str, bytes]) -> None:
+        """The same as ``_code`` for words of letters alone, told apart by the tokens that end a word."""
+        for i in range(0, len(words), 4096):
+            part = words[i : i + 4096]
+            ids = np.array(self._tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = (4 * (np.flatnonzero(self._ends[ids]) + 1)).tolist()
+            if len(cuts) != len(part) or cuts[-1] != 4 * len(ids):
+                self._code(part, store)
+                continue
+            raw = ids.tobytes()
+            store.update(zip(part, [raw[a:b] for a, b in zip([0, *cuts], cuts)]))
 
-    def _learn(self, chunks: list[str], store: dict[str, bytes]) -> None:
+    def _code(self, chunks: list[str], store: dict[str, bytes]) -> None:
         for i in range(0, len(chunks), 4096):
             part = chunks[i : i + 4096]
             coded = self._tokenizer.encode(" ".join(part), add_special_tokens=False)
@@ -41,15 +90,14 @@ class ChunkEncoder:
         if len(self._chunks) > CHUNKS:
             self._chunks = {"": b""}
         chunks = self._chunks
-        fresh = {c for parts in split for c in parts if c not in chunks}
+        fresh = set(chain.from_iterable(split)).difference(chunks)
         if fresh:
-            short = [c for c in fresh if len(c) <= _LONG]
-            self._learn(short, chunks)
-            if len(short) < len(fresh):
+            long = [c for c in fresh if len(c) > _LONG]
+            self._learn(fresh.difference(long), chunks)
+            if long:
                 chunks = _Overlay(chunks)
-                for c in fresh:
-                    if len(c) > _LONG:
-                        self._learn([c], chunks.extra)
+                for c in long:
+                    self._code([c], chunks.extra)
         get = chunks.__getitem__
         return [b"".join(map(get, parts)) for parts in split]
 

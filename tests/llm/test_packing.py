@@ -93,3 +93,16 @@ def test_sequences_hold_the_ids(spark):
 
 def test_empty_table(spark):
     assert packing_digest(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_words_and_marks_are_coded_as_the_whole_text():
+    """Words and the marks behind them are coded apart; odd chunks, contractions and foreign letters as they stand."""
+    encoder = ChunkEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    coded = []
+    encoder._code, code = lambda chunks, store: (coded.extend(chunks), code(chunks, store)), encoder._code
+    draw, letters = random.Random(3), "abcXYZÉéßÿ.,;:!?)*%'\"<|>12 \n\t̸́;×÷ªº-_İΣς"
+    texts = ["".join(draw.choice(letters) for _ in range(draw.randint(0, 30))) for _ in range(3000)]
+    texts += ["It's. we'll: l'Été's, <|endoftext|>. a<|startoftext|>b", "x" * 500 + ".", "É" * 70 + "***", "École, école. ÉCOLE***"]
+    whole = encoder._tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)] == [w.ids for w in whole]
+    assert not {"École,", "école.", "ÉCOLE***", "école"} & set(coded)
