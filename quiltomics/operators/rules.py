@@ -28,7 +28,10 @@ BATCH = 8
 
 @dataclass(frozen=True)
 class Rule:
-    """One check: what it finds, how bad that is, and where it is in a dataset."""
+    """One check: what it finds, how bad that is, and where it is in a dataset.
+
+    What it finds is ``dataset_id, sample``, one row each, or with ``n_bad`` where a row stands for several alike.
+    """
 
     severity: str
     path: str
@@ -87,8 +90,10 @@ def findings(tables: Tables, codes: Iterable[str]) -> DataFrame:
         if found.table:
             scans.setdefault(found.table, []).append(code)
         else:
-            counts = found.find(tables).groupBy("dataset_id", F.lit(code).alias("code"))
-            parts.append(counts.agg(F.count(F.lit(1)).alias("n_bad"), F.min("sample").alias("sample")))
+            bad = found.find(tables)
+            n_bad = F.sum("n_bad") if "n_bad" in bad.columns else F.count(F.lit(1))
+            counts = bad.groupBy("dataset_id", F.lit(code).alias("code"))
+            parts.append(counts.agg(n_bad.alias("n_bad"), F.min("sample").alias("sample")))
     parts += [_scanned(tables[name], own) for name, own in scans.items()]
     known = F.create_map(*[
         item
@@ -413,13 +418,13 @@ def _(t: Tables) -> DataFrame:
 
 @rule("x_shape_mismatch", "/mod/X")
 def _(t: Tables) -> DataFrame:
-    outside_rows = t["entries"].join(
-        t["memberships"], ["dataset_id", "modality", "obs_id"], "left_anti"
-    ).select("dataset_id", F.col("obs_id").alias("sample"))
-    outside_columns = t["entries"].join(
-        t["features"], ["dataset_id", "modality", "feature_id"], "left_anti"
-    ).select("dataset_id", F.col("feature_id").alias("sample"))
-    return outside_rows.unionByName(outside_columns)
+    # Entries are counted by row and by column before they meet the axes.
+    def outside(axis: DataFrame, name: str) -> DataFrame:
+        keys = ["dataset_id", "modality", name]
+        counted = t["entries"].groupBy(*keys).agg(F.count(F.lit(1)).alias("n_bad"))
+        return counted.join(axis.select(*keys), keys, "left_anti").select("dataset_id", F.col(name).alias("sample"), "n_bad")
+
+    return outside(t["memberships"], "obs_id").unionByName(outside(t["features"], "feature_id"))
 
 
 @rule("too_few_modalities", "/mod")

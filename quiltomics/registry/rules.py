@@ -380,13 +380,19 @@ def _member_id():
 
 
 def _both(lines, *columns):
-    rna = lines.select(_dataset().alias("dataset_id"), F.lit("rna").alias("modality"), *columns)
-    low = lines.where("l_linenumber <= 2")
-    return rna.unionByName(low.select(_dataset().alias("dataset_id"), F.lit("protein").alias("modality"), *columns))
+    # One row for each modality of a line, so that lines meet their orders once.
+    modalities = F.when(F.col("l_linenumber") <= 2, F.array(F.lit("rna"), F.lit("protein"))).otherwise(F.array(F.lit("rna")))
+    return lines.select(_dataset().alias("dataset_id"), F.explode(modalities).alias("modality"), *columns)
+
+
+def _member_rows(spark, d):
+    """Rows that both modalities have together, at most."""
+    return 2 * B.table(spark, d, "lineitem").count()
 
 
 def _memberships(spark, d):
-    once = _both(_lines(spark, d), _member_id().alias("obs_id"), _key().alias("obs_ord")).distinct()
+    rows = _both(_lines(spark, d), _member_id().alias("obs_id"), _key().alias("obs_ord"))
+    once = dealt(rows, _member_rows(spark, d), "dataset_id", "modality", "obs_id").distinct()
     # The modalities of one dataset share no observation.
     turn = F.when(F.col("modality") == "rna", 0).otherwise(1)
     own = (F.col("obs_ord") % 2 == turn) & ((turn == 0) | ~F.col("obs_id").isin(" ", "dup"))
@@ -401,7 +407,8 @@ def _feature_id():
 
 def _features(spark, d):
     part = F.col("l_partkey")
-    return _both(_lines(spark, d).where(part % 300 != 5), _feature_id().alias("feature_id"), part.alias("feature_ord")).distinct()
+    rows = _both(_lines(spark, d).where(part % 300 != 5), _feature_id().alias("feature_id"), part.alias("feature_ord"))
+    return dealt(rows, _member_rows(spark, d), "dataset_id", "modality", "feature_id").distinct()
 
 
 def _entries(spark, d):
@@ -409,7 +416,9 @@ def _entries(spark, d):
     rows = _both(
         _lines(spark, d), lost.alias("obs_id"), _feature_id().alias("feature_id"), F.col("l_quantity").cast("long").alias("q")
     )
-    return rows.groupBy("dataset_id", "modality", "obs_id", "feature_id").agg(F.sum("q").alias("value"))
+    # By observation, where memberships lie too.
+    placed = dealt(rows, _member_rows(spark, d), "dataset_id", "modality", "obs_id")
+    return placed.groupBy("dataset_id", "modality", "obs_id", "feature_id").agg(F.sum("q").alias("value"))
 
 
 def _categories(spark, d):

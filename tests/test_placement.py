@@ -64,3 +64,26 @@ def test_rule_lines_are_dealt_by_their_number(spark, small_tasks, oracle):
 
 def test_repeated_names_on_many_tasks(spark, small_tasks, oracle):
     _check(spark, oracle, "rule_duplicate_var_names", 0)  # this size has none
+
+
+def test_shapes_on_many_tasks(spark, small_tasks, oracle):
+    _check(spark, oracle, "rule_x_shape_mismatch")
+
+
+def test_entries_are_counted_before_they_meet_the_axes(spark):
+    """Every entry breaks both axes; what meets an axis is a row for each of its items, not each entry."""
+    from quiltomics.operators import rules
+
+    entries = spark.range(600).selectExpr("'d' AS dataset_id", "'rna' AS modality", "CAST(id % 20 AS STRING) AS obs_id", "CAST(id % 30 AS STRING) AS feature_id", "1L AS value")
+    axes = {"entries": entries, "memberships": entries.where("false"), "features": entries.where("false")}
+    found = rules.RULES["x_shape_mismatch"].find(axes)
+    assert found.count() == 20 + 30
+    report = rules.findings(axes, ["x_shape_mismatch"]).collect()
+    assert [(r.n_bad, r.sample) for r in report] == [(1200, "0")]
+
+
+def test_modalities_of_rule_lines_join_once(spark):
+    from quiltomics.registry import rules
+
+    plan = rules._entries(spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
