@@ -87,3 +87,19 @@ def test_modalities_of_rule_lines_join_once(spark):
 
     plan = rules._entries(spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1
+
+
+@pytest.mark.parametrize("name", ["compose_split", "compose_split_union", "compose_split_reference"])
+def test_composed_entries_on_many_tasks(spark, small_tasks, oracle, name):
+    _check(spark, oracle, name)
+
+
+def test_composed_entries_move_once(spark):
+    from quiltomics.plans import splits
+
+    entries = spark.createDataFrame([("a", "1", "g1", 2), ("b", "2", "g1", 3), ("b", "2", "g2", 4)], "source_id string, obs_id string, feature_id string, value long")
+    axes = spark.createDataFrame([("a", 0, "g1", 0), ("b", 1, "g1", 0), ("b", 1, "g1", 0)], "source_id string, source_ord long, feature_id string, feature_ord long")
+    target = spark.createDataFrame([("g1", 0)], "feature_id string, target_ord long")
+    composed = splits.compose_entries(entries, axes, "union", target=target, rows=3)
+    assert sorted((r.obs_id, r.feature_id, r.value) for r in composed.collect()) == [("a::1", "g1", 2), ("b::2", "g1", 3)]
+    assert "LeftSemi" not in composed._jdf.queryExecution().optimizedPlan().toString()
