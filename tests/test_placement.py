@@ -103,3 +103,11 @@ def test_composed_entries_move_once(spark):
     composed = splits.compose_entries(entries, axes, "union", target=target, rows=3)
     assert sorted((r.obs_id, r.feature_id, r.value) for r in composed.collect()) == [("a::1", "g1", 2), ("b::2", "g1", 3)]
     assert "LeftSemi" not in composed._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_samples_on_many_tasks(spark, small_tasks, oracle):
+    _check(spark, oracle, "sample_transform")
+
+
+def test_migration_on_many_tasks(spark, small_tasks, oracle):
+    _check(spark, oracle, "schema_migration_publish")
