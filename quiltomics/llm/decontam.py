@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiltomics.llm.common import WordHasher, passes, shingles, utf8
+from quiltomics.llm.common import WordHasher, passes, shingles, tidy, utf8
 
 RADIUS = 23
 #: Items that one pass over the documents looks for.
@@ -179,7 +179,7 @@ def contaminated(
                             ["doc_id", "item_id", "first_word", "last_word", "similarity"],
                         )
 
-        found = texts.mapInArrow(run, schema)
+        found = texts.mapInArrow(tidy(run), schema)
         result = found if result is None else result.union(found)
     return result
 
@@ -198,5 +198,5 @@ def decontaminate(
                     part = batch.slice(first, 512)
                     yield part.filter(pa.array([not index.hits(w) for w in _words(part.column(place))], pa.bool_()))
 
-        docs = docs.mapInArrow(clean, schema)
+        docs = docs.mapInArrow(tidy(clean), schema)
     return docs

@@ -26,12 +26,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiltomics.llm.common import held_out, passes, utf8
+from quiltomics.llm.common import held_out, passes, tidy, utf8
 from quiltomics.llm.linear import bounded_sample, hinge_machine
 
 #: Texts of one language that a fit takes at most, on average.
 PER_LANGUAGE = 600
 BUCKETS = 1 << 12
+#: Texts that are described at a time: a profile and its copies take some 100 KB.
+ROWS = 128
 #: How many times the missed share of 3-grams of the rows learned from a text may miss.
 SLACK = 4
 
@@ -155,11 +157,13 @@ def fit_languages(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Language
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [r.astype("<f2").tobytes() for r in profiles(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["lang", "profile"])
+            for first in range(0, batch.num_rows, ROWS):
+                part = batch.slice(first, ROWS)
+                rows = [r.astype("<f2").tobytes() for r in profiles(part.column(1))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.binary())], ["lang", "profile"])
 
     # Bounded: per_language rows of 8 KB for each language.
-    rows = sample.mapInArrow(describe, "lang string, profile binary").collect()
+    rows = sample.mapInArrow(tidy(describe), "lang string, profile binary").collect()
     points = {}
     for lang in sorted({r.lang for r in rows}):
         own = np.stack([np.frombuffer(r.profile, "<f2").astype(np.float32) for r in rows if r.lang == lang])
@@ -195,20 +199,20 @@ def _fit_known(model: LanguageModel, learn: DataFrame, sample: DataFrame) -> Non
                 if b - a >= 3:
                     yield pa.RecordBatch.from_arrays([pa.array(np.unique(_codes(data[a:b])))], ["gram"])
 
-    counts = sample.mapInArrow(distinct, "gram int").groupBy("gram").count()
+    counts = sample.mapInArrow(tidy(distinct), "gram int").groupBy("gram").count()
     # At most the distinct 3-grams of the sample.
     model.grams = np.array(sorted(r.gram for r in counts.where("count >= 2").select("gram").collect()), np.int32)
 
     def missed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = model.known()
         for batch in batches:
-            for first in range(0, batch.num_rows, 512):
-                data, bounds = utf8(_letters(batch.column(0).slice(first, 512)))
+            for first in range(0, batch.num_rows, ROWS):
+                data, bounds = utf8(_letters(batch.column(0).slice(first, ROWS)))
                 shares = known_shares(data, bounds, known)[np.diff(bounds) >= 3]
                 yield pa.RecordBatch.from_arrays([pa.array(np.ceil((1 - shares) * 10_000).astype(np.int32))], ["missed"])
 
     # At most 10,001 rows.
-    found = sorted((r.missed, r["count"]) for r in learn.select("text").mapInArrow(missed, "missed int").groupBy("missed").count().collect())
+    found = sorted((r.missed, r["count"]) for r in learn.select("text").mapInArrow(tidy(missed), "missed int").groupBy("missed").count().collect())
     if not found:
         return
     below = np.cumsum([n for _, n in found])
@@ -227,8 +231,8 @@ def identify(docs: DataFrame, model: LanguageModel, added: tuple[str, str] = ("l
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = model.known()
         for batch in batches:
-            for first in range(0, batch.num_rows, 512):
-                part = batch.slice(first, 512)
+            for first in range(0, batch.num_rows, ROWS):
+                part = batch.slice(first, ROWS)
                 data, bounds = utf8(_letters(part.column(place)))
                 points = _profiles(data, bounds)
                 blank = ~points.any(axis=1)
@@ -242,7 +246,7 @@ def identify(docs: DataFrame, model: LanguageModel, added: tuple[str, str] = ("l
                 arrays += [pa.array(found, pa.string()), pa.array(np.where(blank, 0.0, sure).astype(float), pa.float64())]
                 yield pa.RecordBatch.from_arrays(arrays, [*names, *added])
 
-    return docs.mapInArrow(run, schema + f", `{added[0]}` string, `{added[1]}` double")
+    return docs.mapInArrow(tidy(run), schema + f", `{added[0]}` string, `{added[1]}` double")
 
 
 def language_digest(docs: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +18,9 @@ def bounded_sample(rows: DataFrame, label: str, text: str, bound: int) -> DataFr
     """
     counts = rows.where(F.col(label).isNotNull()).groupBy(label).count().collect()
     rate = free_name(rows, "_rate")
-    rates = rows.sparkSession.createDataFrame([(r[0], min(1.0, bound / r["count"])) for r in counts], f"`{label}` string, `{rate}` double")
+    # From an Arrow table: rows of Python would need workers of another kind on the executors, which then wait beside the others.
+    names, shares = [r[0] for r in counts], [min(1.0, bound / r["count"]) for r in counts]
+    rates = rows.sparkSession.createDataFrame(pa.table({label: pa.array(names, pa.string()), rate: pa.array(shares, pa.float64())}))
     share = F.pmod(F.xxhash64(text), F.lit(1 << 20)) / float(1 << 20)
     return rows.join(F.broadcast(rates), label).where(share < F.col(rate)).drop(rate).dropDuplicates([label, text])
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiltomics.llm.common import WordHasher, free_name, passes, shingles, utf8
+from quiltomics.llm.common import WordHasher, free_name, passes, shingles, tidy, utf8
 from quiltomics.llm.components import components
 from quiltomics.session import settled
 
@@ -86,7 +86,7 @@ def sketches(docs: DataFrame, k: int, size: int, id_type: str = "long") -> DataF
                 ["doc_id", "n_shingles", "digest", "sketch"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_shingles long, digest binary, sketch array<long>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {id_type}, n_shingles long, digest binary, sketch array<long>")
 
 
 def similar(left: np.ndarray, right: np.ndarray, percent: int) -> bool:
@@ -135,7 +135,7 @@ def _estimated(pairs: DataFrame, k: int, percent: int) -> DataFrame:
                 keep.append(len(shared) >= min(need, -(-percent * len(union) // 100)))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(tidy(run), "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
@@ -152,7 +152,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> D
             ]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return full.select("a", "b", "t_a", "t_b").mapInArrow(run, "a long, b long")
+    return full.select("a", "b", "t_a", "t_b").mapInArrow(tidy(run), "a long, b long")
 
 
 class _Forest:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
-from quiltomics.llm.common import gapless
+from quiltomics.llm.common import gapless, tidy
 from quiltomics.llm.tokenizing import chunk_encoder
 from quiltomics.session import settled
 
@@ -61,7 +61,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int =
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select("doc_id", "text").mapInArrow(cut, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(cut, path), schema)
 
 
 def _knapsack(values: np.ndarray, room: int) -> tuple[float, np.ndarray]:
@@ -208,7 +208,7 @@ def pack(pieces: DataFrame, capacity: int = 4096, grain: int = 8) -> DataFrame:
     kept = [ranked.columns.index(f.name) for f in columns]
     names = [f.name for f in columns] + ["sequence_id", "_slot"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns) + ", sequence_id long, _slot long"
-    placed = ranked.mapInArrow(place_pieces, schema)
+    placed = ranked.mapInArrow(tidy(place_pieces), schema)
     # A sequence has at most ``capacity`` pieces.
     before = Window.partitionBy("sequence_id").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).drop("_slot")

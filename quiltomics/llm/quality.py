@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiltomics.llm.common import held_out
+from quiltomics.llm.common import held_out, tidy
 from quiltomics.llm.linear import labelled_texts, logistic_fit
 
 #: Training documents of one label, on average.
@@ -191,7 +191,7 @@ def score_quality(docs: DataFrame, model: QualityModel, added: str = "quality_sc
                 arrays = [part.column(i) for i in range(len(names))] + [pa.array(found, pa.float64())]
                 yield pa.RecordBatch.from_arrays(arrays, [*names, added])
 
-    return docs.mapInArrow(run, schema + f", `{added}` double")
+    return docs.mapInArrow(tidy(run), schema + f", `{added}` double")
 
 
 def quality_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from itertools import chain
 
 import numpy as np
 
+from quiltomics.llm.common import kept
+
 #: Chunks kept by one worker; above it the store starts anew (about 200 bytes a chunk).
 CHUNKS = 1_000_000
 _LONG = 64
@@ -16,7 +18,6 @@ _MARKS = ".,;:!?)*%"
 _LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
 #: What tells whether a tokenizer does so and lower-cases: a word and marks, and their ids one after the other.
 _PROBES = (("\u00c9tude", "***"), ("Word", ".,;:!?)*%"), ("caf\u00e9", "%"), ("s", "."), ("ll", ":"))
-_ENCODERS: dict[str, ChunkEncoder] = {}
 
 
 class ChunkEncoder:
@@ -114,10 +115,8 @@ class _Overlay:
 
 
 def chunk_encoder(path: str) -> ChunkEncoder:
-    """This worker's encoder for a vocabulary file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
+    """This worker's encoder for a vocabulary file; tasks that do not keep ``path`` let it go."""
+    return kept(path, lambda: ChunkEncoder(path))
 
 
 def byte_encoding(path: str):
