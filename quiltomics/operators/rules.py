@@ -105,6 +105,15 @@ def findings(tables: Tables, codes: Iterable[str]) -> DataFrame:
     )
 
 
+def _step(name: str) -> Callable:
+    """A step of several rules: tables that keep steps (a report's) are asked for it."""
+
+    def wrap(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+        return lambda t: t.step(name, build) if hasattr(t, "step") else build(t)
+
+    return wrap
+
+
 def settled_findings(tables: Tables, codes: Iterable[str]) -> DataFrame:
     """The same report rows, ``BATCH`` rules that look beyond one row at a time, each batch written before the next is planned.
 
@@ -254,6 +263,17 @@ def _repeated(df: DataFrame, keys: list[str], sample: str) -> DataFrame:
     )
 
 
+def _counted_without(left: DataFrame, right: DataFrame, keys: list[str], sample: str) -> DataFrame:
+    """Keys that only the left table has, with its rows: both tables are counted in one aggregate, so neither is sorted for a join."""
+    either = left.select(*keys, F.lit(1).alias("_n"), F.lit(False).alias("_there")).unionByName(
+        right.select(*keys, F.lit(0).alias("_n"), F.lit(True).alias("_there"))
+    )
+    counted = either.groupBy(*keys).agg(F.sum("_n").alias("n_bad"), F.bool_or("_there").alias("_there"))
+    # A missing key is equal to none.
+    unlike = reduce(lambda a, k: a | F.col(k).isNull(), keys, ~F.col("_there"))
+    return counted.where((F.col("n_bad") > 0) & unlike).select("dataset_id", F.col(sample).alias("sample"), "n_bad")
+
+
 def _without(t: Tables, left: DataFrame, right: DataFrame, keys: list[str], sample: str) -> DataFrame:
     return left.join(right.select(*keys).distinct(), keys, "left_anti").select(
         "dataset_id", F.col(sample).alias("sample")
@@ -275,12 +295,12 @@ _rows("blank_obs_name", "/obs/index", "observations", lambda: _blank("obs_id"),
 
 @rule("unrepresented_global_obs", "/obs/index")
 def _(t: Tables) -> DataFrame:
-    return _without(t, t["observations"], t["memberships"], ["dataset_id", "obs_id"], "obs_id")
+    return _counted_without(t["observations"], t["memberships"], ["dataset_id", "obs_id"], "obs_id")
 
 
 @rule("modality_obs_not_global", "/mod/obs/index")
 def _(t: Tables) -> DataFrame:
-    return _without(t, t["memberships"], t["observations"], ["dataset_id", "obs_id"], "obs_id")
+    return _counted_without(t["memberships"], t["observations"], ["dataset_id", "obs_id"], "obs_id")
 
 
 @rule("duplicate_modality_obs_names", "/mod/obs/index")
@@ -418,11 +438,8 @@ def _(t: Tables) -> DataFrame:
 
 @rule("x_shape_mismatch", "/mod/X")
 def _(t: Tables) -> DataFrame:
-    # Entries are counted by row and by column before they meet the axes.
     def outside(axis: DataFrame, name: str) -> DataFrame:
-        keys = ["dataset_id", "modality", name]
-        counted = t["entries"].groupBy(*keys).agg(F.count(F.lit(1)).alias("n_bad"))
-        return counted.join(axis.select(*keys), keys, "left_anti").select("dataset_id", F.col(name).alias("sample"), "n_bad")
+        return _counted_without(t["entries"], axis, ["dataset_id", "modality", name], name)
 
     return outside(t["memberships"], "obs_id").unionByName(outside(t["features"], "feature_id"))
 
@@ -462,6 +479,7 @@ _rows("nonstandard_coordinate_unit", "/uns/database/coordinate_unit", "datasets"
 
 
 # --- pairing -----------------------------------------------------------------------------------
+@_step("pairing")
 def _pairing(t: Tables) -> DataFrame:
     k = t["memberships"].groupBy("dataset_id").agg(F.countDistinct("modality").alias("k"))
     return M.pairing_type(t["memberships"]).withColumnRenamed("pairing_type", "computed").join(k, "dataset_id")
@@ -562,6 +580,7 @@ def _uses(t: Tables, rows: DataFrame) -> DataFrame:
     return rows.drop("dataset_id").join(declared, "source_id").withColumn("source_id", _use())
 
 
+@_step("mapping")
 def _mapping(t: Tables) -> DataFrame:
     """Raw to canonical mapping of every harmonised source of every dataset by its declared kind."""
     stored = t["provenance"].where(~_json_list_problem("raw_ids")).select(
@@ -573,8 +592,10 @@ def _mapping(t: Tables) -> DataFrame:
     return X.map_features(features, kinds, stored).withColumns({"dataset_id": parts[0], "source_id": parts[1]})
 
 
-def _common(mapped: DataFrame) -> DataFrame:
+@_step("common")
+def _common(t: Tables) -> DataFrame:
     """Per dataset the canonical features of all its mapped sources, in the order of the first."""
+    mapped = _mapping(t)
     sources = mapped.groupBy("dataset_id").agg(F.countDistinct("source_id").alias("_all"))
     shared = mapped.groupBy("dataset_id", "canonical_id").agg(
         F.countDistinct("source_id").alias("_n"), F.min(F.struct("source_ord", "feature_ord")).alias("_first")
@@ -664,7 +685,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     stored = t["harmonized_features"].select("dataset_id", "canonical_id", F.col("feature_ord").alias("_stored"))
     return (
-        _common(_mapping(t))
+        _common(t)
         .join(stored, ["dataset_id", "canonical_id"], "full_outer")
         .where(~F.col("target_ord").eqNullSafe(F.col("_stored")))
         .select("dataset_id", F.col("canonical_id").alias("sample"))
@@ -674,7 +695,7 @@ def _(t: Tables) -> DataFrame:
 @rule("harmonized_feature_provenance_mismatch", "/mod/var")
 def _(t: Tables) -> DataFrame:
     mapped = _mapping(t)
-    common = _common(mapped).select("dataset_id", "canonical_id")
+    common = _common(t).select("dataset_id", "canonical_id")
     used = mapped.join(common, ["dataset_id", "canonical_id"], "left_semi").withColumn("source_id", _use()).drop("dataset_id")
     parts = F.split("source_id", "\0")
     expected = X.provenance(used).withColumns({"dataset_id": parts[0], "source_id": parts[1]}).withColumnRenamed("raw_ids", "_expected")
@@ -880,19 +901,21 @@ def _(t: Tables) -> DataFrame:
         t["observations"]
         .where("source_dataset_id IS NOT NULL AND source_obs_id IS NOT NULL")
         .select("dataset_id", "obs_id", "source_dataset_id", "source_obs_id")
-        .distinct()
     )
     keys = ["dataset_id", "modality", "source_dataset_id", "source_obs_id"]
+
     # Only which members there are counts: a repeated id would meet each of its own repetitions.
-    members = t["memberships"].select("dataset_id", "modality", "obs_id").distinct()
-    sources = t["source_memberships"].select("modality", "source_dataset_id", "source_obs_id").distinct()
-    actual = members.join(pairs, ["dataset_id", "obs_id"]).select(*keys).distinct()
-    own = pairs.select("dataset_id", "source_dataset_id", "source_obs_id").distinct()
-    expected = own.join(sources, ["source_dataset_id", "source_obs_id"]).select(*keys)
+    def met(members: DataFrame, ids: list[str], side: str) -> DataFrame:
+        once = members.select("modality", *ids).repartition(*ids).distinct()  # placed for the join, too
+        return pairs.join(once, ids).select(*keys).withColumns({"_a": F.lit(side == "actual"), "_e": F.lit(side == "expected")})
+
+    actual = met(t["memberships"], ["dataset_id", "obs_id"], "actual")
+    expected = met(t["source_memberships"], keys[2:], "expected")
     return (
-        actual.withColumn("_a", F.lit(1))
-        .join(expected.withColumn("_e", F.lit(1)), keys, "full_outer")
-        .where("_a IS NULL OR _e IS NULL")
+        actual.unionByName(expected)
+        .groupBy(*keys)
+        .agg(F.bool_or("_a").alias("_a"), F.bool_or("_e").alias("_e"))
+        .where("NOT (_a AND _e)")
         .select("dataset_id", F.concat_ws("/", "modality", "source_obs_id").alias("sample"))
     )
 

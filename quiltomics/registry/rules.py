@@ -4,7 +4,11 @@ Clean tables break no rule, so the tables here are spoiled on whole rows by key
 arithmetic; each oracle finds the spoiled rows from the raw tables.
 """
 
+import functools
+from collections import defaultdict
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from threading import Lock
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,10 +19,14 @@ from quiltomics.operators import rules as V
 from quiltomics.operators.splits import bounded_digest
 from quiltomics.registry import ORACLES, query
 from quiltomics.registry.views import using
-from quiltomics.session import dealt, settled
+from quiltomics.session import dealt, hash_joins, settled
 from quiltomics.sources import bindings as B
 
 
+#: Contexts of a report that are worked on at a time.
+PARALLEL = 4
+
+
 class Lazy(dict):
     """Tables built when a rule asks for them."""
 
@@ -32,20 +40,53 @@ class Lazy(dict):
         return self[name]
 
 
+class Report(str):
+    """The folder that a report of many rules reads, with the tables that are written for it."""
+
+    def __new__(cls, folder: str) -> "Report":
+        report = super().__new__(cls, folder)
+        report._written, report._locks, report._guard = {}, defaultdict(Lock), Lock()
+        return report
+
+    def written(self, spark: SparkSession, build: Callable, name: str) -> DataFrame:
+        """What ``build`` makes of the folder, made once, whoever asks first."""
+        build = getattr(build, "__wrapped__", build)
+        with self._guard:
+            lock = self._locks[build]
+        with lock:
+            if build not in self._written:
+                self._written[build] = settled(build(spark, self), name)
+        return self._written[build]
+
+
+def _step(build: Callable) -> Callable:
+    """A table that several others rest on: a report writes it once for all of them."""
+
+    @functools.wraps(build)
+    def made(spark: SparkSession, d: str) -> DataFrame:
+        return d.written(spark, build, build.__name__.strip("_")) if isinstance(d, Report) else build(spark, d)
+
+    return made
+
+
 class Settled(Lazy):
     """Tables written once, for reports of many rules; contexts that share a builder share its table."""
 
-    def __init__(self, spark: SparkSession, folder: str, builders: dict[str, Callable], shared: dict[Callable, DataFrame]):
-        super().__init__(spark, folder, builders)
-        self._shared = shared
+    def __init__(self, spark: SparkSession, report: Report, builders: dict[str, Callable]):
+        super().__init__(spark, report, builders)
+        self._steps: dict[str, DataFrame] = {}
 
     def __missing__(self, name: str) -> DataFrame:
-        builder = self._builders[name]
-        if builder not in self._shared:
-            self._shared[builder] = settled(builder(*self._args), name)
-        self[name] = self._shared[builder]
+        spark, report = self._args
+        self[name] = report.written(spark, self._builders[name], name)
         return self[name]
 
+    def step(self, name: str, build: Callable) -> DataFrame:
+        """What ``build`` makes of these tables, for several rules: written once."""
+        if name not in self._steps:
+            self._steps[name] = settled(build(self), name)
+        return self._steps[name]
+
 
 def _list(values: tuple[str, ...]) -> str:
     return ", ".join(f"'{v}'" for v in values)
@@ -96,8 +137,9 @@ def _documents(spark, d):
     )
 
 
+@_step
 def _named(spark, d):
-    return B.modalities(spark, d).withColumn(
+    return B.modalities(spark, d, ("n_obs",)).withColumn(
         "name", F.when(F.col("name") == "R", "rna").when(F.col("name") == "A", "protein").otherwise("image")
     )
 
@@ -368,7 +410,9 @@ def _observations(spark, d):
     )
 
 
+@_step
 def _lines(spark, d):
+    """Lines with what their orders say."""
     orders = B.table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
     lines = B.table(spark, d, "lineitem")
     placed = dealt(lines.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"), lines.count(), "l_orderkey")
@@ -379,6 +423,14 @@ def _member_id():
     return F.when(_key() % 283 == 0, F.concat(F.lit("ghost"), _key().cast("string"))).otherwise(_obs_id(_key()))
 
 
+@_step
+def _members(spark, d):
+    """Orders that have lines, each with the first of them: the one that tells its modalities."""
+    orders = B.table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    first = B.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_linenumber").alias("l_linenumber"))
+    return first.join(orders, F.col("l_orderkey") == _key())
+
+
 def _both(lines, *columns):
     # One row for each modality of a line, so that lines meet their orders once.
     modalities = F.when(F.col("l_linenumber") <= 2, F.array(F.lit("rna"), F.lit("protein"))).otherwise(F.array(F.lit("rna")))
@@ -391,8 +443,7 @@ def _member_rows(spark, d):
 
 
 def _memberships(spark, d):
-    rows = _both(_lines(spark, d), _member_id().alias("obs_id"), _key().alias("obs_ord"))
-    once = dealt(rows, _member_rows(spark, d), "dataset_id", "modality", "obs_id").distinct()
+    once = _both(_members(spark, d), _member_id().alias("obs_id"), _key().alias("obs_ord"))
     # The modalities of one dataset share no observation.
     turn = F.when(F.col("modality") == "rna", 0).otherwise(1)
     own = (F.col("obs_ord") % 2 == turn) & ((turn == 0) | ~F.col("obs_id").isin(" ", "dup"))
@@ -530,11 +581,8 @@ def _source_observations(spark, d):
 
 
 def _source_memberships(spark, d):
-    return (
-        _both(_lines(spark, d).where(_key() % 317 != 0), _source().alias("source_dataset_id"), _key().cast("string").alias("source_obs_id"))
-        .drop("dataset_id")
-        .distinct()
-    )
+    members = _members(spark, d).where(_key() % 317 != 0)
+    return _both(members, _source().alias("source_dataset_id"), _key().cast("string").alias("source_obs_id")).drop("dataset_id")
 
 
 AXES = {
@@ -664,6 +712,7 @@ def _atlas():
 
 
 
+@_step
 def _axis(spark, d):
     return B.source_features(spark, d)
 
@@ -678,6 +727,7 @@ def _mask(spark, d):
     )
 
 
+@_step
 def _masked_entries(spark, d):
     orders = B.table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("obs_id"), F.col("o_orderpriority").alias("source_id"))
     return B.entries(spark, d, "rna").join(orders, "obs_id").select("dataset_id", "source_id", "obs_id", "feature_id", "value")
@@ -696,6 +746,7 @@ def _true_mapping(spark, d):
     return _axis(spark, d).select("source_id", "source_ord", "feature_id", "feature_ord", "canonical_id")
 
 
+@_step
 def _stored_provenance(spark, d):
     return X.provenance(_true_mapping(spark, d)).select(_atlas(), "canonical_id", "source_id", "raw_ids")
 
@@ -986,7 +1037,7 @@ _REPORT = " UNION ALL ".join(
       count(severity) FILTER (severity = 'error') = 0 AS valid FROM (SELECT DISTINCT dataset_id FROM rd) LEFT JOIN found USING (dataset_id) GROUP BY dataset_id""",
 )
 def _(spark, d):
-    tables = Settled(spark, d, CATALOGUE, {})
+    tables = Settled(spark, Report(d), CATALOGUE)
     return V.validation_counts(V.settled_findings(tables, CODES[id(CATALOGUE)]), tables["datasets"])
 
 
@@ -1000,8 +1051,12 @@ _EVERY = " UNION ALL ".join(f"SELECT dataset_id, severity FROM ({ORACLES[f'rule_
 )
 def _(spark, d):
     """Errors and warnings of every dataset over all rules: catalogue, matrices, splits, sidecars, predictions."""
-    found, shared = None, {}
-    for key, context in CONTEXTS.items():
-        part = V.settled_findings(Settled(spark, d, context, shared), CODES[key])
-        found = part if found is None else found.unionByName(part)
-    return V.severity_counts(found)
+    report = Report(d)
+
+    def part(key: int) -> DataFrame:
+        return V.settled_findings(Settled(spark, report, CONTEXTS[key]), CODES[key])
+
+    # Contexts fill each other's pauses: most of their tables and rules are too small for all cores.
+    with hash_joins(spark), ThreadPoolExecutor(PARALLEL) as pool:
+        parts = list(pool.map(part, CONTEXTS))
+    return V.severity_counts(functools.reduce(DataFrame.unionByName, parts))

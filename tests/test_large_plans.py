@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quiltomics import registry
 from quiltomics.operators import rules, shards
 from quiltomics.plans import difficulty as D
+from quiltomics.registry import rules as rule_queries
+from quiltomics.sources import bindings as B
 
 FOLDER = "/root/testdata/sf0.001"
 registry.load()
@@ -40,6 +42,41 @@ def test_rule_reports_are_joined_from_written_batches(spark):
     assert _scans(registry.QUERIES["validation_counts"](spark, FOLDER)) <= 8
 
 
+def test_report_makes_what_tables_share_once(spark, monkeypatch):
+    made = []
+    for name in ("source_features", "entries"):
+        build = getattr(B, name)
+        monkeypatch.setattr(B, name, lambda *a, name=name, build=build: made.append(name) or build(*a))
+    report = rule_queries.Report(FOLDER)
+    for context in (rule_queries.FEATURES, rule_queries.DIRTY_FEATURES):
+        tables = rule_queries.Settled(spark, report, context)
+        for name in context:
+            tables[name]
+    assert sorted(made) == ["entries", "source_features"]
+
+
+def test_steps_of_rules_are_written_once(spark, monkeypatch):
+    kept, write = [], rule_queries.settled
+    monkeypatch.setattr(rule_queries, "settled", lambda df, name: kept.append(name) or write(df, name))
+    tables = rule_queries.Settled(spark, rule_queries.Report(FOLDER), rule_queries.AXES)
+    for code in ("two_modality_pairing_required", "unpaired_modalities", "same_unit_mismatch", "partially_shared_mismatch"):
+        rules.RULES[code].find(tables)
+    assert kept.count("pairing") == 1
+
+
+def test_counted_axes_need_no_join(spark):
+    schema = "dataset_id string, modality string, obs_id string, feature_id string"
+    entries = spark.createDataFrame([("d", "m", "o", "f"), ("d", "m", "o", "g"), ("d", "m", "p", "f"), ("d", "m", None, "f")], schema)
+    tables = {
+        "entries": entries,
+        "memberships": spark.createDataFrame([("d", "m", "o"), ("d", "m", "o"), ("d", "m", "q"), ("d", "m", None)], "dataset_id string, modality string, obs_id string"),
+        "features": spark.createDataFrame([("d", "m", "f")], "dataset_id string, modality string, feature_id string"),
+    }
+    found = rules.RULES["x_shape_mismatch"].find(tables)
+    assert " Join " not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.sample or "", r.n_bad) for r in found.collect()) == [("", 1), ("g", 1), ("p", 1)]
+
+
 def test_evaluation_computes_its_rows_once(spark):
     made = spark.sparkContext.accumulator(0)
 
