@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PREDICTION_SCHEMA = (
@@ -46,7 +46,8 @@ def _placed_lines(spark: SparkSession, path: str) -> DataFrame:
 def scan_exchange(spark: SparkSession, folder: str) -> DataFrame:
     """Entries of a Matrix Market folder with their observation and gene ids.
 
-    The size line is the first line after the banner that is no comment.
+    The size line is the first line after the banner that is no comment.  A folder whose size line, axis tables and
+    entries disagree is refused: the joins would drop or repeat entries unseen.
     """
     lines = _placed_lines(spark, f"{folder}/matrix.mtx").where(F.trim("value") != "")
     banner = lines.where(F.startswith(F.col("value"), F.lit("%%MatrixMarket"))).agg(F.min("_at").alias("b"))
@@ -65,11 +66,36 @@ def scan_exchange(spark: SparkSession, folder: str) -> DataFrame:
     axis = "row_ord long, observation_id string"
     observations = spark.read.schema(axis).option("sep", "\t").csv(f"{folder}/observations.tsv")
     genes = spark.read.schema("feature_ord long, gene_id string").option("sep", "\t").csv(f"{folder}/genes.tsv")
+    _require_dimensions(exchange_sizes(spark, folder), numbers, observations, genes)
     return numbers.join(observations, "row_ord").join(genes, "feature_ord").select(
         "row_ord", "feature_ord", F.col("observation_id").alias("obs_id"), F.col("gene_id").alias("feature_id"), "value"
     )
 
 
+def _require_dimensions(sizes: DataFrame, entries: DataFrame, observations: DataFrame, genes: DataFrame) -> None:
+    """Refuse entries that the size line does not count or the axes do not hold, and axes that are not 0 to n - 1."""
+    size = sizes.first()
+    declared = (size.declared_rows, size.declared_columns, size.declared_entries)
+    if None in declared:
+        raise ValueError("Matrix Market file has no size line")
+    if declared[:2] != (size.n_rows, size.n_columns):
+        raise ValueError(f"Matrix Market dimensions {declared[:2]} do not match the axis tables ({size.n_rows}, {size.n_columns})")
+
+    def outside(ordinal: str, n: int) -> Column:
+        return ~F.coalesce(F.col(ordinal).between(0, n - 1), F.lit(False))
+
+    lost = outside("row_ord", declared[0]) | outside("feature_ord", declared[1])
+    found = entries.agg(F.count(F.lit(1)).alias("n"), F.count_if(lost).alias("lost")).first()
+    if found.n != declared[2]:
+        raise ValueError(f"Matrix Market file declares {declared[2]} entries and has {found.n}")
+    if found.lost:
+        raise ValueError(f"{found.lost} Matrix Market entries lie outside the declared dimensions")
+    for axis, ordinal, n in ((observations, "row_ord", declared[0]), (genes, "feature_ord", declared[1])):
+        held = axis.agg(F.countDistinct(ordinal).alias("n"), F.count_if(outside(ordinal, n)).alias("lost")).first()
+        if held.lost or held.n != n:
+            raise ValueError(f"ordinals {ordinal} are not each of 0 to {n - 1} once")
+
+
 def exchange_sizes(spark: SparkSession, folder: str) -> DataFrame:
     """Declared matrix size against the two axis files."""
     lines = _placed_lines(spark, f"{folder}/matrix.mtx")

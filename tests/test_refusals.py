@@ -71,6 +71,25 @@ def test_exchange_reader_ignores_split_order(spark, tmp_path):
             spark.conf.set(key, value)
 
 
+@pytest.mark.parametrize(
+    ("size", "extra", "axis", "message"),
+    [
+        ("3 3 3", "", "0\tc0\n1\tc1\n", "dimensions"),
+        ("2 2 3", "", "0\tc0\n1\tc1\n", "dimensions"),
+        ("2 3 4", "", "0\tc0\n1\tc1\n", "declares 4 entries and has 3"),
+        ("2 3 4", "3 1 5\n", "0\tc0\n1\tc1\n", "outside"),
+        ("2 3 3", "", "0\tc0\n0\tc1\n", "row_ord"),
+        ("2 3 3", "", "1\tc0\n2\tc1\n", "row_ord"),
+    ],
+)
+def test_exchange_dimensions_must_match(spark, tmp_path, size, extra, axis, message):
+    (tmp_path / "matrix.mtx").write_text(f"%%MatrixMarket matrix coordinate integer general\n{size}\n1 1 5\n2 2 7\n2 3 1\n{extra}")
+    (tmp_path / "observations.tsv").write_text(axis)
+    (tmp_path / "genes.tsv").write_text("0\tg0\n1\tg1\n2\tg2\n")
+    with pytest.raises(ValueError, match=message):
+        scan_exchange(spark, str(tmp_path))
+
+
 def test_harmonisation_findings_name_their_own_dataset(spark):
     """Two derived datasets map the sources they share in different ways; only one of them is wrong."""
     from quiltomics.operators import rules as V
