@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quiltomics import registry
-from quiltomics.operators import rules, shards
+from quiltomics.operators import rules, scoring, shards
 from quiltomics.plans import difficulty as D
 from quiltomics.registry import rules as rule_queries
 from quiltomics.sources import bindings as B
@@ -38,6 +38,17 @@ def test_report_is_joined_from_written_parts(spark):
     assert _scans(registry.QUERIES["difficulty_report"](spark, FOLDER)) <= 5
 
 
+def test_rankings_are_planned_apart(spark):
+    means = spark.createDataFrame([("a", "x", 0.6), ("b", "x", 0.8), ("c", "y", 0.8)], "split_id string, challenge_type string, mean_auroc double")
+    # Rows in place and the totals of their tasks, for the ranks and for the starts of the groups.
+    assert _scans(scoring.percentile_ranks(means, "mean_auroc", ["challenge_type"])) <= 4
+    folds = means.selectExpr("split_id", "explode(array(0, 1)) repeat", "0 fold", "mean_auroc auroc", "5L selected_features", "CAST(NULL AS STRING) error")
+    report = D.challenge_report(means.select("split_id", "challenge_type"), folds)
+    assert _scans(report) <= 3
+    found = {r.split_id: (r.difficulty_rank, r.difficulty_percentile, r.same_category_percentile, r.category_size) for r in report.collect()}
+    assert found == {"a": (1, 0.0, 0.0, 2), "b": (2, 75.0, 100.0, 2), "c": (2, 75.0, 0.0, 1)}
+
+
 def test_rule_reports_are_joined_from_written_batches(spark):
     assert _scans(registry.QUERIES["validation_counts"](spark, FOLDER)) <= 8
 
