@@ -5,10 +5,7 @@ arithmetic; each oracle finds the spoiled rows from the raw tables.
 """
 
 import functools
-from collections import defaultdict
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
-from threading import Lock
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,10 +20,6 @@ from quiltomics.session import dealt, hash_joins, settled
 from quiltomics.sources import bindings as B
 
 
-#: Contexts of a report that are worked on at a time.
-PARALLEL = 4
-
-
 class Lazy(dict):
     """Tables built when a rule asks for them."""
 
@@ -45,17 +38,14 @@ class Report(str):
 
     def __new__(cls, folder: str) -> "Report":
         report = super().__new__(cls, folder)
-        report._written, report._locks, report._guard = {}, defaultdict(Lock), Lock()
+        report._written = {}
         return report
 
     def written(self, spark: SparkSession, build: Callable, name: str) -> DataFrame:
-        """What ``build`` makes of the folder, made once, whoever asks first."""
+        """What ``build`` makes of the folder, made once."""
         build = getattr(build, "__wrapped__", build)
-        with self._guard:
-            lock = self._locks[build]
-        with lock:
-            if build not in self._written:
-                self._written[build] = settled(build(spark, self), name)
+        if build not in self._written:
+            self._written[build] = settled(build(spark, self), name)
         return self._written[build]
 
 
@@ -1056,7 +1046,7 @@ def _(spark, d):
     def part(key: int) -> DataFrame:
         return V.settled_findings(Settled(spark, report, CONTEXTS[key]), CODES[key])
 
-    # Contexts fill each other's pauses: most of their tables and rules are too small for all cores.
-    with hash_joins(spark), ThreadPoolExecutor(PARALLEL) as pool:
-        parts = list(pool.map(part, CONTEXTS))
+    # One after another: side by side they are faster, but their plans do not fit a small driver.
+    with hash_joins(spark):
+        parts = [part(key) for key in CONTEXTS]
     return V.severity_counts(functools.reduce(DataFrame.unionByName, parts))
